@@ -13,6 +13,7 @@ from .html import extract_pages
 from .packing import pack_documents
 from .secrets import scan_secrets
 from .simhash import near_duplicates
+from .suffix import remove_repeats
 from .tokencount import count_tokens
 from .topk import exact_top_k
 
@@ -51,6 +52,10 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 OP5_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -59,6 +64,6 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(r
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 10"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_secrets, op3_quality, op4_packing, op5_top_k, op7_token_counts, op8_main_text, op9_bpe_codec)
+    f.__name__: f for f in (op1_simhash, op2_secrets, op3_quality, op4_packing, op5_top_k, op7_token_counts, op8_main_text, op9_bpe_codec, op10_suffix_dedup)
 }
 ORACLE_SQL: dict[str, str] = {"op3_quality": quality.oracle_sql(), "op5_top_k": OP5_SQL}
