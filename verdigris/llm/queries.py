@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import quality
 from .bpe import encode_documents
+from .chat import format_conversations
 from .common import table
 from .html import extract_pages
 from .packing import pack_documents
@@ -40,6 +41,10 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,6 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(r
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 10"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_secrets, op3_quality, op4_packing, op5_top_k, op7_token_counts, op8_main_text, op9_bpe_codec, op10_suffix_dedup)
+    f.__name__: f for f in (op1_simhash, op2_secrets, op3_quality, op4_packing, op5_top_k, op6_chat, op7_token_counts, op8_main_text, op9_bpe_codec, op10_suffix_dedup)
 }
 ORACLE_SQL: dict[str, str] = {"op3_quality": quality.oracle_sql(), "op5_top_k": OP5_SQL}

@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, key_and_text, per_batch, rows_of
@@ -93,24 +93,33 @@ KEYS = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
 KEYS_DDL = "key long, fp long"
 
 
-def _keys(looking: int):
-    """Rows (pair and two codeword indices, fp). ``looking``: which of the pair's segments is looked up nearby."""
+def lane_keys(fp: np.ndarray, looking: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, positions in ``fp``) of signed fingerprints: pair and two codeword indices in 26 bits.
+
+    ``looking``: which of a pair's segments is looked up under all codewords nearby.
+    """
+    seg = [(fp.view(np.uint64) >> np.uint64(low)).astype(np.int64) & ((1 << n) - 1) for low, n in SEGMENTS]
+    own = [codeword_index(s) for s in seg]
+    near = []
+    for s, (_, n) in zip(seg, SEGMENTS, strict=True):
+        k = np.sort(codeword_index(s[:, None] ^ np.concatenate(([0], 1 << np.arange(n)))[None, :]), axis=1)
+        first = np.ones(k.shape, bool)
+        first[:, 1:] = k[:, 1:] != k[:, :-1]
+        near.append((np.nonzero(first)[0], k[first]))
+    keys, rows = [], []
+    for p, (i, j) in enumerate(PAIRS):
+        row, k = near[(i, j)[looking]]
+        keys.append((p << 24) | ((k << 12) | own[j][row] if looking == 0 else (own[i][row] << 12) | k))
+        rows.append(row)
+    return np.concatenate(keys), np.concatenate(rows)
 
+
+def _keys(looking: int):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 1 << 14):
             fp = batch.column(0).slice(at, 1 << 14).to_numpy(zero_copy_only=False)
-            seg = [(fp.view(np.uint64) >> np.uint64(low)).astype(np.int64) & ((1 << n) - 1) for low, n in SEGMENTS]
-            own = [codeword_index(s) for s in seg]
-            near = []
-            for s, (_, n) in zip(seg, SEGMENTS, strict=True):
-                k = np.sort(codeword_index(s[:, None] ^ np.concatenate(([0], 1 << np.arange(n)))[None, :]), axis=1)
-                first = np.ones(k.shape, bool)
-                first[:, 1:] = k[:, 1:] != k[:, :-1]
-                near.append((np.nonzero(first)[0], k[first]))
-            for p, (i, j) in enumerate(PAIRS):
-                row, k = near[(i, j)[looking]]
-                key = (p << 24) | ((k << 12) | own[j][row] if looking == 0 else (own[i][row] << 12) | k)
-                yield rows_of(KEYS, {"key": key, "fp": fp[row]})
+            key, row = lane_keys(fp, looking)
+            yield rows_of(KEYS, {"key": key, "fp": fp[row]})
 
     return per_batch(run)
 
@@ -141,3 +150,156 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, id_col:
     label = cut(of_node.join(least, "root").select(F.col("fp").alias("node"), "component_id"), "labels")
     out = fp.join(label, fp["fp"] == label["node"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Derives further hash functions from XXH64: the golden ratio's bits.
+STEP = 0x9E3779B97F4A7C15
+#: Fingerprints of a signature that give keys (of a text's different words), and those that verify (of its shingles).
+WORD_LANES, SHINGLE_LANES = 3, 4
+#: Word lanes of a key's nodes may differ in this share of their bits before anything else is looked at.
+LOOSE = 0.16
+#: Runs of equal keys up to this length are compared pair by pair; longer ones through leaders.
+SHORT_RUN = 32
+CHUNK_ROWS = 100_000
+
+
+def majority(hashes: np.ndarray, lanes: int) -> list[int]:
+    """``lanes`` signed fingerprints from as many hash functions of the same features; zeros without features."""
+    out = []
+    for lane in range(lanes):
+        h = hashes
+        if lane:
+            h = h ^ np.uint64((STEP * lane) & ((1 << 64) - 1))
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h = h ^ (h >> np.uint64(31))
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(h), 1 << 16):
+            counts += np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big", signed=True) if len(h) else 0)
+    return out
+
+
+def signature(text: str, words: int) -> list[int]:
+    return majority(np.unique(shingle_hashes(text, 1)), WORD_LANES) + majority(shingle_hashes(text, words), SHINGLE_LANES)
+
+
+def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    schema = pa.schema([("doc_id", pa.int64()), ("fps", pa.list_(pa.int64()))])
+
+    def run(batch: pa.RecordBatch):
+        yield rows_of(schema, {"doc_id": batch.column(0), "fps": [signature(t.as_py(), words) for t in batch.column(1)]})
+
+    return key_and_text(docs, id_col, text_col).mapInArrow(per_batch(run), "doc_id long, fps array<long>")
+
+
+def bits_at(similarity: float, lanes: int) -> int:
+    """Bits in which signatures of two shingle sets of this Jaccard similarity differ on average."""
+    return int(64 * lanes * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
+def _lane_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    names = ["key", "node", *[f"w{i}" for i in range(WORD_LANES)]]
+    for at in range(0, batch.num_rows, 1 << 13):
+        part = batch.slice(at, 1 << 13)
+        node = part.column(0).to_numpy(zero_copy_only=False)
+        fps = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)[:, :WORD_LANES]
+        for lane in range(WORD_LANES):
+            for looking in (0, 1):
+                key, row = lane_keys(np.ascontiguousarray(fps[:, lane]), looking)
+                both = np.unique(np.stack([key | (lane << 26), row]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (both[0], node[both[1]], *fps[both[1]].T)], names=names)
+
+
+def _run_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within runs of equal keys, from rows sorted by key."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    most = int(64 * WORD_LANES * LOOSE)
+
+    def links(key: np.ndarray, node: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(key)))
+        place = np.arange(len(key)) - np.repeat(start, size)
+        length = np.repeat(size, size)
+        a, b = [], []
+        for shift in range(1, min(SHORT_RUN, int(size.max())) if len(size) else 0):
+            i = np.flatnonzero((place >= shift) & (length <= SHORT_RUN))
+            if not len(i):
+                break
+            i = i[(_far(fps[i], fps[i - shift]) <= most) & (node[i] != node[i - shift])]
+            a.append(node[i])
+            b.append(node[i - shift])
+        for s, n in zip(start[size > SHORT_RUN].tolist(), size[size > SHORT_RUN].tolist(), strict=True):
+            f, m, free = fps[s : s + n], node[s : s + n], np.ones(n, bool)
+            while free.any():
+                lead = int(free.argmax())
+                free[lead] = False
+                near = np.flatnonzero(_far(f, f[lead]) <= most)
+                near = near[m[near] != m[lead]]
+                a.append(m[near])
+                b.append(np.full(len(near), m[lead]))
+                free[near] = False
+        none = np.zeros(0, np.int64)
+        both = np.unique(np.stack([np.concatenate([none, *a]), np.concatenate([none, *b])]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], schema=schema)
+
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        if sum(len(h[0]) for h in held) >= CHUNK_ROWS:
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            end = int(np.searchsorted(cols[0], cols[0][-1]))
+            if end:
+                yield links(cols[0][:end], cols[1][:end], np.stack([c[:end] for c in cols[2:]], axis=1))
+            held = [[c[end:] for c in cols]]
+    if held:
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+        yield links(cols[0], cols[1], np.stack(cols[2:], axis=1))
+
+
+def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of similar nodes. ``nodes``: node, fps.
+
+    Fingerprints of the texts' different words give the Golay keys: an edit touches few words and many shingles. Nodes
+    with a common key whose word fingerprints are near are proposed: in short runs of a key every pair, in long ones
+    every node with each leader, where nodes near no earlier leader become leaders, so that a group of copies gives
+    links in proportion to its size. Shingle fingerprints then verify: they may differ in no more bits than those of
+    shingle sets of ``similarity`` do on average.
+    """
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = nodes.select("node", "fps").mapInArrow(per_batch(_lane_rows), "key long, node long, " + ", ".join(f"w{i} long" for i in range(WORD_LANES)))
+    proposed = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_run_links, "a long, b long")
+    proposed = cut(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
+    left, right = nodes.select(F.col("node").alias("a"), F.col("fps").alias("f")), nodes.select(F.col("node").alias("b"), F.col("fps").alias("g"))
+    bits = [F.bit_count(F.col("f")[i].bitwiseXOR(F.col("g")[i])) for i in range(WORD_LANES, WORD_LANES + SHINGLE_LANES)]
+    both = proposed.join(left, "a").join(right, "b")
+    return both.where(sum(bits[1:], bits[0]) <= bits_at(similarity, SHINGLE_LANES)).select("a", "b")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the one of the least id.
+
+    Documents with equal signatures are one node; nodes link as ``similar_links`` says. Texts without words are no
+    duplicates of anything and stay, as do rows with a null id; of rows with equal ids one stays.
+    """
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    named = docs.where(F.col(id_col).isNotNull())
+    sig = cut(signatures(named, words, id_col, text_col), "signatures")
+    wordy = sig.where(F.exists("fps", lambda x: x != 0))
+    nodes = cut(wordy.groupBy("fps").agg(F.min("doc_id").alias("node")), "nodes")
+    roots = components(similar_links(nodes, similarity))
+    # a node's number is its least document, so a root is the least document of its group
+    lead = nodes.join(roots, "node", "left_anti").select("node")
+    ids = wordy.select("doc_id").distinct()
+    gone = cut(ids.join(lead, ids["doc_id"] == lead["node"], "left_anti").select(F.col("doc_id").alias("__gone")), "gone")
+    kept = named.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    one = Window.partitionBy(id_col).orderBy(spread)
+    kept = kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -209,14 +209,15 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """(row_key, doc_id, data): documents as compressed bytes."""
-    schema = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("data", pa.binary())])
+    """(row_key, carried, data): documents as compressed bytes. ``docs``: row_key, text, carried."""
+    carried = docs.schema["carried"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch):
         press = zstandard.ZstdCompressor(level=1).compress
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([press(t.as_buffer().to_pybytes()) if len(t.as_py()) else b"" for t in batch.column(1)], pa.binary())], schema=schema)
+        data = pa.array([press(b) if (b := t.as_buffer().to_pybytes()) else b"" for t in batch.column(1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), data], names=["row_key", "carried", "data"])
 
-    return docs.mapInArrow(per_batch(run), "row_key long, doc_id long, data binary")
+    return docs.select("row_key", "text", "carried").mapInArrow(per_batch(run), f"row_key long, carried {carried}, data binary")
 
 
 def _unpacked(data: bytes) -> bytes:
@@ -315,7 +316,7 @@ def covered(n: int, spans: list, length: int) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """(documents as bytes, spans by row_key). ``docs``: row_key, text, doc_id."""
+    """(documents as bytes, spans by row_key). ``docs``: row_key, text, carried."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     suffixes = docs.select("row_key", "text").mapInArrow(_suffixes(length), SUFFIX_DDL)
@@ -334,11 +335,7 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     return packed, plain.union(spans).union(wide.select("row_key", "a", "b"))
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text", "doc_id")
-
-
-OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 OUT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -354,7 +351,7 @@ def _digest(length: int) -> Callable:
             kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
             n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
             rows.append((doc, len(text), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), OUT, strict=False)], schema=pa.schema(list(OUT)[:5]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), OUT, strict=True)], schema=OUT)
 
     return per_batch(run)
 
@@ -366,5 +363,34 @@ def _joined(packed: DataFrame, spans: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: bytes, removed bytes, maximal removed runs, and a digest of what is left."""
-    packed, spans = repeated_spans(_with_key(key_and_text(docs, id_col, text_col)), length)
-    return _joined(packed, spans).select("doc_id", "data", "spans").mapInArrow(_digest(length), OUT_DDL)
+    d = key_and_text(docs, id_col, text_col)
+    d = d.select(F.xxhash64("doc_id", "text").alias("row_key"), "text", F.col("doc_id").alias("carried"))
+    return _joined(*repeated_spans(d, length)).select("carried", "data", "spans").mapInArrow(_digest(length), OUT_DDL)
+
+
+def text_left(text: bytes, gone: np.ndarray) -> str:
+    """What is left of UTF-8 bytes; a character that loses any byte goes."""
+    a = np.frombuffer(text, np.uint8)
+    char = np.cumsum((a & 0xC0) != 0x80) - 1
+    lost = np.bincount(char, gone) > 0
+    return a[~lost[char]].tobytes().decode()
+
+
+def drop_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the bytes that ``remove_repeats`` counts cut out of the texts. No row goes; null texts stay null."""
+    text = F.col(f"`{text_col}`")
+    others = [c for c in docs.columns if c != text_col]
+    carried = F.struct(*[F.col(f"`{c}`") for c in others], text.isNull().alias("__null"))
+    d = docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("row_key"), F.coalesce(text.cast("string"), F.lit("")).alias("text"), carried.alias("carried"))
+    joined = _joined(*repeated_spans(d, length)).select("carried", "data", "spans")
+
+    def run(batch: pa.RecordBatch):
+        out = []
+        for data, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            raw = _unpacked(data.as_py())
+            out.append(text_left(raw, covered(len(raw), spans, length)) if spans else raw.decode())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["carried", "text"])
+
+    left = joined.mapInArrow(per_batch(run), f"carried {d.schema['carried'].dataType.simpleString()}, text string")
+    new = F.when(~F.col("carried.__null"), F.col("text"))
+    return left.select(*[new.alias(c) if c == text_col else F.col("carried").getField(c).alias(c) for c in docs.columns])
