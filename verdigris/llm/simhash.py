@@ -154,10 +154,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, id_col:
 
 #: Derives further hash functions from XXH64: the golden ratio's bits.
 STEP = 0x9E3779B97F4A7C15
-#: Fingerprints of a signature that give keys (of a text's different words), and those that verify (of its shingles).
-WORD_LANES, SHINGLE_LANES = 3, 4
+#: Fingerprints of a signature that give keys (of a text's different words), and those that tell orders of words apart.
+WORD_LANES, SHINGLE_LANES = 3, 2
 #: Word lanes of a key's nodes may differ in this share of their bits before anything else is looked at.
-LOOSE = 0.16
+LOOSE = 0.2
 #: Runs of equal keys up to this length are compared pair by pair; longer ones through leaders.
 SHORT_RUN = 32
 CHUNK_ROWS = 100_000
@@ -193,11 +193,6 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
     return key_and_text(docs, id_col, text_col).mapInArrow(per_batch(run), "doc_id long, fps array<long>")
 
 
-def bits_at(similarity: float, lanes: int) -> int:
-    """Bits in which signatures of two shingle sets of this Jaccard similarity differ on average."""
-    return int(64 * lanes * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
 def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
@@ -264,23 +259,37 @@ def _run_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(cols[0], cols[1], np.stack(cols[2:], axis=1))
 
 
-def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of similar nodes. ``nodes``: node, fps.
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): hashes of each text's different shingles. ``docs``: doc_id, text."""
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def run(batch: pa.RecordBatch):
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in part.column(1)]
+            yield rows_of(schema, {"node": part.column(0), "shingles": sets})
+
+    return docs.mapInArrow(per_batch(run), "node long, shingles array<long>")
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b) of similar nodes. ``nodes``: node, fps. ``docs``: doc_id, text; a node's number is one of its documents.
 
     Fingerprints of the texts' different words give the Golay keys: an edit touches few words and many shingles. Nodes
     with a common key whose word fingerprints are near are proposed: in short runs of a key every pair, in long ones
     every node with each leader, where nodes near no earlier leader become leaders, so that a group of copies gives
-    links in proportion to its size. Shingle fingerprints then verify: they may differ in no more bits than those of
-    shingle sets of ``similarity`` do on average.
+    links in proportion to its size. A proposal is a link if the Jaccard similarity of the shingle sets is enough.
     """
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = nodes.select("node", "fps").mapInArrow(per_batch(_lane_rows), "key long, node long, " + ", ".join(f"w{i} long" for i in range(WORD_LANES)))
-    proposed = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_run_links, "a long, b long")
-    proposed = cut(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
-    left, right = nodes.select(F.col("node").alias("a"), F.col("fps").alias("f")), nodes.select(F.col("node").alias("b"), F.col("fps").alias("g"))
-    bits = [F.bit_count(F.col("f")[i].bitwiseXOR(F.col("g")[i])) for i in range(WORD_LANES, WORD_LANES + SHINGLE_LANES)]
-    both = proposed.join(left, "a").join(right, "b")
-    return both.where(sum(bits[1:], bits[0]) <= bits_at(similarity, SHINGLE_LANES)).select("a", "b")
+    found = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_run_links, "a long, b long")
+    proposed = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
+    wanted = proposed.select(F.explode(F.array("a", "b")).alias("w")).distinct()
+    sets = shingle_sets(docs.join(wanted, docs["doc_id"] == wanted["w"], "left_semi"), words)
+    sets = cut(sets.groupBy("node").agg(F.min("shingles").alias("shingles")), "shingles")
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("f")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("g"))
+    both = proposed.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("f", "g")))
+    return both.where(F.col("common") >= similarity * (F.size("f") + F.size("g") - F.col("common"))).select("a", "b")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,7 +303,7 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: s
     sig = cut(signatures(named, words, id_col, text_col), "signatures")
     wordy = sig.where(F.exists("fps", lambda x: x != 0))
     nodes = cut(wordy.groupBy("fps").agg(F.min("doc_id").alias("node")), "nodes")
-    roots = components(similar_links(nodes, similarity))
+    roots = components(similar_links(nodes, key_and_text(named, id_col, text_col), words, similarity))
     # a node's number is its least document, so a root is the least document of its group
     lead = nodes.join(roots, "node", "left_anti").select("node")
     ids = wordy.select("doc_id").distinct()
