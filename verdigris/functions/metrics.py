@@ -38,7 +38,7 @@ def distance(a: list, b: list) -> int:
     return row[-1]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _many_words(r: pd.Series, h: pd.Series) -> pd.Series:
     return pd.Series([distance(list(a), list(b)) for a, b in zip(r, h, strict=True)])
 

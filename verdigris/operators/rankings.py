@@ -45,7 +45,7 @@ def with_provider_type(ranked: DataFrame, providers: DataFrame | None) -> DataFr
 
 def with_rank(ranked: DataFrame, *scope: str) -> DataFrame:
     """Position by word error rate within ``scope``; ties go by provider and model."""
-    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*scope).orderBy("avg_wer", *MODEL)).cast("long"))
+    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*scope).orderBy(F.round("avg_wer", 6), *MODEL)).cast("long"))
 
 
 def rank_models(results: DataFrame, *scope: str, providers: DataFrame | None = None) -> DataFrame:

@@ -1,4 +1,5 @@
 """All queries of the engine and the SQL that gives the same rows."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from .plans.queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
