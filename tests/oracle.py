@@ -21,7 +21,7 @@ def rows(df):
     df = df[sorted(df.columns)]
     out = []
     for r in df.itertuples(index=False):
-        out.append(tuple(None if x is None or x is pd.NA or (isinstance(x, float) and x != x) else round(float(x), 5) if isinstance(x, float) else x for x in r))
+        out.append(tuple(None if x is None or x is pd.NA or (isinstance(x, float) and x != x) else float(f'{x:.12g}') if isinstance(x, float) else x for x in r))
     return sorted(out, key=repr)
 
 

@@ -286,15 +286,15 @@ def language_skips(spark, sf_dir):
     return w.groupBy("provider_id", "model", "language").agg(F.count_if(~F.col("supported")).alias("skipped"), F.count("*").alias("planned"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, round(l_quantity / 60 * CASE l_suppkey % 4 WHEN 0 THEN 0.006 WHEN 1 THEN 0.0043 WHEN 2 THEN 0.0028 ELSE 0 END, 6) AS cost_usd,
- round(CASE WHEN l_quantity - 10 > 0 THEN l_extendedprice / ((l_quantity - 10) * 1000) ELSE 0 END, 6) AS realtime_factor FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, l_quantity / 60 * CASE l_suppkey % 4 WHEN 0 THEN 0.006::DOUBLE WHEN 1 THEN 0.0043::DOUBLE WHEN 2 THEN 0.0028::DOUBLE ELSE 0::DOUBLE END AS cost_usd,
+ CASE WHEN l_quantity - 10 > 0 THEN l_extendedprice / ((l_quantity - 10) * 1000) ELSE 0 END AS realtime_factor FROM lineitem""")
 def cost_rtf(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem")
     kind = F.col("l_suppkey") % 4
     provider = F.when(kind == 0, "openai").when(kind == 1, "deepgram").when(kind == 2, "groq").otherwise("whisper-cpp")
     model = F.when(kind == 0, "whisper-1").when(kind == 1, "nova-3").otherwise("whisper-large-v3")
     price = worklist.price_per_minute(provider, model)
-    return d.select("l_orderkey", "l_linenumber", F.round(worklist.cost(F.col("l_quantity"), price), 6).alias("cost_usd"), F.round(worklist.realtime_factor(F.col("l_extendedprice"), F.col("l_quantity") - 10), 6).alias("realtime_factor"))
+    return d.select("l_orderkey", "l_linenumber", worklist.cost(F.col("l_quantity"), price).alias("cost_usd"), worklist.realtime_factor(F.col("l_extendedprice"), F.col("l_quantity") - 10).alias("realtime_factor"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN 'skipped' WHEN l_discount >= 0.09 THEN 'error' ELSE 'ok' END AS status,
@@ -545,8 +545,8 @@ COST, ALIGNED, MARKS = 1 << 30, 1 << 20, 1 << 10
 ALIGN_SQL = f"""WITH RECURSIVE p0 AS (SELECT doc_id, regexp_extract_all(ref, '{WORD_SQL}', 1) AS ro, regexp_extract_all(ref, '{WORD_SQL}', 2) AS rm,
   regexp_extract_all(hyp, '{WORD_SQL}', 1) AS ho, regexp_extract_all(hyp, '{WORD_SQL}', 2) AS hm FROM ({FORMATTED})),
 p AS (SELECT *, list_transform(ro, lambda x: lower(x)) AS r, list_transform(ho, lambda x: lower(x)) AS h FROM p0),
-d(doc_id, i, row_) AS (SELECT doc_id, 0, list_transform(range(0, len(h) + 1), lambda x: x * {COST}) FROM p UNION ALL
- SELECT d.doc_id, i + 1, list_reduce(list_concat([[(i + 1) * {COST}]], list_transform(range(1, len(h) + 1), lambda j: [
+d(doc_id, i, row_) AS (SELECT doc_id, 0, list_transform(range(0, len(h) + 1), lambda x: x::BIGINT * {COST}) FROM p UNION ALL
+ SELECT d.doc_id, i + 1, list_reduce(list_concat([[(i + 1)::BIGINT * {COST}]], list_transform(range(1, len(h) + 1), lambda j: [
    row_[j] + CASE WHEN r[i + 1] = h[j] THEN {ALIGNED} + (CASE WHEN rm[i + 1] <> '' AND rm[i + 1] = hm[j] THEN {MARKS} ELSE 0 END) + (CASE WHEN ro[i + 1][1] = ho[j][1] THEN 1 ELSE 0 END) ELSE {COST} END,
    row_[j + 1] + {COST}])),
   lambda acc, c: list_append(acc, CASE WHEN c[1] // {COST} <= c[2] // {COST} AND c[1] // {COST} <= acc[len(acc)] // {COST} + 1 THEN c[1]
@@ -571,7 +571,7 @@ def formatting_score(spark, sf_dir):
     return _scores(spark, sf_dir).select("doc_id", F.round("s.capitalization_score", 6).alias("capitalization_score"), F.round("s.formatting_score", 6).alias("formatting_score"))
 
 
-SCORED_RATE = rate_sql(f"SELECT doc_id, {words_sql('nr')} AS r, {words_sql('nh')} AS h FROM ({NORMALIZED_PAIRS})", "wer")
+SCORED_RATE = rate_sql(f"SELECT doc_id, {words_sql('nr')} AS r, {words_sql('nh')} AS h FROM ({NORMALIZED_PAIRS})", "wer").replace("round(least(CAST(row_[-1] AS DOUBLE) / len(r), 1), 6)", "least(CAST(row_[-1] AS DOUBLE) / len(r), 1)")
 
 
 @query(f"""SELECT provider_id, model, round(avg(wer), 6) AS avg_wer, count(*) AS total_tests FROM
