@@ -25,6 +25,8 @@ def test_links_levels_and_validation(spark):
         (1, 1, "assistant", "Wait. " + call("a", x=1) + call("b", x="$a"), "k"),
         (1, 2, "tool", reply("a", {"z": 1.0, "b": [1, 2]}) + reply("q", 0), "k"),
         (1, 3, "assistant", call("c", x="$d") + call("d", x="$c") + call("a", x=2), "k"),
+        (None, 1, "assistant", call("a", x=1), "k"),
+        (3, None, "assistant", call("a", x=1), "k"),
         (2, 0, None, None, "k"),
         (2, 1, "assistant", "<tool_call>{broken</tool_call>", "k"),
     ]
@@ -36,6 +38,7 @@ def test_links_levels_and_validation(spark):
     assert (b.status, b.level, b.valid) == ("open", 1, False)
     assert (out[1, 2, 0].status, out[1, 2, 1].status) == ("linked", "orphan")
     assert [out[1, 3, i].status for i in range(3)] == ["cyclic", "cyclic", "repeated"]
+    assert (out[None, 1, 0].status, out[3, None, 0].status) == ("unnamed", "open")
     assert out[2, 0, 0].json == '{"content":"","role":"user","type":"text"}'
     assert out[2, 1, 0].kind == "text"
 

@@ -11,7 +11,7 @@ none can outgrow a task; (level, turn, part) orders a conversation's rows topolo
 Null texts are empty, null roles are "user". Blocks that don't parse stay ordinary text. Of calls with equal identifiers the
 first by (turn, part) is linked, the others are "repeated"; results without a call are "orphan", calls without a result
 "open". Calls in a cycle, or that hang on one, are "cyclic" with a null level. Repeated rows give a row each, the
-later one by content counting as a repetition. A call without a known schema is neither valid nor invalid.
+later one by content counting as a repetition. Calls without an identifier or a conversation are "unnamed". A call without a known schema is neither valid nor invalid.
 """
 
 from __future__ import annotations
@@ -217,13 +217,13 @@ def format_conversations(messages: DataFrame) -> DataFrame:
     order = Window.partitionBy("conv_id", "id", "turn", "part").orderBy("body")
     linked = first.select("conv_id", "id", F.col("turn").alias("c_turn"), F.col("part").alias("c_part")).join(level, ["conv_id", "id"], "left").join(answer, ["conv_id", "id"], "left")
     tool = parts.where("kind IN ('call', 'result')").withColumn("n", F.row_number().over(order)).join(linked, ["conv_id", "id"], "left").join(schema, ["conv_id", "name"], "left")
-    own = (F.col("turn") == F.col("c_turn")) & (F.col("part") == F.col("c_part")) & (F.col("n") == 1)
-    reply = (F.col("turn") == F.col("r_turn")) & (F.col("part") == F.col("r_part")) & (F.col("n") == 1)
-    call_status = F.when(F.col("id").isNull(), "unnamed").when(~own, "repeated").when(F.col("level").isNull(), "cyclic").when(F.col("r_turn").isNull(), "open").otherwise("linked")
-    result_status = F.when(F.col("c_turn").isNull(), "orphan").when(~reply, "repeated").otherwise("linked")
+    own = F.col("turn").eqNullSafe(F.col("c_turn")) & (F.col("part") == F.col("c_part")) & (F.col("n") == 1)
+    reply = F.col("turn").eqNullSafe(F.col("r_turn")) & (F.col("part") == F.col("r_part")) & (F.col("n") == 1)
+    call_status = F.when(F.col("c_part").isNull(), "unnamed").when(~own, "repeated").when(F.col("level").isNull(), "cyclic").when(F.col("r_part").isNull(), "open").otherwise("linked")
+    result_status = F.when(F.col("c_part").isNull(), "orphan").when(~reply, "repeated").otherwise("linked")
     is_call = F.col("kind") == "call"
     tool = tool.select(
-        *PART.names, F.when(F.col("c_turn").isNull(), F.lit(0)).otherwise(F.col("level")).cast("long").alias("level"),
+        *PART.names, F.when(F.col("c_part").isNull(), F.lit(0)).otherwise(F.col("level")).cast("long").alias("level"),
         F.when(is_call, call_status).otherwise(result_status).alias("status"), F.when(is_call, F.col("schema")).alias("schema"),
         F.when(is_call & own, F.col("r_body")).alias("result"),
     )
