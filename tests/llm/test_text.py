@@ -119,6 +119,7 @@ def test_article_and_stretches():
     assert html.main_text("a < b &amp c <p") == "a < b & c"
     assert html.main_text("") == ""
     assert html.main_text('<article><p>x</p><aside>no</aside><div class="share">no</div><form>no</form><p>y</p></article>') == "x\ny"
+    assert html.main_text('<main class="sidebar-left"><article class="post"><p>x</p></article><article class="comment"><p>no</p></article></main>') == "x"
 
 
 def test_page_rows(spark):

@@ -46,6 +46,8 @@ BOILERPLATE = frozenset(
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus reply replies respond share sharing social related recommended "
     "recommendations newsletter subscribe subscription popup modal overlay widget widgets toolbar pagination pager login signup search complementary contentinfo dialog".split()
 )
+#: The same for article elements, whose class names say more about layout.
+NOT_ARTICLE = frozenset("ad ads advert advertisement sponsored promo comment comments reply related recommended teaser".split())
 OUTER_NAMES = frozenset(["header", "masthead", "topbar"])
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
@@ -59,9 +61,11 @@ def _is_boilerplate(tag: str, attributes: str, inside: bool) -> bool:
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id", "role"):
             words = NAMES.findall(value)
-            if tag not in MAIN or "comment" in words or "comments" in words:
-                if not BOILERPLATE.isdisjoint(words) or (not inside and not OUTER_NAMES.isdisjoint(words)):
+            if tag == "article":
+                if not NOT_ARTICLE.isdisjoint(words):
                     return True
+            elif tag != "main" and (not BOILERPLATE.isdisjoint(words) or (not inside and not OUTER_NAMES.isdisjoint(words))):
+                return True
         elif name == "style":
             if HIDDEN_STYLE.search(value):
                 return True
