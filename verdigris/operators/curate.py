@@ -92,3 +92,19 @@ def numbered(d: DataFrame, prefix: str, order: list[Column]) -> DataFrame:
     """Test ids with a zero-padded index in the selection, set before anything else is filtered."""
     n = F.row_number().over(Window.orderBy(*order))
     return d.withColumn("test_id", F.format_string(f"{prefix}-%02d", n))
+
+
+def candidates(d: DataFrame, split_order: tuple[str, ...], target: int = 80) -> DataFrame:
+    """The first ``target`` usable rows of a corpus by split, then by place; of equal ids the first. ``d``: id, split, ord, ..."""
+    place = F.array_position(F.array(*map(F.lit, split_order)), F.col("split"))
+    one = dedupe_by_id(d.withColumn("split_ord", place).withColumn("place", F.struct("split_ord", "ord")), "id", "place")
+    return long_form(one.where("split_ord > 0")).orderBy("split_ord", "ord").limit(target).drop("place", "split_ord")
+
+
+def of_language(suites: DataFrame, language: str | None) -> DataFrame:
+    return suites if language is None else suites.where(F.col("language") == language)
+
+
+def total_tests(suites: DataFrame) -> DataFrame:
+    """Tests in nested suites."""
+    return suites.agg(F.coalesce(F.sum(F.size("tests")), F.lit(0)).cast("long").alias("total_tests"))

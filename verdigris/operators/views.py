@@ -94,3 +94,13 @@ def leaderboard(rankings: DataFrame) -> DataFrame:
 def heading(f: ViewFilters, suite_name: str | None = None) -> str:
     value = suite_name or f.scope_value
     return {"category": f"Category: {value}", "suite": f"Suite: {value}", "slice": f"Slice: {value}"}.get(f.scope if f.scope_value else "", "Global ranking")
+
+
+def fill_summary(document: DataFrame) -> DataFrame:
+    """Members that old documents lack, as empty maps."""
+    maps = [c for c, t in document.dtypes if t.startswith("map<")]
+    return document.select(*[F.coalesce(F.col(c), F.create_map().cast(document.schema[c].dataType)).alias(c) if c in maps else F.col(c) for c in document.columns])
+
+
+def short_prompt(prompt, length: int = 60):
+    return F.substring(prompt, 1, length)

@@ -386,6 +386,32 @@ def dedupe_ids(spark, sf_dir):
     return curate.dedupe_by_id(d, "user_id", "event_id").select("user_id", "event_type", "value", "event_id")
 
 
+@query("""WITH d AS (SELECT user_id AS id, CASE event_type WHEN (SELECT min(event_type) FROM events) THEN 'train' ELSE 'test' END AS split, event_id AS ord, 30 + event_id % 90 AS duration_seconds, event_type AS speaker_id FROM events),
+one AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY CASE split WHEN 'test' THEN 1 ELSE 2 END, ord) = 1)
+SELECT id, split, ord, duration_seconds FROM one WHERE duration_seconds BETWEEN 30 AND 90 ORDER BY CASE split WHEN 'test' THEN 1 ELSE 2 END, ord LIMIT 80""")
+def corpus_candidates(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    least = e.agg(F.min("event_type").alias("least"))
+    d = e.join(least).select(
+        F.col("user_id").alias("id"), F.when(F.col("event_type") == F.col("least"), "train").otherwise("test").alias("split"), F.col("event_id").alias("ord"),
+        (30 + F.col("event_id") % 90).alias("duration_seconds"), F.col("event_type").alias("speaker_id"), F.lit("word " * 29 + "word").alias("ground_truth"),
+    )
+    return curate.candidates(d, ("test", "train")).select("id", "split", "ord", "duration_seconds")
+
+
+@query(f"SELECT status, count(*) AS rows_cached FROM ({FACTS_SQL}) WHERE status IS DISTINCT FROM 'error' GROUP BY status")
+def cacheable_rows(spark, sf_dir):
+    f = facts(spark, sf_dir)
+    return f.where(~F.col("status").eqNullSafe("error")).groupBy("status").agg(F.count("*").alias("rows_cached"))
+
+
+@query("SELECT o_orderpriority AS prompt, substring(concat(o_orderpriority, ' ', CAST(o_orderkey AS STRING)), 1, 6) AS short, concat('cv-de-', CASE WHEN pick < 10 THEN '0' ELSE '' END, CAST(pick AS STRING)) AS test_id FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS pick FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 120))")
+def numbered_tests(spark, sf_dir):
+    o = curate.top_by_id(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", 120)
+    n = curate.numbered(o, "cv-de", [F.asc("o_orderkey")])
+    return n.select(F.col("o_orderpriority").alias("prompt"), views.short_prompt(F.concat_ws(" ", "o_orderpriority", "o_orderkey"), 6).alias("short"), "test_id")
+
+
 # --- text ---------------------------------------------------------------------------------------------------------
 
 SPOKEN_SQL = f"SELECT doc_id, concat('I''m ', CAST(doc_id * 37 % 1200000 AS STRING), ' rock''n''roll uh, it’s ähm O''clock! ', ref) AS t, lang, ref, hyp FROM ({UTTERANCES_SQL})"

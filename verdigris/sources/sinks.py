@@ -68,3 +68,8 @@ def write_suites(suites: DataFrame, path: str) -> None:
 
 def write_ndjson(d: DataFrame, path: str) -> None:
     d.write.mode("overwrite").json(path)
+
+
+def write_combined(spark, table: str, suites: DataFrame, out: str, providers: DataFrame | None = None) -> str:
+    """The summary of all models' results together."""
+    return write_summary(summary_document(spark.read.parquet(table), suites, providers, "combined"), out, "combined")
