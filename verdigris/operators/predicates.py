@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Slices by test id; a test may be in several. The part must start the id or follow a dash.
+#: Slices by test id. A test may be in several. The part must start the id or follow a dash.
 SLICES = {"fast-speech": "(^|-)fast-", "numbers-dates": "(^|-)numbers-", "technical-jargon": "(^|-)tech-", "proper-nouns": "(^|-)names-"}
 
 
