@@ -106,6 +106,37 @@ def test_long_runs_use_leaders():
     assert len(links) == n - 1 and set(brute_components(links).values()) == {0}
 
 
+def test_star_of_copies_equals_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(3000)]
+    base = rng.sample(vocabulary, 150)
+
+    def edited():
+        out = list(base)
+        for i in rng.sample(range(150), 3):
+            out[i] = rng.choice(vocabulary)
+        return " ".join(out)
+
+    texts = [edited() for _ in range(400)]
+    texts.insert(200, " ".join(base))
+    sig = np.array([simhash.signature(t, 5) for t in texts])
+    lanes = sig[:, : simhash.WORD_LANES]
+    keys = [set() for _ in texts]
+    for lane in range(simhash.WORD_LANES):
+        for looking in (0, 1):
+            key, row = simhash.lane_keys(np.ascontiguousarray(lanes[:, lane]), looking)
+            for k, r in zip(key.tolist(), row.tolist(), strict=True):
+                keys[r].add((lane, k))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    near = simhash._far(lanes[:, None], lanes[None]) <= int(64 * simhash.WORD_LANES * simhash.LOOSE)
+    want = [(i, j) for i in range(len(texts)) for j in range(i) if near[i, j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and keys[i] & keys[j]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = spark.createDataFrame([(i, s) for i, s in enumerate(sig.tolist())], "node long, fps array<long>")
+    got = [tuple(r) for r in simhash.similar_links(nodes, docs, 5, 0.8).collect()]
+    assert max(Counter(k for x in keys for k in x).values()) > simhash.SHORT_RUN
+    assert len(want) > 300 and brute_components(got) == brute_components(want)
+
+
 def brute_repeats(texts, n):
     count = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
     out = []

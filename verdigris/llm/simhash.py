@@ -13,7 +13,7 @@ Equal fingerprints are one node, however many documents share it; documents are
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, key_and_text, per_batch, rows_of
+from .common import cut, drop_cut, key_and_text, per_batch, rows_of
 from .components import components
 
 SEED = 42
@@ -210,12 +210,52 @@ def _lane_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (both[0], node[both[1]], *fps[both[1]].T)], names=names)
 
 
-def _run_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within runs of equal keys, from rows sorted by key."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _leader_pairs(fps: np.ndarray, node: np.ndarray, label: np.ndarray, layers: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Pairs proposed within one long run, and which of its rows still have pairs that aren't.
+
+    A leader is proposed with every row near it that another component holds, and is done. In each layer leaders are
+    taken until every row is one or near one, the row nearest to the run's majority first: in a group of edited copies
+    that is the text they were made from. Rows of the component with most rows needn't lead, as each pair that is still
+    open has a row outside of it.
+    """
+    most = int(64 * WORD_LANES * LOOSE)
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1)
+    centre = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(fps)).view(np.int64)
+    order = np.lexsort((node, _far(fps, centre)))
+    _, flat, count = np.unique(label, return_inverse=True, return_counts=True)
+    outside = (flat != count.argmax()) | (count.max() == 1)
+    left = np.ones(len(fps), bool)
+    a, b = [], []
+    for _ in range(layers):
+        free = left & outside
+        if not free.any():
+            break
+        for lead in order.tolist():
+            if free[lead]:
+                left[lead] = False
+                close = left & (_far(fps, fps[lead]) <= most)
+                free &= ~close
+                near = np.flatnonzero(close & (label != label[lead]))
+                a.append(node[near])
+                b.append(np.full(len(near), node[lead]))
+    if not (left & outside).any():
+        left[:] = False
+    return a, b, left
+
+
+PROPOSED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
+PROPOSED_DDL = "a long, b long, key long"
+
+
+def _run_links(batches: Iterator[pa.RecordBatch], layers: int = 1, rest: bool = False) -> Iterator[pa.RecordBatch]:
+    """Links to verify within runs of equal keys, from rows sorted by key: key, node, word lanes and, if known, component.
+
+    With ``rest``, rows of long runs that have open pairs are given too, as (node, node, key); proposals have no key.
+    """
     most = int(64 * WORD_LANES * LOOSE)
 
-    def links(key: np.ndarray, node: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    def links(key: np.ndarray, node: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+        fps, label = more[:, :WORD_LANES], more[:, WORD_LANES] if more.shape[1] > WORD_LANES else node
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         start = np.flatnonzero(new)
@@ -223,26 +263,27 @@ def _run_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.arange(len(key)) - np.repeat(start, size)
         length = np.repeat(size, size)
         a, b = [], []
+        open_node, open_key = [], []
         for shift in range(1, min(SHORT_RUN, int(size.max())) if len(size) else 0):
             i = np.flatnonzero((place >= shift) & (length <= SHORT_RUN))
             if not len(i):
                 break
-            i = i[(_far(fps[i], fps[i - shift]) <= most) & (node[i] != node[i - shift])]
+            i = i[(_far(fps[i], fps[i - shift]) <= most) & (label[i] != label[i - shift])]
             a.append(node[i])
             b.append(node[i - shift])
         for s, n in zip(start[size > SHORT_RUN].tolist(), size[size > SHORT_RUN].tolist(), strict=True):
-            f, m, free = fps[s : s + n], node[s : s + n], np.ones(n, bool)
-            while free.any():
-                lead = int(free.argmax())
-                free[lead] = False
-                near = np.flatnonzero(_far(f, f[lead]) <= most)
-                near = near[m[near] != m[lead]]
-                a.append(m[near])
-                b.append(np.full(len(near), m[lead]))
-                free[near] = False
+            m, once = np.unique(node[s : s + n], return_index=True)
+            x, y, left = _leader_pairs(fps[s : s + n][once], m, label[s : s + n][once], layers)
+            a += x
+            b += y
+            if rest:
+                open_node.append(m[left])
+                open_key.append(np.full(int(left.sum()), key[s]))
         none = np.zeros(0, np.int64)
         both = np.unique(np.stack([np.concatenate([none, *a]), np.concatenate([none, *b])]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], schema=schema)
+        again, of = np.concatenate([none, *open_node]), np.concatenate([none, *open_key])
+        keys = pa.concat_arrays([pa.nulls(both.shape[1], pa.int64()), pa.array(of)])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([both[0], again])), pa.array(np.concatenate([both[1], again])), keys], schema=PROPOSED)
 
     held: list[list[np.ndarray]] = []
     for batch in batches:
@@ -272,24 +313,47 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(per_batch(run), "node long, shingles array<long>")
 
 
-def similar_links(nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b) of similar nodes. ``nodes``: node, fps. ``docs``: doc_id, text; a node's number is one of its documents.
-
-    Fingerprints of the texts' different words give the Golay keys: an edit touches few words and many shingles. Nodes
-    with a common key whose word fingerprints are near are proposed: in short runs of a key every pair, in long ones
-    every node with each leader, where nodes near no earlier leader become leaders, so that a group of copies gives
-    links in proportion to its size. A proposal is a link if the Jaccard similarity of the shingle sets is enough.
-    """
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = nodes.select("node", "fps").mapInArrow(per_batch(_lane_rows), "key long, node long, " + ", ".join(f"w{i} long" for i in range(WORD_LANES)))
-    found = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_run_links, "a long, b long")
-    proposed = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
+def verified(proposed: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The (a, b) of ``proposed`` whose shingle sets are similar enough."""
     wanted = proposed.select(F.explode(F.array("a", "b")).alias("w")).distinct()
     sets = shingle_sets(docs.join(wanted, docs["doc_id"] == wanted["w"], "left_semi"), words)
     sets = cut(sets.groupBy("node").agg(F.min("shingles").alias("shingles")), "shingles")
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("f")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("g"))
     both = proposed.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("f", "g")))
-    return both.where(F.col("common") >= similarity * (F.size("f") + F.size("g") - F.col("common"))).select("a", "b")
+    out = cut(both.where(F.col("common") >= similarity * (F.size("f") + F.size("g") - F.col("common"))).select("a", "b"), "similar")
+    drop_cut(sets)
+    return out
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b) that connect similar nodes. ``nodes``: node, fps. ``docs``: doc_id, text; a node's number is one of its documents.
+
+    Fingerprints of the texts' different words give the Golay keys: an edit touches few words and many shingles. Nodes
+    with a common key whose word fingerprints are near are proposed, and a proposal is a link if the Jaccard similarity
+    of the shingle sets is enough. In short runs of a key every pair is proposed, in long ones every node with each
+    leader; then components of the verified links are formed, and rows of long runs that no verified link has brought
+    into one component go on with four times as many layers of leaders, until no pair is left that could connect more.
+    """
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lanes = [f"w{i}" for i in range(WORD_LANES)]
+    rows = nodes.select("node", "fps").mapInArrow(per_batch(_lane_rows), "key long, node long, " + ", ".join(f"{w} long" for w in lanes))
+    links = checked = None
+    layers = 1
+    while True:
+        run = partial(_run_links, layers=layers, rest=True)
+        found = cut(rows.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(run, PROPOSED_DDL), "found")
+        proposed = found.where("key IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        proposed = cut(proposed if checked is None else proposed.join(checked, ["a", "b"], "left_anti"), "proposed")
+        checked = proposed if checked is None else checked.union(proposed)
+        new = verified(proposed, docs, words, similarity)
+        links = new if links is None else links.union(new)
+        rest = found.where("key IS NOT NULL").select("key", F.col("a").alias("node"))
+        if not rest.head(1):
+            return links
+        layers *= 4
+        now = nodes.join(components(links), "node", "left")
+        now = cut(now.select("node", *[F.col("fps")[i].alias(w) for i, w in enumerate(lanes)], F.coalesce("root", "node").alias("label")), "now")
+        rows = rest.join(now, "node").select("key", "node", *lanes, "label")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
