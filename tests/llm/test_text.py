@@ -39,6 +39,18 @@ def test_structure_confirms():
     assert secrets.is_openssh_key(b"openssh-key-v1\0" + b"\0\0\0\4none" * 2 + b"\0\0\0\0" + b"\0\0\0\1")
 
 
+def test_keys_in_assignments_and_in_base64():
+    std, safe = base64.b64encode(KEY).decode(), base64.urlsafe_b64encode(der(0x30, der(2, b"\0") + b"".join(der(2, bytes([250 + i % 6] * 40)) for i in range(8)))).decode()
+    ssh = base64.b64encode(b"openssh-key-v1\0" + b"\0\0\0\4none" * 2 + b"\0\0\0\0" + b"\0\0\0\1" + b"x" * 40).decode()
+    pem = base64.b64encode(f"-----BEGIN PRIVATE KEY-----\n{std}\n-----END PRIVATE KEY-----\n".encode()).decode()
+    signed = base64.b64encode(f"Bearer {b64({'alg': 'HS256'})}.{b64({'sub': 1})}.c2ln".encode()).decode()
+    assert set("-_") & set(safe)
+    for text, kind in ((f"PRIVATE_KEY={std}", "der"), (f"k={ssh}", "openssh"), (f"k: {safe}", "der"), (f"k={pem}", "pem"), (f"k={signed}", "signed")):
+        assert [k for *_, k in secrets.spans_of(text)] == [kind], text
+        assert secrets.redact_text(text, "<secret>") == text[: 1 + max(text.find("=", 0, 13), text.find(" ", 0, 13))] + "<secret>"
+    assert secrets.spans_of(f"k={base64.b64encode(b'plain text of no further interest at all').decode()}") == []
+
+
 def test_secret_rows_and_redaction(spark):
     rows = [(1, "token=abcdefghijklmnop end", 1), (2, None, 1), (3, "", 1), (3, "", 1)]
     d = spark.createDataFrame(rows, "doc_id long, text string, spans int")

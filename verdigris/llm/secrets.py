@@ -1,8 +1,8 @@
 """Secret scan by structural confirmation.
 
-Regular expressions only propose. A base64, hex or token candidate becomes a structural finding when its decoded
-bytes hold up: DER key encodings whose nested lengths add up, OpenSSH key containers, PEM blocks around either, and
-signed tokens whose header is JSON that names an algorithm.
+Regular expressions only propose. A base64 (either alphabet), hex or token candidate becomes a structural finding when
+its decoded bytes hold up: DER key encodings whose nested lengths add up, OpenSSH key containers, PEM blocks around
+either, and signed tokens whose header is JSON that names an algorithm. Decoded base64 may hold any of these.
 
 Nulls and empty texts give no finding; repeated rows are scanned each; other columns are ignored.
 """
@@ -26,13 +26,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]*?)-----END \1-----")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40,}={0,2}")
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
+URLSAFE = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{40,}={0,2}")
 HEXKEY = re.compile(r"(?<![0-9A-Fa-f])(?:30|6F70656E7373682D|6f70656e7373682d)[0-9A-Fa-f]{60,}(?![0-9A-Fa-f])")
 
 #: Kinds in the order in which spans that start together are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "pem", "signed", "der", "openssh")
 BASE_KINDS = KINDS[:3]
 ORDER = {k: i for i, k in enumerate(KINDS)}
+STANDARD = str.maketrans("-_", "+/")
 OPENSSH_MAGIC = b"openssh-key-v1\0"
 #: DER tags that a private key's SEQUENCE holds: INTEGER, BIT STRING, OCTET STRING, NULL, OID, SEQUENCE, SET, [0]..[3].
 DER_TAGS = frozenset((0x02, 0x03, 0x04, 0x05, 0x06, 0x30, 0x31, 0xA0, 0xA1, 0xA2, 0xA3))
@@ -99,7 +101,8 @@ def is_openssh_key(data: bytes) -> bool:
 
 
 def _from_base64(s: str) -> bytes | None:
-    s = s.rstrip("=")
+    """The bytes of base64 in the standard or the URL-safe alphabet."""
+    s = s.rstrip("=").translate(STANDARD)
     try:
         return base64.b64decode(s + "=" * (-len(s) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -121,6 +124,21 @@ def _key_kind(data: bytes | None) -> str | None:
     return "der" if is_der_key(data) else "openssh" if is_openssh_key(data) else None
 
 
+def _is_pem_key(body: str) -> bool:
+    return _key_kind(_from_base64(re.sub(r"\\n|\s", "", body))) is not None
+
+
+def _decoded_kind(data: bytes | None) -> str | None:
+    """What decoded bytes are: a key encoding, or text with a PEM block around one or a signed token."""
+    if data is None:
+        return None
+    if b"-----BEGIN" in data and any(_is_pem_key(m[2]) for m in PEM.finditer(data.decode("latin-1"))):
+        return "pem"
+    if b"eyJ" in data and any(is_signed_token(m[0]) for m in SIGNED.finditer(data.decode("latin-1"))):
+        return "signed"
+    return _key_kind(data)
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     out = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
@@ -132,14 +150,13 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
-            if _key_kind(_from_base64(re.sub(r"\\n|\s", "", m[2]))):
+            if _is_pem_key(m[2]):
                 out.append((m.start(), m.end(), "pem"))
     if "eyJ" in text:
         out += [(m.start(), m.end(), "signed") for m in SIGNED.finditer(text) if is_signed_token(m[0])]
-    for m in BASE64.finditer(text):
-        s = m[0]
-        if s[0] in "Mb" and (kind := _key_kind(_from_base64(s))):  # 0x30 and the OpenSSH magic begin so
-            out.append((m.start(), m.end(), kind))
+    for span in dict.fromkeys(m.span() for pattern in (BASE64, URLSAFE) for m in pattern.finditer(text)):
+        if kind := _decoded_kind(_from_base64(text[slice(*span)])):
+            out.append((*span, kind))
     for m in HEXKEY.finditer(text):
         s = m[0]
         if kind := _key_kind(bytes.fromhex(s[: len(s) & ~1])):
