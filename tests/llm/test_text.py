@@ -134,6 +134,20 @@ def test_article_and_stretches():
     assert html.main_text('<main class="sidebar-left"><article class="post"><p>x</p></article><article class="comment"><p>no</p></article></main>') == "x"
 
 
+def test_teaser_and_body():
+    body = ("word " * 40).strip()
+    teaser = f"<body><article><p>Teaser</p></article><div class=story><p>{body}</p></div><footer>(c)</footer>"
+    assert html.main_text(teaser) == f"Teaser\n{body}"
+
+
+def test_sections_of_plain_pages():
+    long, closing = ("word " * 300).strip(), ("closing " * 31).strip()
+    sections = f"<body><nav>Home</nav><section><p>{long}</p></section><section><p>Short one.</p></section><section><p>{closing}</p></section><div class=ad>Buy</div><section><p>{closing}</p></section>"
+    assert html.main_text(sections) == "\n".join([long, "Short one.", closing, closing])
+    menu = f"<body><div><a href=x>Home page</a></div><div>Go to</div><div><a href=y>Other page</a></div><p>{long}</p>"
+    assert html.main_text(menu) == long
+
+
 def test_page_rows(spark):
     rows = [(1, "u", "<article><p>é x</p></article>", "k"), (2, None, None, "k"), (1, "u", "", "k")]
     out = sorted((r.page_id, r.text, r.n_chars) for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect())

@@ -1,9 +1,10 @@
 """Main text of web pages by the distribution of text over lines.
 
-Markup is stripped into lines, one per block. Lines of menus, footers, sidebars, notices, adverts, forms and reader
-comments count as empty, and so do lines that are mostly links. Text lengths are summed over sliding windows of lines:
-where a sum surges past a threshold a stretch begins, where it dives to nothing the stretch ends, and the text between
-is kept. An article element marks its surge and dive itself, so all its blocks are kept, short ones too.
+Markup is stripped into lines, one per block; empty lines that tags alone make are left out. Lines of menus, footers,
+sidebars, notices, adverts, forms and reader comments count as empty, and so do lines that are mostly links. Text lengths
+are summed over sliding windows of lines: a stretch of lines with text dives where an empty line comes, and surges where a
+sum passes a threshold. Stretches that surge are kept whole, whatever their share of the page. A stretch that doesn't is
+kept too unless it lies next to a line of links, where it is a menu's. A block of an article weighs enough to surge alone.
 
 Null and empty html give the empty text. Truncated markup ends what is open. Repeated rows are extracted each.
 """
@@ -23,8 +24,6 @@ WINDOW = 3
 SURGE = 80
 #: A line is mostly links if they hold more than this share of it.
 LINK_SHARE = 0.5
-#: A stretch counts beside the largest one if it has this share of its text.
-SMALL_STRETCH = 0.2
 
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)(?:>|\Z)|/?[a-zA-Z][^>]*+(?:>|\Z))""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
@@ -75,22 +74,21 @@ def _is_boilerplate(tag: str, attributes: str, inside: bool) -> bool:
 
 
 class Line:
-    __slots__ = ("parts", "links", "main", "heading")
+    __slots__ = ("parts", "links", "main", "boilerplate")
 
-    def __init__(self, main: bool, heading: bool):
+    def __init__(self, main: bool, boilerplate: bool):
         self.parts: list[str] = []
         self.links = 0
         self.main = main
-        self.heading = heading
+        self.boilerplate = boilerplate
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, length of its links, inside an article, heading) of each block; boilerplate blocks are empty."""
+    """(text, length of its links, inside an article, boilerplate) of each block; boilerplate blocks are empty."""
     out: list[Line] = [Line(False, False)]
     stack: list[str] = []
     skip_from = -1  # depth of the boilerplate element that is open
     main = links = 0
-    heading = False
     at, n = 0, len(page)
 
     def text(s: str) -> None:
@@ -101,15 +99,13 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
                 line.links += len(s.strip())
 
     def pop_to(depth: int) -> None:
-        nonlocal skip_from, main, links, heading
+        nonlocal skip_from, main, links
         while len(stack) > depth:
             tag = stack.pop()
             if len(stack) == skip_from:
                 skip_from = -1
             main -= tag in MAIN
             links -= tag == "a"
-            if tag[0] == "h" and len(tag) == 2:
-                heading = False
 
     while at < n:
         m = TAG.search(page, at)
@@ -144,35 +140,28 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
                 stack.append(tag)
                 main += tag in MAIN
                 links += tag == "a"
-                if tag[0] == "h" and len(tag) == 2 and tag[1] in "123456":
-                    heading = True
         if tag not in INLINE:
-            out.append(Line(main > 0, heading))
-    return [(" ".join(entities.unescape("".join(x.parts)).split()), x.links, x.main, x.heading) for x in out]
+            out.append(Line(main > 0, skip_from >= 0))
+    return [(" ".join(entities.unescape("".join(x.parts)).split()), x.links, x.main, x.boilerplate) for x in out]
 
 
 def main_text(page: str) -> str:
-    lines = lines_of(page)
-    if any(x[2] and x[0] for x in lines):
-        return "\n".join(x[0] for x in lines if x[2] and x[0])
-    weight = [0 if x[1] > LINK_SHARE * len(x[0]) else len(x[0]) for x in lines]
-    sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
-    stretches: list[tuple[int, int, int]] = []
+    lines = [x for x in lines_of(page) if x[0] or x[3]]
+    weight = [max(len(t), SURGE) if main and t else 0 if links > LINK_SHARE * len(t) else len(t) for t, links, main, _ in lines]
+    out: list[str] = []
     i, n = 0, len(lines)
     while i < n:
-        if sums[i] < SURGE or not weight[i]:
+        if not weight[i]:
             i += 1
             continue
         start = i
-        while i < n and sums[i]:
+        while i < n and weight[i]:
             i += 1
-        while start and lines[start - 1][3] and weight[start - 1]:
-            start -= 1
-        stretches.append((start, i, sum(weight[start:i])))
-    if not stretches:
-        return "\n".join(x[0] for x, w in zip(lines, weight, strict=True) if w)
-    most = max(s[2] for s in stretches)
-    return "\n".join(lines[k][0] for a, b, s in stretches if s >= SMALL_STRETCH * most for k in range(a, b) if lines[k][0] and weight[k])
+        sums = (sum(weight[k : min(k + WINDOW, i)]) for k in range(start, i))
+        by_links = any(0 <= k < n and lines[k][0] for k in (start - 1, i))
+        if not by_links or any(s >= SURGE for s in sums):
+            out += [x[0] for x in lines[start:i]]
+    return "\n".join(out)
 
 
 OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
