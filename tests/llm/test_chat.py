@@ -51,3 +51,19 @@ def test_without_calls_and_empty(spark):
 
 def test_canonical():
     assert chat.canonical({"b": 1.0, "a": [True, None, "é"]}) == '{"a":[true,null,"é"],"b":1}'
+
+
+def test_schema_keywords(spark):
+    schemas = [
+        ({"const": 1}, 1, True), ({"const": 1}, True, False), ({"enum": [1]}, True, False), ({"exclusiveMinimum": 2}, 2, False), ({"exclusiveMaximum": 2}, 2, False),
+        ({"multipleOf": 0.1}, 0.3, True), ({"multipleOf": 2}, 3, False), ({"pattern": "^a+$"}, "ab", False), ({"minItems": 1}, [], False), ({"maxItems": 1}, [1, 2], False),
+        ({"uniqueItems": True}, [1, 1], False), ({"uniqueItems": True}, [1, True], True), ({"additionalProperties": {"type": "string"}}, {"a": 1}, False),
+        ({"anyOf": [{"type": "string"}, {"minimum": 3}]}, 2, False), ({"oneOf": [{"minimum": 1}, {"minimum": 2}]}, 2, False),
+        ({"allOf": [{"minimum": 1}, {"maximum": 2}]}, 3, False), ({"not": {"type": "null"}}, None, False), ({"$ref": "#/$defs/n"}, 1, None), ({"if": {"type": "string"}}, 1, None),
+    ]
+    rows = []
+    for i, (s, v, _) in enumerate(schemas):
+        tool = {"name": "f", "parameters": {"type": "object", "properties": {"x": s}}}
+        rows += [(i, 0, "system", "<tools>" + json.dumps([tool]) + "</tools>", "k"), (i, 1, "assistant", call("a", x=v), "k")]
+    out = run(spark, rows)
+    assert [out[i, 1, 0].valid for i in range(len(schemas))] == [want for *_, want in schemas]

@@ -11,7 +11,8 @@ none can outgrow a task; (level, turn, part) orders a conversation's rows topolo
 Null texts are empty, null roles are "user". Blocks that don't parse stay ordinary text. Of calls with equal identifiers the
 first by (turn, part) is linked, the others are "repeated"; results without a call are "orphan", calls without a result
 "open". Calls in a cycle, or that hang on one, are "cyclic" with a null level. Repeated rows give a row each, the
-later one by content counting as a repetition. Calls without an identifier or a conversation are "unnamed". A call without a known schema is neither valid nor invalid.
+later one by content counting as a repetition. Calls without an identifier or a conversation are "unnamed". A call without a known schema, or with one
+whose keywords aren't all implemented, is neither valid nor invalid.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -51,41 +53,102 @@ def _is(kind: str, v) -> bool:
     }.get(kind, True)
 
 
+#: Keywords that constrain values and aren't implemented.
+UNSUPPORTED = frozenset(
+    "$dynamicRef $recursiveRef if then else contains minContains maxContains prefixItems additionalItems propertyNames dependencies "
+    "dependentRequired dependentSchemas patternProperties minProperties maxProperties unevaluatedItems unevaluatedProperties $ref".split()
+)
+
+
+class UnsupportedSchema(ValueError):
+    """A schema of which nothing can be said."""
+
+
+def _matches(pattern, value: str) -> bool:
+    try:
+        return re.search(pattern, value) is not None
+    except (re.error, TypeError):
+        raise UnsupportedSchema(f"pattern {pattern}") from None
+
+
 def problems(schema, value, path: str = "$") -> list[str]:
-    """Where ``value`` breaks a JSON schema of types, enums, bounds, patterns, required and further properties and items."""
+    """Where ``value`` breaks a JSON schema.
+
+    Types, enums, constants, bounds, multiples, lengths, patterns, required and further properties, items and their number
+    and combined schemas are looked at; where other keywords constrain the value, references too, UnsupportedSchema is raised.
+    """
+    if schema is False:
+        return [f"{path}: not allowed"]
     if not isinstance(schema, dict):
         return []
+    if found := UNSUPPORTED & schema.keys():
+        raise UnsupportedSchema(", ".join(sorted(found)))
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds if isinstance(kinds, list) else []
     if kinds and not any(_is(k, value) for k in kinds):
         return [f"{path}: not {'/'.join(map(str, kinds))}"]
     out = []
-    if isinstance(schema.get("enum"), list) and value not in schema["enum"]:
+    if isinstance(schema.get("enum"), list) and canonical(value) not in map(canonical, schema["enum"]):
         out.append(f"{path}: not in enum")
+    if "const" in schema and canonical(value) != canonical(schema["const"]):
+        out.append(f"{path}: not the constant")
     if _is("number", value):
-        if _is("number", schema.get("minimum")) and value < schema["minimum"]:
+        low, high = schema.get("exclusiveMinimum"), schema.get("exclusiveMaximum")
+        low, high = schema.get("minimum") if low is True else low, schema.get("maximum") if high is True else high
+        if _is("number", schema.get("minimum")) and value < schema["minimum"] or _is("number", low) and value <= low:
             out.append(f"{path}: below minimum")
-        if _is("number", schema.get("maximum")) and value > schema["maximum"]:
+        if _is("number", schema.get("maximum")) and value > schema["maximum"] or _is("number", high) and value >= high:
             out.append(f"{path}: above maximum")
+        step = schema.get("multipleOf")
+        if _is("number", step) and step > 0 and math.isfinite(value) and Fraction(str(value)) % Fraction(str(step)):
+            out.append(f"{path}: not a multiple")
     if isinstance(value, str):
         if isinstance(schema.get("maxLength"), int) and len(value) > schema["maxLength"]:
             out.append(f"{path}: too long")
         if isinstance(schema.get("minLength"), int) and len(value) < schema["minLength"]:
             out.append(f"{path}: too short")
+        if "pattern" in schema and not _matches(schema["pattern"], value):
+            out.append(f"{path}: doesn't match pattern")
     if isinstance(value, dict):
         known = schema.get("properties") if isinstance(schema.get("properties"), dict) else {}
         out += [f"{path}.{k}: missing" for k in schema.get("required") or [] if k not in value]
-        if schema.get("additionalProperties") is False:
-            out += [f"{path}.{k}: unknown" for k in value if k not in known]
+        further = schema.get("additionalProperties")
+        for k in value:
+            if k not in known:
+                out += [f"{path}.{k}: unknown"] if further is False else problems(further, value[k], f"{path}.{k}")
         for k, s in known.items():
             if k in value:
                 out += problems(s, value[k], f"{path}.{k}")
     if isinstance(value, list):
+        if isinstance(schema.get("items"), list):
+            raise UnsupportedSchema("items by position")
+        if isinstance(schema.get("minItems"), int) and len(value) < schema["minItems"]:
+            out.append(f"{path}: too few items")
+        if isinstance(schema.get("maxItems"), int) and len(value) > schema["maxItems"]:
+            out.append(f"{path}: too many items")
+        if schema.get("uniqueItems") is True and len(set(map(canonical, value))) < len(value):
+            out.append(f"{path}: repeated items")
         for i, x in enumerate(value):
             out += problems(schema.get("items"), x, f"{path}[{i}]")
+    branches = {k: [problems(s, value, path) for s in schema[k]] for k in ("allOf", "anyOf", "oneOf") if isinstance(schema.get(k), list)}
+    out += [p for found in branches.get("allOf", ()) for p in found]
+    if "anyOf" in branches and all(branches["anyOf"]):
+        out.append(f"{path}: none of anyOf")
+    if "oneOf" in branches and sum(not found for found in branches["oneOf"]) != 1:
+        out.append(f"{path}: not one of oneOf")
+    if "not" in schema and not problems(schema["not"], value, path):
+        out.append(f"{path}: excluded")
     return out
 
 
+def _verdict(schema, value) -> tuple[bool | None, list[str]]:
+    try:
+        found = problems(schema, value)
+    except (UnsupportedSchema, RecursionError):
+        return None, []
+    return not found, found
+
+
 def references(value) -> list[str]:
     if isinstance(value, str):
         m = REFERENCE.fullmatch(value)
@@ -160,8 +223,7 @@ def _write(batch: pa.RecordBatch):
             message |= {"id": r["id"], "name": r["name"], "status": r["status"]}
             message["arguments" if r["kind"] == "call" else "content"] = _json(r["body"])
             if r["kind"] == "call" and r["schema"] is not None:
-                found = problems(_json(r["schema"]), _json(r["body"]))
-                valid = not found
+                valid, found = _verdict(_json(r["schema"]), _json(r["body"]))
                 message |= {"valid": valid} | ({"problems": found} if found else {})
             if r["kind"] == "call" and r["result"] is not None:
                 message["result"] = _json(r["result"])
