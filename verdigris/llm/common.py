@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints"
+LOCAL_DIR = "verdigris-checkpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where spark.checkpoint.dir is unset is a local one taken."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_CHECKPOINT_DIR).rstrip("/")
+    """The folder all executors share. A local session, where driver and executors are one, may have none set."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), LOCAL_DIR)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:

@@ -64,13 +64,16 @@ def _least_neighbour(links: DataFrame, key: str, other: str) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node with a link: ``root`` is the least node that links reach. ``links``: long a, b.
 
-    Rounds of large and small stars; each is written to the shared folder, so that lineage stays short and a hub's
-    links meet its label in a join that adaptive execution can split. Ends when a round changes nothing. Repeated
-    links, links in both directions and loops do no harm; no links give no rows.
+    Each task first reduces its links to a forest, and where no more than ``FLUSH`` links are left, one task does so with
+    all of them. Otherwise there are rounds of large and small stars; each is written to the shared folder, so that
+    lineage stays short and a hub's links meet its label in a join that adaptive execution can split. Ends when a round
+    changes nothing. Repeated links, links in both directions and loops do no harm; no links give no rows.
     """
     links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").mapInArrow(_local, EDGE_DDL)
     edges = cut(links.distinct(), "links")  # a > b
     seen = _signature(edges)
+    if seen[0] <= FLUSH:  # no more than each task has held before: one task makes the last forest
+        return edges.coalesce(1).mapInArrow(_local, EDGE_DDL).select(F.col("a").alias("node"), F.col("b").alias("root"))
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(_least_neighbour(both, "a", "b").select("u", F.least("u", "m").alias("m")), "least")

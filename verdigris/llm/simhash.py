@@ -13,7 +13,7 @@ Equal fingerprints are one node, however many documents share it; documents are
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -154,13 +154,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, id_col:
 
 #: Derives further hash functions from XXH64: the golden ratio's bits.
 STEP = 0x9E3779B97F4A7C15
-#: Fingerprints of a signature that give keys (of a text's different words), and those that tell orders of words apart.
-WORD_LANES, SHINGLE_LANES = 3, 2
-#: Word lanes of a key's nodes may differ in this share of their bits before anything else is looked at.
-LOOSE = 0.2
-#: Runs of equal keys up to this length are compared pair by pair; longer ones through leaders.
-SHORT_RUN = 32
-CHUNK_ROWS = 100_000
+#: Fingerprints of a text's different words, each from a hash function of its own, and the bits of all of them.
+LANES = 3
+#: Rows of a key are near if all their fingerprints together differ in no more than this share of the bits.
+LOOSE = 0.35
+#: Runs of equal keys up to this length are searched for near rows; of longer ones all rows go on to the exact search.
+SEARCHED_RUN = 64
+WORD_COLUMNS = [f"w{i}" for i in range(LANES)]
 
 
 def majority(hashes: np.ndarray, lanes: int) -> list[int]:
@@ -180,128 +180,50 @@ def majority(hashes: np.ndarray, lanes: int) -> list[int]:
     return out
 
 
-def signature(text: str, words: int) -> list[int]:
-    return majority(np.unique(shingle_hashes(text, 1)), WORD_LANES) + majority(shingle_hashes(text, words), SHINGLE_LANES)
+SIGNATURE_DDL = "doc_id long, h long, digest binary, " + ", ".join(f"{w} long" for w in WORD_COLUMNS)
+SIGNATURE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("digest", pa.binary()), *[(w, pa.int64()) for w in WORD_COLUMNS]])
 
 
-def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("fps", pa.list_(pa.int64()))])
+def signatures(docs: DataFrame) -> DataFrame:
+    """A 128-bit digest of each text's words, null without words, and fingerprints of its different words. ``docs``: doc_id, h, text."""
 
     def run(batch: pa.RecordBatch):
-        yield rows_of(schema, {"doc_id": batch.column(0), "fps": [signature(t.as_py(), words) for t in batch.column(1)]})
+        digest, fps = [], []
+        for t in batch.column(2):
+            words = t.as_py().encode("utf-8", "surrogatepass").lower().split()
+            digest.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
+            different = {xxhash.xxh64_intdigest(w, SEED) for w in dict.fromkeys(words)}
+            fps.append(majority(np.fromiter(different, np.uint64, len(different)), LANES))
+        lanes = dict(zip(WORD_COLUMNS, zip(*fps, strict=True), strict=True))
+        yield rows_of(SIGNATURE, {"doc_id": batch.column(0), "h": batch.column(1), "digest": digest, **lanes})
 
-    return key_and_text(docs, id_col, text_col).mapInArrow(per_batch(run), "doc_id long, fps array<long>")
-
-
-def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+    return docs.select("doc_id", "h", "text").mapInArrow(per_batch(run), SIGNATURE_DDL)
 
 
 def _lane_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    names = ["key", "node", *[f"w{i}" for i in range(WORD_LANES)]]
+    """(key, node) of every lane, looked up both ways. ``batch``: node and its word fingerprints."""
     for at in range(0, batch.num_rows, 1 << 13):
-        part = batch.slice(at, 1 << 13)
-        node = part.column(0).to_numpy(zero_copy_only=False)
-        fps = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)[:, :WORD_LANES]
-        for lane in range(WORD_LANES):
-            for looking in (0, 1):
-                key, row = lane_keys(np.ascontiguousarray(fps[:, lane]), looking)
-                both = np.unique(np.stack([key | (lane << 26), row]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (both[0], node[both[1]], *fps[both[1]].T)], names=names)
-
-
-def _leader_pairs(fps: np.ndarray, node: np.ndarray, label: np.ndarray, layers: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Pairs proposed within one long run, and which of its rows still have pairs that aren't.
-
-    A leader is proposed with every row near it that another component holds, and is done. In each layer leaders are
-    taken until every row is one or near one, the row nearest to the run's majority first: in a group of edited copies
-    that is the text they were made from. Rows of the component with most rows needn't lead, as each pair that is still
-    open has a row outside of it.
-    """
-    most = int(64 * WORD_LANES * LOOSE)
-    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1)
-    centre = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(fps)).view(np.int64)
-    order = np.lexsort((node, _far(fps, centre)))
-    _, flat, count = np.unique(label, return_inverse=True, return_counts=True)
-    outside = (flat != count.argmax()) | (count.max() == 1)
-    left = np.ones(len(fps), bool)
-    a, b = [], []
-    for _ in range(layers):
-        free = left & outside
-        if not free.any():
-            break
-        for lead in order.tolist():
-            if free[lead]:
-                left[lead] = False
-                close = left & (_far(fps, fps[lead]) <= most)
-                free &= ~close
-                near = np.flatnonzero(close & (label != label[lead]))
-                a.append(node[near])
-                b.append(np.full(len(near), node[lead]))
-    if not (left & outside).any():
-        left[:] = False
-    return a, b, left
-
-
-PROPOSED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
-PROPOSED_DDL = "a long, b long, key long"
-
-
-def _run_links(batches: Iterator[pa.RecordBatch], layers: int = 1, rest: bool = False) -> Iterator[pa.RecordBatch]:
-    """Links to verify within runs of equal keys, from rows sorted by key: key, node, word lanes and, if known, component.
-
-    With ``rest``, rows of long runs that have open pairs are given too, as (node, node, key); proposals have no key.
+        node, *lanes = (c.to_numpy(zero_copy_only=False) for c in batch.slice(at, 1 << 13).columns)
+        for lane, fp in enumerate(lanes):
+            keys, rows = zip(*(lane_keys(fp, looking) for looking in (0, 1)), strict=True)
+            both = np.unique(np.stack([np.concatenate(keys) | (lane << 26), np.concatenate(rows)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(node[both[1]])], names=["key", "node"])
+
+
+def _bits(a: str, b: str):
+    """Differing bits of two rows' word fingerprints; ``a`` and ``b`` go in front of the columns' names."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))) for w in WORD_COLUMNS])
+
+
+def _either(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): hashes of the different shingles of each node's text.
+
+    ``docs``: doc_id, h, text. ``nodes``: node, doc_id, h; the last two name a row that has the node's text.
     """
-    most = int(64 * WORD_LANES * LOOSE)
-
-    def links(key: np.ndarray, node: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
-        fps, label = more[:, :WORD_LANES], more[:, WORD_LANES] if more.shape[1] > WORD_LANES else node
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, len(key)))
-        place = np.arange(len(key)) - np.repeat(start, size)
-        length = np.repeat(size, size)
-        a, b = [], []
-        open_node, open_key = [], []
-        for shift in range(1, min(SHORT_RUN, int(size.max())) if len(size) else 0):
-            i = np.flatnonzero((place >= shift) & (length <= SHORT_RUN))
-            if not len(i):
-                break
-            i = i[(_far(fps[i], fps[i - shift]) <= most) & (label[i] != label[i - shift])]
-            a.append(node[i])
-            b.append(node[i - shift])
-        for s, n in zip(start[size > SHORT_RUN].tolist(), size[size > SHORT_RUN].tolist(), strict=True):
-            m, once = np.unique(node[s : s + n], return_index=True)
-            x, y, left = _leader_pairs(fps[s : s + n][once], m, label[s : s + n][once], layers)
-            a += x
-            b += y
-            if rest:
-                open_node.append(m[left])
-                open_key.append(np.full(int(left.sum()), key[s]))
-        none = np.zeros(0, np.int64)
-        both = np.unique(np.stack([np.concatenate([none, *a]), np.concatenate([none, *b])]), axis=1)
-        again, of = np.concatenate([none, *open_node]), np.concatenate([none, *open_key])
-        keys = pa.concat_arrays([pa.nulls(both.shape[1], pa.int64()), pa.array(of)])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([both[0], again])), pa.array(np.concatenate([both[1], again])), keys], schema=PROPOSED)
-
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        if batch.num_rows:
-            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-        if sum(len(h[0]) for h in held) >= CHUNK_ROWS:
-            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-            end = int(np.searchsorted(cols[0], cols[0][-1]))
-            if end:
-                yield links(cols[0][:end], cols[1][:end], np.stack([c[:end] for c in cols[2:]], axis=1))
-            held = [[c[end:] for c in cols]]
-    if held:
-        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-        yield links(cols[0], cols[1], np.stack(cols[2:], axis=1))
-
-
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(node, shingles): hashes of each text's different shingles. ``docs``: doc_id, text."""
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batch: pa.RecordBatch):
@@ -310,69 +232,123 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in part.column(1)]
             yield rows_of(schema, {"node": part.column(0), "shingles": sets})
 
-    return docs.mapInArrow(per_batch(run), "node long, shingles array<long>")
+    wanted = nodes.select("node", F.col("doc_id").alias("n_id"), F.col("h").alias("n_h"))
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("h") == F.col("n_h"))).select("node", "text")
+    sets = texts.mapInArrow(per_batch(run), "node long, shingles array<long>")
+    return sets.groupBy("node").agg(F.min("shingles").alias("shingles"))
 
 
-def verified(proposed: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+def verified(proposed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The (a, b) of ``proposed`` whose shingle sets are similar enough."""
-    wanted = proposed.select(F.explode(F.array("a", "b")).alias("w")).distinct()
-    sets = shingle_sets(docs.join(wanted, docs["doc_id"] == wanted["w"], "left_semi"), words)
-    sets = cut(sets.groupBy("node").agg(F.min("shingles").alias("shingles")), "shingles")
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("f")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("g"))
     both = proposed.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("f", "g")))
-    out = cut(both.where(F.col("common") >= similarity * (F.size("f") + F.size("g") - F.col("common"))).select("a", "b"), "similar")
-    drop_cut(sets)
-    return out
+    return both.where(F.col("common") >= similarity * (F.size("f") + F.size("g") - F.col("common"))).select("a", "b")
+
+
+def candidate_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """All (a, b) of different labels that may be similar, by prefixes. ``sets``: node, label, shingles.
+
+    Shingles are ordered from the rarest on. Two similar sets share a shingle among the first of each, and from its
+    places there follows how many they can share at all. Within a shingle, rows of its commonest label aren't held
+    against each other, so what a large component shares costs nothing.
+    """
+    each = sets.select("node", "label", F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("df"))
+    ordered = each.join(often, "token").groupBy("node", "label", "size").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+    need = F.ceil(F.col("size") * F.lit(similarity) - 1e-9)
+    first = F.slice("tokens", F.lit(1), (F.col("size") - need + 1).cast("int"))
+    rows = ordered.select("node", "label", "size", F.posexplode(first).alias("pos", "t")).where("t.df > 1").select("t.token", "node", "label", "size", "pos")
+    rows = cut(rows, "prefixes")
+    of_label = rows.groupBy("token", "label").agg(F.count("*").alias("n"))
+    mixed = of_label.groupBy("token").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").select("token", F.col("most.label").alias("commonest"))
+    rows = rows.join(mixed, "token")
+    left = rows.where("label <> commonest").select("token", F.col("node").alias("x"), F.col("label").alias("x_label"), F.col("size").alias("x_size"), F.col("pos").alias("x_pos"))
+    right = rows.select("token", F.col("node").alias("y"), F.col("label").alias("y_label"), F.col("size").alias("y_size"), F.col("pos").alias("y_pos"))
+    can_share = 1 + F.least(F.col("x_size") - F.col("x_pos") - 1, F.col("y_size") - F.col("y_pos") - 1)
+    enough = can_share >= similarity / (1 + similarity) * (F.col("x_size") + F.col("y_size")) - 1e-9
+    pairs = left.join(right, (left["token"] == right["token"]) & (F.col("x_label") != F.col("y_label")) & enough)
+    return pairs.select(*_either("x", "y")).distinct()
 
 
 def similar_links(nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b) that connect similar nodes. ``nodes``: node, fps. ``docs``: doc_id, text; a node's number is one of its documents.
+    """(a, b) that connect similar nodes. ``nodes``: node, doc_id, h, word fingerprints. ``docs``: doc_id, h, text.
+
+    Fingerprints of the texts' different words give the Golay keys: an edit touches few words and many shingles. A link
+    is a pair with the wanted Jaccard similarity of shingle sets.
+
+    1. Each key has a leader, the row whose fingerprints most nodes have: in a group of edited copies that is the text
+       they were made from. Rows near their leaders are proposed with them, verified, and joined into components.
+    2. Rows that share a key with a near row of another component, so may have a link that the leaders didn't show, are
+       all held against each other by ``candidate_pairs``, which misses none, and verified.
 
-    Fingerprints of the texts' different words give the Golay keys: an edit touches few words and many shingles. Nodes
-    with a common key whose word fingerprints are near are proposed, and a proposal is a link if the Jaccard similarity
-    of the shingle sets is enough. In short runs of a key every pair is proposed, in long ones every node with each
-    leader; then components of the verified links are formed, and rows of long runs that no verified link has brought
-    into one component go on with four times as many layers of leaders, until no pair is left that could connect more.
+    Nothing is gathered by key but runs of bounded length; leaders are maxima, aggregated before they are shuffled.
     """
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lanes = [f"w{i}" for i in range(WORD_LANES)]
-    rows = nodes.select("node", "fps").mapInArrow(per_batch(_lane_rows), "key long, node long, " + ", ".join(f"{w} long" for w in lanes))
-    links = checked = None
-    layers = 1
-    while True:
-        run = partial(_run_links, layers=layers, rest=True)
-        found = cut(rows.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(run, PROPOSED_DDL), "found")
-        proposed = found.where("key IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        proposed = cut(proposed if checked is None else proposed.join(checked, ["a", "b"], "left_anti"), "proposed")
-        checked = proposed if checked is None else checked.union(proposed)
-        new = verified(proposed, docs, words, similarity)
-        links = new if links is None else links.union(new)
-        rest = found.where("key IS NOT NULL").select("key", F.col("a").alias("node"))
-        if not rest.head(1):
-            return links
-        layers *= 4
-        now = nodes.join(components(links), "node", "left")
-        now = cut(now.select("node", *[F.col("fps")[i].alias(w) for i, w in enumerate(lanes)], F.coalesce("root", "node").alias("label")), "now")
-        rows = rest.join(now, "node").select("key", "node", *lanes, "label")
+    near = int(64 * LANES * LOOSE)
+    keys = nodes.select("node", *WORD_COLUMNS).mapInArrow(per_batch(_lane_rows), "key long, node long")
+    lanes = nodes.select("node", F.posexplode(F.array(*WORD_COLUMNS)).alias("lane", "fp"))
+    popular = lanes.join(lanes.groupBy("lane", "fp").agg(F.count("*").alias("n")), ["lane", "fp"]).groupBy("node").agg(F.sum("n").alias("score"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = cut(keys.join(shared, "key").join(nodes.select("node", *WORD_COLUMNS).join(popular, "node"), "node"), "runs")
+
+    leaders = rows.groupBy("key").agg(F.max(F.struct("score", "node", *WORD_COLUMNS)).alias("l")).select("key", F.col("l.node").alias("leader"), *[F.col(f"l.{w}").alias(f"l_{w}") for w in WORD_COLUMNS])
+    led = rows.join(leaders, "key").where((F.col("node") != F.col("leader")) & (_bits("", "l_") <= near))
+    proposed = cut(led.select(*_either("node", "leader")).distinct(), "proposed")
+    wanted = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = cut(shingle_sets(docs, nodes.join(wanted, "node", "left_semi"), words), "shingles")
+    links = cut(verified(proposed, sets, similarity), "similar")
+    drop_cut(sets)
+
+    labels = components(links)
+    label = F.coalesce("root", "node").alias("label")
+    now = cut(rows.where("n > 2").join(labels, "node", "left").select("key", "n", "node", label, *WORD_COLUMNS), "labelled")
+    drop_cut(rows)
+    mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    open_rows = now.join(mixed, "key", "left_semi")
+    run = open_rows.where(F.col("n") <= SEARCHED_RUN).groupBy("key").agg(F.collect_list(F.struct("node", "label", *WORD_COLUMNS)).alias("run"))
+
+    def apart(x, y):
+        bits = [F.bit_count(x[w].bitwiseXOR(y[w])) for w in WORD_COLUMNS]
+        return (x["label"] != y["label"]) & (reduce(lambda p, q: p + q, bits) <= near)
+
+    found = run.select(F.explode(F.transform(F.filter("run", lambda x: F.exists("run", lambda y: apart(x, y))), lambda x: x["node"])).alias("node"))
+    more = cut(found.union(open_rows.where(F.col("n") > SEARCHED_RUN).select("node")).distinct(), "open")
+    named = nodes.join(more, "node", "left_semi")
+    sets = shingle_sets(docs, named, words).join(labels, "node", "left").select("node", "shingles", label)
+    sets = cut(sets, "shingles")
+    again = cut(candidate_pairs(sets, similarity).join(proposed, ["a", "b"], "left_anti"), "proposed")
+    rest = cut(verified(again, sets, similarity), "similar")
+    for old in (now, more, sets, proposed, again):
+        drop_cut(old)
+    return links.union(rest)
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: the one of the least id.
+    """``docs`` with one row of each group of near-duplicates: the one of the least id, null ids last.
 
-    Documents with equal signatures are one node; nodes link as ``similar_links`` says. Texts without words are no
-    duplicates of anything and stay, as do rows with a null id; of rows with equal ids one stays.
+    Documents with the same words in the same order, A-Z in either case, are one node; a 128-bit digest tells. Nodes
+    link as ``similar_links`` says. Null texts and texts without words are no duplicates of anything and stay. Ids need
+    not be unique: rows of one id with different texts are different documents; of rows with equal id and text one stays.
     """
-    spread = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    named = docs.where(F.col(id_col).isNotNull())
-    sig = cut(signatures(named, words, id_col, text_col), "signatures")
-    wordy = sig.where(F.exists("fps", lambda x: x != 0))
-    nodes = cut(wordy.groupBy("fps").agg(F.min("doc_id").alias("node")), "nodes")
-    roots = components(similar_links(nodes, key_and_text(named, id_col, text_col), words, similarity))
-    # a node's number is its least document, so a root is the least document of its group
-    lead = nodes.join(roots, "node", "left_anti").select("node")
-    ids = wordy.select("doc_id").distinct()
-    gone = cut(ids.join(lead, ids["doc_id"] == lead["node"], "left_anti").select(F.col("doc_id").alias("__gone")), "gone")
-    kept = named.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    one = Window.partitionBy(id_col).orderBy(spread)
-    kept = kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))
+    row = row.select("row", F.col("row").getField(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    plain = row.select("doc_id", "h", "text")
+    sig = cut(signatures(plain).where("digest IS NOT NULL"), "signatures")
+    # null ids last, then the least id
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    least = sig.groupBy("digest").agg(F.min(place).alias("p"), *[F.first(w).alias(w) for w in WORD_COLUMNS])
+    nodes = cut(least.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("p.doc_id").alias("doc_id"), F.col("p.h").alias("h"), *WORD_COLUMNS), "nodes")
+    roots = cut(components(similar_links(nodes, plain, words, similarity)), "roots")
+    grouped = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h").alias("p"))
+    stays = grouped.groupBy("root").agg(F.min("p").alias("p")).select(F.col("p.doc_id").alias("k_id"), F.col("p.h").alias("k_h"))
+    stays = cut(stays, "stays")
+    ids = sig.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
+    same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h"))
+    gone = cut(ids.join(stays, same, "left_anti").select(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h")), "gone")
+    twice = cut(ids.where("n > 1").join(stays, same, "left_semi").select(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h")), "twice")
+    found = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("h") == F.col("g_h"))
+    kept = row.join(gone, found, "left_anti")
+    one = Window.partitionBy("doc_id", "h").orderBy(F.xxhash64("row"))
+    first = kept.join(twice, found, "left_semi").withColumn("n", F.row_number().over(one)).where("n = 1")
+    out = kept.join(twice, found, "left_anti").select("row").union(first.select("row"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
