@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 import zlib
@@ -52,24 +53,50 @@ def test_pack_documents(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def texts_of(sf="sf0.001"):
+    import duckdb
+
+    return [t or "" for (t,) in duckdb.sql(f"SELECT text FROM '/root/testdata/{sf}/documents.parquet'").fetchall()]
+
+
 def test_counts_equal_the_library_in_any_chunks(spark):
     t = tokencount.CountTransducer(tokenizer_path("piece_bpe_32k.model"))
     for x in ODD:
         n = len(t.sp.encode(x))
-        assert {t.count(x, c) for c in (1 << 16, 1, 3, 7, 50)} == {n}, x
-    rows = [(1, "a b " * 3000, 1), (2, None, 1), (3, "é", 1)]
-    out = {r.doc_id: r for r in tokencount.count_tokens(spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")).collect()}
-    assert out[1].over_limit and not out[2].over_limit
-    assert (out[2].n_bytes, out[2].n_tokens, out[3].n_bytes) == (0, 0, 2)
+        assert {t.counts([x], c)[0] for c in (1 << 16, 1, 3, 7, 50)} == {n}, x
+    texts = [*texts_of(), "x" * 200_000, "ab " * 70_000, "a\n\n  b" * 30_000]
+    assert t.counts(texts) == [len(x) for x in t.sp.encode(texts)]
+    rows = [(1, "a b " * 3000, 1), (2, None, 1), (3, "é", 1), (3, "é", 1)]
+    out = tokencount.count_tokens(spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")).collect()
+    by = {r.doc_id: r for r in out}
+    assert len(out) == 4 and by[1].over_limit and not by[2].over_limit
+    assert (by[2].n_bytes, by[2].n_tokens, by[3].n_bytes) == (0, 0, 2)
+
+
+def test_transitions_carry_the_counts():
+    """Counts come from running characters through compiled states, not from the library."""
+    t = tokencount.CountTransducer(tokenizer_path("piece_bpe_32k.model"))
+    want = [len(x) for x in t.sp.encode(ODD)]
+    t.sp = None
+    assert t.counts(ODD) == want
+    states = len(t.known)
+    assert states > 100 and sum(map(len, t.transitions)) >= states - 1
+    # a reset leads to one state whatever came before, and running in two steps is running at once
+    word = t.run(t.start, " the")[0]
+    assert t.run(word, " a") == t.run(t.run(t.start, " xyz")[0], " a")
+    s, n = t.run(t.start, " unbelie")
+    assert tuple(x + y for x, y in zip(t.run(s, "vable"), (0, n), strict=True)) == t.run(t.start, " unbelievable")
+    t.forget_states()
+    assert t.counts(ODD) == want
 
 
 def test_chunk_maps_compose_associatively():
     t = tokencount.CountTransducer(tokenizer_path("piece_bpe_32k.model"))
-    for x in ODD[:40]:
-        parts = [t.chunk_map(" " + x[i : i + 4] if i == 0 else x[i : i + 4]) for i in range(0, len(x), 4)]
-        if len(parts) == 3:
-            a, b, c = parts
-            assert t.finish(t.compose(t.compose(a, b), c)) == t.finish(t.compose(a, t.compose(b, c)))
+    for x in [x for x in ODD if len(x) > 2]:
+        x = " " + x.replace("▁", " ")
+        for k, m in ((1, 2), (len(x) // 3, 2 * len(x) // 3), (len(x) // 2, len(x) - 1)):
+            a, b, c = t.chunk_maps([x[:k], x[k:m], x[m:]])
+            assert t.finish(t.compose(t.compose(a, b), c)) == t.finish(t.compose(a, t.compose(b, c))) == len(t.sp.encode(x[1:]))
 
 
 def test_bpe_round_trip_equals_the_library():
@@ -84,6 +111,33 @@ def test_bpe_round_trip_equals_the_library():
     assert 0 < c.failed < c.proposed
 
 
+def test_bpe_digests_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    c, lib = bpe.Codec(path), Tokenizer.from_file(path)
+    texts = [*ODD, *texts_of(), "word, " * 60_000, "x" * 100_000, ", . ,a, b.\nC,\n.d", "a.\0. b", "end.", "Ü.", "_, a"]
+    for most in (bpe.CACHE_UNITS, 50):  # with units forgotten all the time, too
+        for at in range(0, len(texts), 40):
+            part = texts[at : at + 40]
+            got = c.digest(part)
+            c.units.trim(most)
+            for x, (n, ids_hash, back_hash) in zip(part, got, strict=True):
+                ids = lib.encode(x, add_special_tokens=False).ids
+                assert n == len(ids) and ids_hash == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), x[:80]
+                assert back_hash == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest(), x[:80]
+
+
+def test_pairs_are_tested_and_failing_words_merged():
+    c = bpe.Codec(tokenizer_path("byte_bpe_50k.json"))
+    ids, first, bad = c.propose([b" the", b" unbelievable", b" xqzzy", b" hthe"])
+    for k, word in enumerate((b" the", b" unbelievable", b" xqzzy", b" hthe")):
+        proposed = ids[first[k] : first[k + 1]].tolist()
+        assert b"".join(c.bytes_of[i] for i in proposed) == word
+        assert bad[k] == any(c.merge(c.bytes_of[a] + c.bytes_of[b]) != [a, b] for a, b in zip(proposed, proposed[1:], strict=False))
+        assert bad[k] or proposed == c.merge(word)
+
+
 def test_bpe_rows(spark):
     rows = [(1, "hello world", "k"), (2, None, "k"), (2, None, "k")]
     out = bpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string, ids string")).collect()
