@@ -25,7 +25,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import key_and_text, tokenizer_path
+from .common import byte_of_char, key_and_text, tokenizer_path
 
 WINDOW = 2048
 MAX_PIECES = 1_000_000
@@ -99,13 +99,6 @@ ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 WORD_END = b"\xff"
 
 
-def byte_of_char() -> dict[str, int]:
-    """The public byte-level alphabet: printable Latin-1 characters stand for themselves, the rest follow from 256 on."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class WordIds:
     """Ids of a text as little-endian 32-bit bytes; what stands between white space is encoded once and remembered.
 
