@@ -231,12 +231,49 @@ def test_wide_runs_go_window_by_window(spark, monkeypatch):
     check_repeats(spark, repeat_texts()[:60])
 
 
+def test_runs_span_ranges_and_batches():
+    """Neighbours are found whatever the batches, and rows at a range's edges count as having one."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    rows = sorted((int(a), int(b), int(c), int(d)) for a, b, c, d in rng.integers(0, 5, (300, 4)))
+    cols = [np.array(x) for x in zip(*rows, strict=True)]
+    cols += [np.arange(300), np.arange(300, dtype=np.int32), np.where(rng.random(300) < 0.1, suffix.MANY, suffix.ONE).astype(np.int8)]
+    runs, firsts = Counter(r[:2] for r in rows), Counter(r[:3] for r in rows)
+    for size in (1, 2, 7, 300):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in cols], schema=suffix.SUFFIX) for i in range(0, 300, size)]
+        out = [r for b in suffix._neighbours(iter(batches), 2, suffix.FIRST) for r in b.to_pylist()]
+        kind = dict(enumerate(cols[6].tolist()))
+        assert {r["row_key"] for r in out} == {i for i, r in enumerate(rows) if runs[r[:2]] > 1 or kind[i] == suffix.MANY or i in (0, 299)}
+        assert {r["row_key"] for r in out if r["flags"] & suffix.FIRST} == {i for i, r in enumerate(rows) if firsts[r[:3]] > 1 or kind[i] == suffix.MANY}
+        assert sum(r["flags"] & suffix.ASKED > 0 for r in out) == len({rows[r["row_key"]] for r in out})
+
+
+def test_multikey_quicksort():
+    rng = np.random.default_rng(8)
+    words_ = rng.integers(0, 3, (500, 4)).astype(np.uint64)
+    group = rng.integers(0, 4, 500)
+    seen = Counter((int(g), *w) for g, w in zip(group, words_.tolist(), strict=True))
+    want = [seen[int(g), *w] > 1 for g, w in zip(group, words_.tolist(), strict=True)]
+    assert suffix.equal_rows(group, lambda rows, k: words_[rows, k], 4).tolist() == want
+
+
+def test_long_texts_and_equal_rows(spark):
+    p = words(400)
+    long = " ".join(words(300) + p for _ in range(60))
+    texts = [long, "x" + p, p[:150], long[: len(long) // 2], "", None, p, p]
+    check_repeats(spark, texts)
+    rows = [(5, "same " + p, 1), (5, "same " + p, 1), (5, words(60), 2), (None, None, 3)]
+    out = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, lead long")).collect()
+    assert sorted((str(r.doc_id), r.n_removed > 0) for r in out) == [("5", False), ("5", True), ("5", True), ("None", False)]
+
+
 def test_slabs_have_the_same_windows(monkeypatch):
     data = words(900).encode()
     whole = suffix.anchors(data, 200)
     monkeypatch.setattr(suffix, "SLAB", 700)
     parts = suffix.anchors(data, 200)
-    places = lambda a: {(int(p), int(h)) for p, h in zip(a[0], a[1], strict=True)}
+    places = lambda a: {(int(p), int(h)) for p, h in zip(a[0], a[2], strict=True)}
     assert places(whole) <= places(parts)
 
 

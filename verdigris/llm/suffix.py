@@ -5,25 +5,29 @@ least-hashing position of every window of ``length`` bytes, by its ``LEAD`` lead
 anchor at the same place, so any repeated string is found from the anchors inside it, and about one position in
 seventy has one.
 
-1. Anchor suffixes are range-partitioned by their leading tokens (the hash of the ``LEAD`` bytes) between splitters
-   that Spark samples, and sorted in each range by the leading tokens, then by the first and the last window that
-   holds the anchor. Equal suffixes of one task are first merged into one that stands for many, so a suffix that a
-   third of all documents have arrives once per task; no run of equal leading tokens straddles a boundary. Neighbours
-   are compared: an anchor whose first and last windows both recur is settled, and so is one whose lead is unique.
-2. Runs with an unsettled anchor send the bytes around one anchor of each different context. All windows of a run
-   are sorted together and neighbours compared, which settles each anchor's leftmost and rightmost repeated window. Runs
-   of more than ``WIDE_RUN`` contexts go window by window through an aggregation that Spark can split.
+1. Documents are numbered and written, compressed. Their anchor suffixes are range-partitioned by leading bytes
+   between splitters that Spark samples, and sorted in each range: by the first eight bytes, a hash of the ``LEAD``
+   leading ones, and the first window that holds the anchor. Neighbours are compared as they stream by. Suffixes with
+   equal leading bytes may span several ranges; one at the edge of a range counts as having a neighbour, which the
+   counts of step 2 confirm or refute. What has a neighbour is sorted once more by the last window. An anchor whose first
+   and last windows both recur is settled, and so is one whose leading bytes nobody shares. Equal suffixes of one
+   task are first merged into one that stands for many.
+2. Runs of equal leading bytes with an unsettled anchor send the bytes around one anchor of each different context. All
+   windows of a run are sorted by their bytes, by multikey quicksort with eight bytes as one key, and equal
+   neighbours recur, which settles each anchor's leftmost and rightmost repeated window. A run with over ``WIDE_RUN``
+   contexts would be too much for a task; its windows go one by one through an aggregation that Spark can split.
 3. Each document unites its intervals and drops them.
 
-Comparisons are of 64-bit hashes of the strings, each within a run of equal 64-bit lead hashes. Documents travel
-compressed. Null and empty texts have no bytes; texts shorter than ``length`` are kept whole; strings never cross
-documents; repeated rows are documents of their own, so their strings recur.
+Step 1 tells windows by two 64-bit hashes, of leading bytes and window. Null and empty texts have no bytes; texts shorter
+than ``length`` are kept whole; strings never cross documents; repeated rows are documents of their own, so their
+strings recur. Very long texts go slab by slab.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +46,8 @@ POS_BITS = 24
 SLAB = 1 << 23
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
 LOW = np.uint64((1 << POS_BITS) - 1)
-FIRST, LAST, ASKED = 1, 2, 4
+TOP = np.uint64(1 << 63)
+FIRST, LAST, ASKED, IN_RUN = 1, 2, 4, 8
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -81,8 +86,8 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, lead hashes, hashes of the first and of the last window that holds each anchor)."""
+def anchors(data: bytes, length: int) -> tuple[np.ndarray, ...]:
+    """(positions, first eight bytes as ordered longs, lead hashes, hashes of the first and of the last window that holds each anchor)."""
     n = len(data)
     found = []
     for at in range(0, max(0, n - length + 1), SLAB):
@@ -95,17 +100,17 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         first, last = np.maximum(p - (length - LEAD), 0), np.minimum(p, len(a) - length)
         # an anchor's place in the window counts: at a text's end several anchors have one and the same last window
         w = [_mix(window_hashes(lead, x, length), (p - x).astype(np.uint64)) for x in (first, last)]
-        found.append((p + base, lead[p], *w))
+        head = a[p[:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64) ^ TOP
+        found.append((p + base, head, lead[p], *w))
     if not found:
-        none = np.zeros(0, np.uint64)
-        return np.zeros(0, np.int64), none, none, none
+        return np.zeros(0, np.int64), *(np.zeros(0, np.uint64),) * 4
     if len(found) == 1:
         return found[0]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-SUFFIX = pa.schema([("lead", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("row_key", pa.int64()), ("pos", pa.int32()), ("kind", pa.int8())])
-SUFFIX_DDL = "lead long, first long, last long, row_key long, pos int, kind byte"
+SUFFIX = pa.schema([("head", pa.int64()), ("lead", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("row_key", pa.int64()), ("pos", pa.int32()), ("kind", pa.int8())])
+SUFFIX_DDL = "head long, lead long, first long, last long, row_key long, pos int, kind byte"
 ONE, SETTLED, MANY = 0, 1, 2
 
 
@@ -117,24 +122,24 @@ def _suffixes(length: int) -> Callable:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            lead, first, last, row, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            head, lead, first, last, row, pos = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order = np.lexsort((last, first, lead))
-            lead, first, last, row, pos = (x[order] for x in (lead, first, last, row, pos))
+            head, lead, first, last, row, pos = (x[order] for x in (head, lead, first, last, row, pos))
             same = (lead[1:] == lead[:-1]) & (first[1:] == first[:-1]) & (last[1:] == last[:-1])
             kind = np.zeros(len(lead), np.int8)
             kind[1:][same] = SETTLED
             kind[:-1][same & (kind[:-1] == ONE)] = MANY
             gone = kind == SETTLED
-            lead[gone] = _mix(row[gone].view(np.uint64), pos[gone].astype(np.uint64))  # spread: no comparison needs them
-            first[gone] = last[gone] = 0
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (lead.view(np.int64), first.view(np.int64), last.view(np.int64), row, pos, kind)], schema=SUFFIX)
+            head[gone] = _mix(row[gone].view(np.uint64), pos[gone].astype(np.uint64))  # spread: no comparison needs them
+            lead[gone] = first[gone] = last[gone] = 0
+            return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (head, lead, first, last)), pa.array(row), pa.array(pos), pa.array(kind)], schema=SUFFIX)
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                p, lead, first, last = anchors(text.as_buffer().to_pybytes() if text.is_valid else b"", length)
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                p, *hashes = anchors(_unpacked(data.as_py()), length)
                 if len(p):
-                    held.append((lead, first, last, np.full(len(p), key), p.astype(np.int32)))
+                    held.append((*hashes, np.full(len(p), key), p.astype(np.int32)))
                     size += len(p)
                     if size >= FLUSH:
                         yield flush()
@@ -145,12 +150,63 @@ def _suffixes(length: int) -> Callable:
     return run
 
 
-FOUND = pa.schema([("row_key", pa.int64()), ("pos", pa.int32()), ("flags", pa.int8()), ("lead", pa.int64()), ("contexts", pa.int32())])
-FOUND_DDL = "row_key long, pos int, flags byte, lead long, contexts int"
+NEAR = pa.schema([*SUFFIX, pa.field("flags", pa.int8())])
+NEAR_DDL = SUFFIX_DDL + ", flags byte"
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch], window: int, flag: int) -> Iterator[pa.RecordBatch]:
+    """Suffixes that share their leading bytes with a neighbour, or stand at the range's edge, from sorted ones.
+
+    ``window``: the column that is sorted by after the leading bytes; ``flag`` is set where a neighbour has an equal one.
+    Memory is one batch: a batch's last row waits for the next batch.
+    """
+    wait: list[np.ndarray] | None = None
+
+    def decide(cols: list[np.ndarray], known: bool, more: bool) -> tuple[list[np.ndarray] | None, pa.RecordBatch]:
+        """Decides all rows but, if there are ``more``, the last, which waits. ``known``: the first one has waited."""
+        head, lead, kind = cols[0], cols[1], cols[6]
+        run = (head[1:] == head[:-1]) & (lead[1:] == lead[:-1])
+        same = run & (cols[window][1:] == cols[window][:-1])
+        in_run = np.concatenate(([not known], run)) | np.concatenate((run, [not more])) | (kind == MANY)
+        hit = np.concatenate(([False], same)) | np.concatenate((same, [False])) | (kind == MANY)
+        flags = cols[7] | np.where(hit, flag, 0).astype(np.int8) | np.where(in_run, IN_RUN, 0).astype(np.int8)
+        if flag == FIRST:  # one of equal suffixes is enough to ask about
+            flags |= np.where(np.concatenate(([not known], ~(same & (cols[3][1:] == cols[3][:-1])))), ASKED, 0).astype(np.int8)
+        settled = kind == SETTLED
+        flags[settled] = FIRST | LAST
+        out = (settled | (flags & IN_RUN > 0)) & (np.arange(len(head)) < len(head) - more)
+        batch = pa.RecordBatch.from_arrays([*(pa.array(c[out]) for c in cols[:7]), pa.array(flags[out] & ~np.int8(IN_RUN))], schema=NEAR)
+        return [*(c[-1:] for c in cols[:7]), flags[-1:]] if more else None, batch
+
+    for batch in batches:
+        if batch.num_rows:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cols = cols if len(cols) == 8 else [*cols, np.zeros(batch.num_rows, np.int8)]
+            wait, out = decide([np.concatenate(x) for x in zip(wait, cols, strict=True)] if wait else cols, wait is not None, True)
+            yield out
+    if wait:
+        yield decide(wait, True, False)[1]
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """(row_key, data, carried): numbered documents as compressed bytes, written. ``docs``: text, carried."""
+    carried = docs.schema["carried"].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch):
+        press = zstandard.ZstdCompressor(level=1).compress
+        data = pa.array([press(b) if (b := t.as_buffer().to_pybytes()) else b"" for t in batch.column(1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), data, batch.column(2)], names=["row_key", "data", "carried"])
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row_key"), "text", "carried")
+    return cut(numbered.mapInArrow(per_batch(run), f"row_key long, data binary, carried {carried}"), "packed")
+
+
+def _unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data) if data else b""
 
 
 def _runs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.ndarray]]:
-    """Columns of whole runs of equal first columns, about ``rows`` rows at a time, from sorted batches."""
+    """Columns of whole runs of equal first columns, about ``rows`` rows at a time, from sorted batches of bounded runs."""
     held: list[list[np.ndarray]] = []
     size = 0
     for batch in batches:
@@ -169,61 +225,6 @@ def _runs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.ndar
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def _starts(*cols: np.ndarray) -> np.ndarray:
-    new = np.ones(len(cols[0]), bool)
-    if len(new):
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
-    return new
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From suffixes sorted by (lead, first, last): which windows recur, and which anchors must be asked about."""
-    for lead, first, last, row, pos, kind in _runs(batches, 200_000):
-        gone = kind == SETTLED
-        if gone.any():
-            n = int(gone.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(row[gone]), pa.array(pos[gone]), pa.array(np.full(n, FIRST | LAST, np.int8)), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int32))], schema=FOUND)
-        stay = ~gone
-        lead, first, last, row, pos, kind = (x[stay] for x in (lead, first, last, row, pos, kind))
-        if not len(lead):
-            continue
-        weight = np.where(kind == MANY, 2, 1)
-
-        def recurs(*cols: np.ndarray, weight=weight) -> np.ndarray:
-            group = np.cumsum(_starts(*cols)) - 1
-            return np.bincount(group, weight)[group] >= 2
-
-        many = recurs(lead)
-        by_first = recurs(lead, first)
-        order = np.lexsort((last, lead))
-        by_last = np.empty(len(lead), bool)
-        by_last[order] = recurs(lead[order], last[order], weight=weight[order])
-        flags = by_first * FIRST + by_last * LAST
-        run = np.cumsum(_starts(lead)) - 1
-        unsettled = np.bincount(run, many & (flags != FIRST | LAST)) > 0
-        new = _starts(lead, first, last)
-        contexts = np.bincount(run, new)
-        flags = flags + np.where(unsettled[run] & new, ASKED, 0)
-        out = many & (flags > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(row[out]), pa.array(pos[out]), pa.array(flags[out].astype(np.int8)), pa.array(lead[out]), pa.array(contexts[run][out].astype(np.int32))], schema=FOUND)
-
-
-def _packed(docs: DataFrame) -> DataFrame:
-    """(row_key, carried, data): documents as compressed bytes. ``docs``: row_key, text, carried."""
-    carried = docs.schema["carried"].dataType.simpleString()
-
-    def run(batch: pa.RecordBatch):
-        press = zstandard.ZstdCompressor(level=1).compress
-        data = pa.array([press(b) if (b := t.as_buffer().to_pybytes()) else b"" for t in batch.column(1)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), data], names=["row_key", "carried", "data"])
-
-    return docs.select("row_key", "text", "carried").mapInArrow(per_batch(run), f"row_key long, carried {carried}, data binary")
-
-
-def _unpacked(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data) if data else b""
-
-
 CONTEXT_DDL = "lead long, row_key long, pos int, before int, bytes binary, window long"
 CONTEXT = pa.schema([("lead", pa.int64()), ("row_key", pa.int64()), ("pos", pa.int32()), ("before", pa.int32()), ("bytes", pa.binary()), ("window", pa.int64())])
 
@@ -244,8 +245,7 @@ def _contexts(length: int) -> Callable:
                 else:
                     h = lead_hashes(np.frombuffer(text, np.uint8, stop - start, start))
                     w = window_hashes(h, np.arange(stop - start - length + 1), length)
-                    w = _mix(w, np.full(len(w), x["lead"], np.int64).view(np.uint64)).view(np.int64).tolist()
-                    wide += [(x["lead"], key, p, p - start - k, None, v) for k, v in enumerate(w)]
+                    wide += [(x["lead"], key, p, p - start - k, None, v) for k, v in enumerate(w.view(np.int64).tolist())]
             for part in (rows, wide):
                 for at in range(0, len(part), 1 << 14):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part[at : at + (1 << 14)], strict=True), CONTEXT, strict=True)], schema=CONTEXT)
@@ -257,35 +257,51 @@ SPAN = pa.schema([("row_key", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]
 SPAN_DDL = "row_key long, a int, b int"
 
 
+def equal_rows(group: np.ndarray, word: Callable[[np.ndarray, int], np.ndarray], words: int) -> np.ndarray:
+    """Which rows have an equal one in their group, by multikey quicksort: rows are parted by one word of their bytes at a
+    time, and only parts of two or more go on to the next. ``word``: the k-th word of some rows."""
+    rows, part = np.arange(len(group)), group
+    for k in range(-1, words):
+        w = word(rows, k) if k >= 0 else np.zeros(len(rows), np.uint64)
+        order = np.lexsort((w, part))
+        rows, part, w = rows[order], part[order], w[order]
+        new = np.concatenate(([True], (part[1:] != part[:-1]) | (w[1:] != w[:-1])))
+        part = np.cumsum(new) - 1
+        many = np.bincount(part)[part] > 1
+        rows, part = rows[many], part[many]
+        if not len(rows):
+            break
+    out = np.zeros(len(group), bool)
+    out[rows] = True
+    return out
+
+
 def _settle(length: int) -> Callable:
-    """From contexts sorted by lead: each anchor's union of windows that recur in its run."""
+    """From contexts sorted by lead: each anchor's union of windows whose bytes recur in its run."""
     side = length - LEAD
     width = side + length
+    # words of a window: from its ends inwards, as what is around equal leading bytes differs soonest
+    steps = [*range(0, length - 8, 8), length - 8]
+    steps = [steps[k // 2] if k % 2 == 0 else steps[-1 - k // 2] for k in range(len(steps))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lead, row, pos, before, data in _runs(batches, CHUNK):
             m = np.zeros((len(lead), width), np.uint8)
-            col = np.arange(side + 1)
             start = side - before.astype(np.int64)
             size = np.fromiter(map(len, data), np.int64, len(data))
             for i, (s, d) in enumerate(zip(start.tolist(), data, strict=True)):
                 m[i, s : s + len(d)] = np.frombuffer(d, np.uint8)
-            seen = np.empty((len(lead), side + 1), np.uint64)
-            for at in range(0, len(lead), CHUNK):
-                h = lead_hashes(m[at : at + CHUNK])
-                w = window_hashes(h, col, length)
-                seen[at : at + CHUNK] = _mix(w, lead[at : at + CHUNK].view(np.uint64)[:, None]) + col.astype(np.uint64)[None, :] * M1
+            number = np.cumsum(np.concatenate(([True], lead[1:] != lead[:-1]))) - 1
+            col = np.arange(side + 1)
             whole = (col[None, :] >= start[:, None]) & (col[None, :] + length <= (start + size)[:, None])
-            flat = seen[whole]
-            order = np.argsort(flat, kind="stable")
-            s = flat[order]
-            twice = np.zeros(len(s), bool)
-            twice[1:] = s[1:] == s[:-1]
-            twice[:-1] |= s[1:] == s[:-1]
-            hit = np.empty(len(s), bool)
-            hit[order] = twice
+            of, at = np.nonzero(whole)
+            bytes_ = np.lib.stride_tricks.sliding_window_view(m, 8, axis=1)
+
+            def word(rows: np.ndarray, k: int, of=of, at=at, bytes_=bytes_) -> np.ndarray:
+                return np.ascontiguousarray(bytes_[of[rows], at[rows] + steps[k]]).view(np.uint64).ravel()
+
             grid = np.zeros(whole.shape, bool)
-            grid[whole] = hit
+            grid[whole] = equal_rows(number[of] * (side + 1) + at, word, len(steps))
             some = np.flatnonzero(grid.any(1))
             g = grid[some]
             a = pos[some] - side + g.argmax(1)
@@ -316,22 +332,29 @@ def covered(n: int, spans: list, length: int) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """(documents as bytes, spans by row_key). ``docs``: row_key, text, carried."""
+    """(numbered documents as bytes, spans by their number). ``docs``: text, carried."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    suffixes = docs.select("row_key", "text").mapInArrow(_suffixes(length), SUFFIX_DDL)
-    ordered = suffixes.repartitionByRange(n, "lead").sortWithinPartitions("lead", "first", "last")
-    found = cut(ordered.mapInArrow(_neighbours, FOUND_DDL), "suffixes")
     packed = _packed(docs)
-    asked = found.where(F.col("flags").bitwiseAND(ASKED) > 0).groupBy("row_key").agg(F.collect_set(F.struct("pos", "lead", "contexts")).alias("asked"))
-    around = cut(packed.join(asked, "row_key").select("row_key", "data", "asked").mapInArrow(_contexts(length), CONTEXT_DDL), "contexts")
+    suffixes = packed.select("row_key", "data").mapInArrow(_suffixes(length), SUFFIX_DDL)
+    by_first = suffixes.repartitionByRange(n, "head", "lead", "first").sortWithinPartitions("head", "lead", "first", "last")
+    near = cut(by_first.mapInArrow(partial(_neighbours, window=2, flag=FIRST), NEAR_DDL), "suffixes")
+    open_ = near.where(F.col("kind") != SETTLED)
+    by_last = open_.repartitionByRange(n, "head", "lead", "last").sortWithinPartitions("head", "lead", "last")
+    found = cut(by_last.mapInArrow(partial(_neighbours, window=3, flag=LAST), NEAR_DDL), "found")
+    asked = F.col("flags").bitwiseAND(ASKED) > 0
+    unsettled = F.col("flags").bitwiseAND(FIRST | LAST) != FIRST | LAST
+    runs = found.groupBy("lead").agg(F.count_if(asked).cast("int").alias("contexts"), F.bool_or(unsettled).alias("open")).where("open AND contexts > 1").select("lead", "contexts")
+    wanted = found.where(asked).select("lead", "row_key", "pos").join(runs, "lead").groupBy("row_key").agg(F.collect_set(F.struct("pos", "lead", "contexts")).alias("asked"))
+    around = cut(packed.join(wanted, "row_key").select("row_key", "data", "asked").mapInArrow(_contexts(length), CONTEXT_DDL), "contexts")
     narrow = around.where(F.col("bytes").isNotNull()).select("lead", "row_key", "pos", "before", "bytes").repartition(n, "lead").sortWithinPartitions("lead")
     spans = narrow.mapInArrow(_settle(length), SPAN_DDL)
-    wide = around.where(F.col("bytes").isNull()).select("window", "row_key", "pos", "before")
-    twice = wide.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    wide = around.where(F.col("bytes").isNull()).select("lead", "window", "row_key", "pos", "before")
+    twice = wide.groupBy("lead", "window").agg(F.count("*").alias("n")).where("n > 1").select("lead", "window")
     start = F.col("pos") - F.col("before")
-    wide = wide.join(twice, "window", "left_semi").groupBy("row_key", "pos").agg(F.min(start).alias("a"), (F.max(start) + length).alias("b"))
-    plain = found.select("row_key", F.col("pos").alias("a"), (-(F.col("flags").bitwiseAND(FIRST | LAST).cast("int"))).alias("b")).where("b < 0")
+    wide = wide.join(twice, ["lead", "window"], "left_semi").groupBy("row_key", "pos").agg(F.min(start).alias("a"), (F.max(start) + length).alias("b"))
+    flags = -(F.col("flags").bitwiseAND(FIRST | LAST).cast("int"))
+    plain = near.where(F.col("kind") == SETTLED).union(found).select("row_key", F.col("pos").alias("a"), flags.alias("b")).where("b < 0")
     return packed, plain.union(spans).union(wide.select("row_key", "a", "b"))
 
 
@@ -363,8 +386,7 @@ def _joined(packed: DataFrame, spans: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: bytes, removed bytes, maximal removed runs, and a digest of what is left."""
-    d = key_and_text(docs, id_col, text_col)
-    d = d.select(F.xxhash64("doc_id", "text").alias("row_key"), "text", F.col("doc_id").alias("carried"))
+    d = key_and_text(docs, id_col, text_col).select("text", F.col("doc_id").alias("carried"))
     return _joined(*repeated_spans(d, length)).select("carried", "data", "spans").mapInArrow(_digest(length), OUT_DDL)
 
 
@@ -381,7 +403,7 @@ def drop_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     text = F.col(f"`{text_col}`")
     others = [c for c in docs.columns if c != text_col]
     carried = F.struct(*[F.col(f"`{c}`") for c in others], text.isNull().alias("__null"))
-    d = docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("row_key"), F.coalesce(text.cast("string"), F.lit("")).alias("text"), carried.alias("carried"))
+    d = docs.select(F.coalesce(text.cast("string"), F.lit("")).alias("text"), carried.alias("carried"))
     joined = _joined(*repeated_spans(d, length)).select("carried", "data", "spans")
 
     def run(batch: pa.RecordBatch):
