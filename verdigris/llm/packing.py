@@ -3,8 +3,9 @@
 Every document becomes its token ids and one end id. Documents longer than a window are first cut into full windows;
 what is left of them and the short documents are packed by best fit decreasing: a segment tree over remaining
 capacities finds the tightest window that still takes a piece. Each task packs what it has read and gives its windows
-numbers of its own, so nothing is shuffled; a task keeps piece lengths only, never ids, and closes its windows after
-``MAX_PIECES`` pieces, which bounds its memory.
+numbers of its own; a task keeps piece lengths only, never ids, and closes its windows after ``MAX_PIECES`` pieces, which
+bounds its memory. Windows that stay with more than ``SLACK`` tokens of room are taken apart, and the pieces in them, few
+whatever the number of tasks, are dealt out in lots of ``MAX_PIECES`` and packed once more.
 
 Null and empty texts have the end id alone. Repeated rows are packed each. No rows give no pieces.
 """
@@ -24,15 +25,19 @@ import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import byte_of_char, key_and_text, tokenizer_path
+from .common import byte_of_char, cut, key_and_text, tokenizer_path
 
 WINDOW = 2048
 MAX_PIECES = 1_000_000
+SLACK = 16
 CACHE_WORDS = 1_000_000
 
 OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 OUT_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PACKED = OUT.append(pa.field("loose", pa.bool_()))
+PACKED_DDL = OUT_DDL + ", loose boolean"
 
 
 class CapacityTree:
@@ -188,8 +193,8 @@ def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_i
     path = tokenizer_path(vocabulary)
     end = WordIds.packed([end_id])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, closed = word_ids(path), TaskContext.get().partitionId(), 0
+    def packed(pieces: Iterator[tuple], again: bool) -> Iterator[pa.RecordBatch]:
+        part, closed = TaskContext.get().partitionId() + (again << 29), 0
         rows: list[tuple] = []
 
         def close() -> Iterator[pa.RecordBatch]:
@@ -198,16 +203,36 @@ def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_i
                 return
             doc, start, length, crc, total = (list(c) for c in zip(*rows, strict=True))
             rows.clear()
-            window, offset, n = pack_lengths(np.array(length, np.int64), capacity)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(total, pa.int64()), pa.array(window + ((part << 33) + closed)), pa.array(offset)], schema=OUT)
-            closed += n
-
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
-                rows += [(doc, *p, len(ids) // 4) for p in pieces_of(ids, capacity)]
-                if len(rows) >= MAX_PIECES:
-                    yield from close()
+            n = np.array(length, np.int64)
+            window, offset, count = pack_lengths(n, capacity)
+            room = capacity - np.bincount(window, n, count)
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(n), pa.array(crc, pa.int64()), pa.array(total, pa.int64()), pa.array(window + ((part << 33) + closed)), pa.array(offset), pa.array(room[window] > SLACK)], schema=PACKED)
+            closed += count
+
+        for piece in pieces:
+            rows.append(piece)
+            if len(rows) >= MAX_PIECES:
+                yield from close()
         yield from close()
 
-    return key_and_text(docs, id_col, text_col).mapInArrow(run, OUT_DDL)
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = word_ids(path)
+
+        def pieces() -> Iterator[tuple]:
+            for batch in batches:
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    ids = encode(text.as_py()) + end
+                    for p in pieces_of(ids, capacity):
+                        yield (doc, *p, len(ids) // 4)
+
+        return packed(pieces(), False)
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return packed((row for b in batches for row in zip(*(c.to_pylist() for c in b.columns[:5]), strict=True)), True)
+
+    once = cut(key_and_text(docs, id_col, text_col).mapInArrow(first, PACKED_DDL), "packed")
+    loose = once.where("loose")
+    lots = max(1, -(-loose.count() // MAX_PIECES))
+    # a piece's place decides its lot, so a task that is run again gets the same ones
+    twice = loose.repartition(lots, F.xxhash64("doc_id", "start", "ids_crc32")).mapInArrow(second, PACKED_DDL)
+    return once.where("NOT loose").union(twice).drop("loose")
