@@ -10,7 +10,7 @@ integer product.
 
 Vectors that are null or hold null or non-finite components take no part. Empty tables give no rows. Ties go to the
 smaller id; rows of equal id are candidates each, but never their own query's. Vectors of other widths than a query
-are not its candidates.
+are not its candidates. Components and scores beyond 64 bits count as the nearest long.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ BUCKET = 4096
 #: Local thresholds from which coordinates prune.
 COORDINATE_FROM = 0.5
 MARGIN = 1e-9
+LONG = np.iinfo(np.int64)
 
 PAIR = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 PAIR_DDL = "query_id long, vec_id long, score long"
@@ -47,8 +48,8 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     if len(scores) > 4 * k:
         floor = np.partition(scores, len(scores) - k)[len(scores) - k]
         keep = np.flatnonzero(scores >= floor)
-        return keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
-    return np.lexsort((ids, -scores))[:k]
+        return keep[np.lexsort((ids[keep], ~scores[keep]))[:k]]
+    return np.lexsort((ids, ~scores))[:k]
 
 
 class Retrieval:
@@ -59,7 +60,8 @@ class Retrieval:
         self.length = np.sqrt((data.astype(np.float64) ** 2).sum(1))
         none = np.zeros(0, np.int64)
         self.best = [(none, none)] * len(ids)
-        self.floor = np.full(len(ids), -np.inf)
+        self.floor = np.full(len(ids), -np.inf)  # for pruning, which allows for rounding
+        self.least = np.full(len(ids), LONG.min, np.int64)  # the same, exactly
         self.focus = np.abs(data).argmax(1) if data.shape[1] else np.zeros(len(ids), np.int64)
 
     def meet(self, ids: np.ndarray, v: np.ndarray) -> None:
@@ -82,13 +84,13 @@ class Retrieval:
                 s = (vf[inside] @ self.q[i].astype(np.float64)).astype(np.int64)
             else:
                 x = self.q[i].tolist()
-                s = np.array([sum(a * b for a, b in zip(r, x, strict=True)) for r in v[inside].tolist()], np.int64)
-            ok = (s >= self.floor[i]) & (ids[inside] != self.ids[i])
+                s = np.array([min(max(sum(a * b for a, b in zip(r, x, strict=True)), LONG.min), LONG.max) for r in v[inside].tolist()], np.int64)
+            ok = (s >= self.least[i]) & (ids[inside] != self.ids[i])
             s, c = np.concatenate([self.best[i][0], s[ok]]), np.concatenate([self.best[i][1], ids[inside][ok]])
             top = _best(s, c, self.k)
             self.best[i] = (s[top], c[top])
             if len(top) == self.k:
-                self.floor[i] = s[top[-1]]
+                self.floor[i] = self.least[i] = s[top[-1]]
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(self.ids), 4096):
