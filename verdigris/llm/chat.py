@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import cut, drop_cut, per_batch, rows_of
 
 BLOCK = re.compile(r"<(tool_call|tool_response|tools)>(.*?)</\1>", re.DOTALL)
+LONE = re.compile("[\ud800-\udfff]")
+DEEPEST = 200
 REFERENCE = re.compile(r"\$([A-Za-z0-9_.:-]+)")
 
 
@@ -42,14 +44,19 @@ def canonical(value) -> str:
             return {k: plain(x) for k, x in v.items()}
         return [plain(x) for x in v] if isinstance(v, list) else v
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return writable(json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def writable(s: str) -> str:
+    """``s`` with escapes for lone surrogates, which no UTF-8 text can hold."""
+    return LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", s)
 
 
 def _is(kind: str, v) -> bool:
     number = isinstance(v, (int, float)) and not isinstance(v, bool)
     return {
         "object": isinstance(v, dict), "array": isinstance(v, list), "string": isinstance(v, str), "boolean": isinstance(v, bool),
-        "null": v is None, "number": number, "integer": number and float(v).is_integer(),
+        "null": v is None, "number": number, "integer": number and (isinstance(v, int) or v.is_integer()),
     }.get(kind, True)
 
 
@@ -100,7 +107,7 @@ def problems(schema, value, path: str = "$") -> list[str]:
         if _is("number", schema.get("maximum")) and value > schema["maximum"] or _is("number", high) and value >= high:
             out.append(f"{path}: above maximum")
         step = schema.get("multipleOf")
-        if _is("number", step) and step > 0 and math.isfinite(value) and Fraction(str(value)) % Fraction(str(step)):
+        if _is("number", step) and step > 0 and Fraction(str(value)) % Fraction(str(step)):
             out.append(f"{path}: not a multiple")
     if isinstance(value, str):
         if isinstance(schema.get("maxLength"), int) and len(value) > schema["maxLength"]:
@@ -111,7 +118,10 @@ def problems(schema, value, path: str = "$") -> list[str]:
             out.append(f"{path}: doesn't match pattern")
     if isinstance(value, dict):
         known = schema.get("properties") if isinstance(schema.get("properties"), dict) else {}
-        out += [f"{path}.{k}: missing" for k in schema.get("required") or [] if k not in value]
+        required = schema.get("required", [])
+        if not isinstance(required, list) or not all(isinstance(k, str) for k in required):
+            raise UnsupportedSchema("required")
+        out += [f"{path}.{k}: missing" for k in required if k not in value]
         further = schema.get("additionalProperties")
         for k in value:
             if k not in known:
@@ -144,7 +154,7 @@ def problems(schema, value, path: str = "$") -> list[str]:
 def _verdict(schema, value) -> tuple[bool | None, list[str]]:
     try:
         found = problems(schema, value)
-    except (UnsupportedSchema, RecursionError):
+    except (UnsupportedSchema, RecursionError, TypeError):
         return None, []
     return not found, found
 
@@ -157,11 +167,29 @@ def references(value) -> list[str]:
     return [r for x in inner for r in references(x)]
 
 
+def _finite(s: str) -> float:
+    x = float(s)
+    if not math.isfinite(x):
+        raise ValueError(s)
+    return x
+
+
 def _json(s: str):
+    """The value of JSON text; None for what isn't JSON, numbers beyond doubles included, or is nested deeper than ``DEEPEST``."""
     try:
-        return json.loads(s)
+        value = json.loads(s, parse_constant=_finite, parse_float=_finite)
     except (ValueError, RecursionError):
         return None
+    level, depth = [value], 0
+    while level and depth <= DEEPEST:
+        level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+        depth += 1
+    return value if depth <= DEEPEST else None
+
+
+def _name(v) -> str | None:
+    """An identifier as text: a string as it is, another value as canonical JSON."""
+    return None if v is None else writable(v) if isinstance(v, str) else canonical(v)
 
 
 PART = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("part", pa.int64()), ("role", pa.string()), ("kind", pa.string()), ("id", pa.string()), ("name", pa.string()), ("body", pa.string()), ("needs", pa.list_(pa.string()))])
@@ -182,13 +210,13 @@ def parts_of(role: str, text: str) -> list[tuple]:
         if m[1] == "tool_call" and role == "assistant" and isinstance(v, dict) and isinstance(v.get("name"), str):
             args = v.get("arguments", {})
             args = _json(args) if isinstance(args, str) and _json(args) is not None else args
-            new = [("call", None if v.get("id") is None else str(v["id"]), v["name"], canonical(args), sorted(set(references(args))))]
+            new = [("call", _name(v.get("id")), writable(v["name"]), canonical(args), sorted(set(references(args))))]
         elif m[1] == "tool_response" and role == "tool" and isinstance(v, dict):
-            key = v.get("tool_call_id", v.get("id"))
-            new = [("result", None if key is None else str(key), v.get("name") if isinstance(v.get("name"), str) else None, canonical(v.get("content")), [])]
+            name = v.get("name")
+            new = [("result", _name(v.get("tool_call_id", v.get("id"))), writable(name) if isinstance(name, str) else None, canonical(v.get("content")), [])]
         elif m[1] == "tools" and role == "system" and isinstance(v, list):
             tools = [t.get("function", t) for t in v if isinstance(t, dict)]
-            new = [("schema", None, t["name"], canonical(t.get("parameters", {})), []) for t in tools if isinstance(t, dict) and isinstance(t.get("name"), str)]
+            new = [("schema", None, writable(t["name"]), canonical(t.get("parameters", {})), []) for t in tools if isinstance(t, dict) and isinstance(t.get("name"), str)]
         if new:
             if m.start() > at:
                 say(text[at : m.start()])
@@ -267,9 +295,6 @@ def format_conversations(messages: DataFrame) -> DataFrame:
     text = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("user")), F.coalesce(F.col("text").cast("string"), F.lit("")))
     parts = cut(text.mapInArrow(per_batch(_parse), PART_DDL), "parts")
     calls = parts.where("kind = 'call'")
-    if not calls.head(1) and not parts.where("kind = 'result'").head(1):  # nothing to link
-        plain = parts.select("*", F.lit(0).cast("long").alias("level"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("schema"), F.lit(None).cast("string").alias("result"))
-        return plain.mapInArrow(per_batch(_write), OUT_DDL)
     named = calls.where(F.col("id").isNotNull())
     first = cut(_first(named, ["conv_id", "id"], "needs", "body"), "calls")
     results = parts.where("kind = 'result'").where(F.col("id").isNotNull())
