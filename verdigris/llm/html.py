@@ -87,6 +87,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, length of its links, inside an article, boilerplate) of each block; boilerplate blocks are empty."""
     out: list[Line] = [Line(False, False)]
     stack: list[str] = []
+    depths: dict[str, list[int]] = {}  # where each open tag stands in the stack
+    solid: list[int] = []  # where elements that aren't inline stand
     skip_from = -1  # depth of the boilerplate element that is open
     main = links = 0
     at, n = 0, len(page)
@@ -102,6 +104,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         nonlocal skip_from, main, links
         while len(stack) > depth:
             tag = stack.pop()
+            depths[tag].pop()
+            if tag not in INLINE:
+                solid.pop()
             if len(stack) == skip_from:
                 skip_from = -1
             main -= tag in MAIN
@@ -119,17 +124,15 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in stack:
-                pop_to(len(stack) - 1 - stack[::-1].index(tag))
+            if depths.get(tag):
+                pop_to(depths[tag][-1])
         elif tag in RAW:
             if not m[3].endswith("/"):
                 end = re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(page, at)
                 at = end.end() if end else n
         else:
-            if stack and tag in ENDS_AT.get("p", ()) and "p" in stack and stack[-1] != "p":
-                inner = len(stack) - 1 - stack[::-1].index("p")
-                if all(x in INLINE for x in stack[inner + 1 :]):
-                    pop_to(inner)
+            if tag in ENDS_AT["p"] and depths.get("p") and solid[-1] == depths["p"][-1]:  # only inline elements are open in it
+                pop_to(depths["p"][-1])
             if stack and tag in ENDS_AT.get(stack[-1], ()):
                 pop_to(len(stack) - 1)
             if tag not in VOID:
@@ -137,6 +140,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
                     pop_to(skip_from)  # boilerplate that was never closed
                 if skip_from < 0 and _is_boilerplate(tag, m[3], main > 0):
                     skip_from = len(stack)
+                depths.setdefault(tag, []).append(len(stack))
+                if tag not in INLINE:
+                    solid.append(len(stack))
                 stack.append(tag)
                 main += tag in MAIN
                 links += tag == "a"
