@@ -1,4 +1,5 @@
 import json
+import random
 
 from verdigris.llm import chat
 
@@ -67,3 +68,77 @@ def test_schema_keywords(spark):
         rows += [(i, 0, "system", "<tools>" + json.dumps([tool]) + "</tools>", "k"), (i, 1, "assistant", call("a", x=v), "k")]
     out = run(spark, rows)
     assert [out[i, 1, 0].valid for i in range(len(schemas))] == [want for *_, want in schemas]
+
+
+def plainly(rows):
+    """(conv, turn, part) -> (kind, id, level, status, result) of every part, one message at a time."""
+    parts = [(c, t, i, *p) for c, t, role, text, _ in rows for i, p in enumerate(chat.parts_of(role, text))]
+    calls, answers, out = {}, {}, {}
+    for c, t, i, kind, key, _, body, needs in sorted((p for p in parts if p[4] is not None), key=lambda p: (p[1], p[2])):
+        if kind == "call":
+            calls.setdefault((c, key), (t, i, needs))
+        elif kind == "result":
+            answers.setdefault((c, key), (t, i, body))
+
+    def level(k, above=()):
+        if k in above:
+            return None
+        below = [level((k[0], n), (*above, k)) for n in calls[k][2] if (k[0], n) in calls]
+        return None if None in below else 1 + max(below, default=-1)
+
+    for c, t, i, kind, key, *_ in parts:
+        k = (c, key)
+        status, at, result = None, 0, None
+        if kind in ("call", "result"):
+            at = level(k) if k in calls and key is not None else 0
+            if key is None or k not in calls:
+                status = "unnamed" if kind == "call" else "orphan"
+            elif kind == "call":
+                own = calls[k][:2] == (t, i)
+                status = "repeated" if not own else "cyclic" if at is None else "linked" if k in answers else "open"
+                result = answers[k][2] if own and k in answers else None
+            else:
+                status = "linked" if answers[k][:2] == (t, i) else "repeated"
+        out[c, t, i] = (kind, key, at, status, result)
+    return out
+
+
+def test_generated_calls_equal_a_plain_version(spark):
+    rng = random.Random(3)
+    rows = []
+    for conv in range(120):
+        ids = [f"c{k}" for k in range(rng.randrange(1, 12))]
+        for turn in range(rng.randrange(2, 14)):
+            if turn % 2:
+                text = "".join(reply(rng.choice([*ids, "nobody"]), {"n": rng.randrange(9)}) for _ in range(rng.randrange(1, 4)))
+                rows.append((conv, turn, "tool", text, "k"))
+            else:
+                text = "".join(rng.choice(["", "Say. "]) + call(rng.choice([*ids, *ids, None]), x=rng.choice([1, "$" + rng.choice(ids), "$gone", [f"${rng.choice(ids)}", {"y": "$" + rng.choice(ids)}]])) for _ in range(rng.randrange(1, 5)))
+                rows.append((conv, turn, "assistant", text, "k"))
+    out, want = run(spark, rows), plainly(rows)
+    assert out.keys() == want.keys()
+    seen = set()
+    for k, (kind, key, at, status, result) in want.items():
+        r = out[k]
+        assert (r.kind, r.call_id, r.level, r.status) == (kind, key, at, status), k
+        assert json.loads(r.json).get("result") == (None if result is None else json.loads(result)), k
+        seen.add((kind, status))
+    assert {("call", s) for s in ("linked", "open", "repeated", "cyclic", "unnamed")} | {("result", s) for s in ("linked", "orphan", "repeated")} <= seen
+    assert max(v[2] or 0 for v in want.values()) >= 2
+
+
+def test_odd_values_do_no_harm(spark):
+    deep = "[" * 3000 + "]" * 3000
+    odd = [
+        '{"id":1,"name":"f","arguments":{"x":' + "9" * 400 + "}}", '{"id":"\\ud800","name":"f\\udfff","arguments":{"x":"\\ud800"}}',
+        '{"id":"d","name":"f","arguments":' + deep + "}", '{"id":"n","name":"f","arguments":{"x":NaN}}', '{"id":"i","name":"f","arguments":{"x":1e999}}',
+        '{"id":[1],"name":"g","arguments":{"x":1}}',
+    ]
+    rows = [(1, 0, "system", '<tools>[{"name":"g","parameters":{"required":5}},{"name":"f","parameters":{"properties":{"x":{"type":"integer","multipleOf":3}}}}]</tools>', "k")]
+    rows += [(1, 1 + i, "assistant", f"<tool_call>{x}</tool_call>", "k") for i, x in enumerate(odd)]
+    rows.append((2, 0, "user", "word " * 400_000, "k"))
+    out = run(spark, rows)
+    assert [out[1, 1 + i, 0].kind for i in range(6)] == ["call", "call", "text", "text", "text", "call"]
+    assert out[1, 1, 0].valid and out[1, 2, 0].call_id == "\\ud800" and not out[1, 2, 0].valid
+    assert (out[1, 6, 0].call_id, out[1, 6, 0].valid) == ("[1]", None)
+    assert all(json.loads(r.json) for r in out.values())

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import json
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -122,6 +123,153 @@ def test_pruning_prunes():
     assert all(b[0][0] == a[0][0] for a, b in zip(before, after, strict=True))
 
 
+def test_huge_components(spark):
+    """Finite components of any size take part; what 64 bits can't hold counts as the nearest long."""
+    rows = [(0, [1e300, 1.0]), (1, [1e300, -1e300]), (2, [-1e300, 0.0]), (3, [2.0**42, 0.0]), (4, [2.0**42 + 1, 0.0]), (5, [float("inf"), 0.0]), (3, [0.0, 0.0]), (6, [1.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.exact_top_k(d, d, 10).collect()]
+    low, high = -(2**63), 2**63 - 1
+
+    def whole(v):
+        return [int(min(max(np.floor(1024.0 * x), low), high)) for x in v]
+
+    want = []
+    for q, x in rows:
+        found = sorted((-min(max(sum(a * b for a, b in zip(whole(x), whole(y), strict=True)), low), high), i) for i, y in rows if i != q and len(x) == len(y) and i != 5 and q != 5)
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(found, 1)]
+    by = lambda rows: sorted((q, s, i) for q, _, i, s in rows)  # noqa: E731  rows of one id are ranked together
+    assert {r for r in by(got) if r[0] != 3} == {r for r in by(want) if r[0] != 3}
+    assert topk.exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<double>"), spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def slow_spans(text):
+    """The base kinds, character by character."""
+    out, low = [], "".join(c.lower() if c.isascii() else c for c in text)
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def assign(at):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if not low.startswith(word, at):
+                continue
+            # an optional quote, blanks, the sign, blanks, an optional quote, the value
+            k = at + len(word)
+            k += text[k : k + 1] in ('"', "'") and text[k : k + 1] != ""
+            while text[k : k + 1] == " ":
+                k += 1
+            if text[k : k + 1] not in (":", "=") or k >= len(text):
+                continue
+            k += 1
+            while text[k : k + 1] == " ":
+                k += 1
+            k += text[k : k + 1] != "" and text[k : k + 1] in "\"'"
+            end = k
+            while end < len(text) and text[end] in value:
+                end += 1
+            if end > k:
+                return end, end - k >= 12
+        return None
+
+    def run(at, start, alphabet, least):
+        if not text.startswith(start, at):
+            return None
+        end = at + len(start)
+        while end < len(text) and text[end] in alphabet:
+            end += 1
+        return (end, end - at >= least) if end > at + (len(start) if start else 0) else None
+
+    upper, hexes = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), set("0123456789abcdef")
+    for kind, find in (("assign", assign), ("access", lambda at: run(at, "AKIA", upper, 18)), ("hex", lambda at: run(at, "", hexes, 16))):
+        at = 0
+        while at < len(text):
+            found = find(at)
+            if found is None:
+                at += 1
+                continue
+            if found[1]:
+                out.append((at, found[0], kind))
+            at = found[0]
+    return sorted(out, key=lambda s: (s[0], secrets.ORDER[s[2]]))
+
+
+def test_base_spans_equal_a_plain_scan():
+    import random
+
+    rng = random.Random(2)
+    bits = ["password", "PassWd", "secret", "api_key", "APIkey", "token", "=", ":", " ", "  ", '"', "'", "AKIA", "A1B2", "deadbeef", "0123", "x", "-", "é", "\n", "ſecret", "Key", "abcdefghijkl", "K"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    texts += [t or "" for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()]
+    texts.append(" ".join(texts))
+    found = 0
+    for t in texts:
+        got = [s for s in secrets.spans_of(t) if s[2] in secrets.BASE_KINDS]
+        assert got == slow_spans(t), t[:200]
+        found += len(got)
+    assert found > 500
+
+
+class Plain(HTMLParser):
+    """Blocks of the article, in order, by the standard library's parser; what is in boilerplate elements is left out."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.blocks, self.off = [], [""], None
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in html.VOID:
+            names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower()
+            out = tag in html.ASIDE | html.RAW or (tag == "header" and "article" not in self.open) or bool(html.BOILERPLATE & set(html.NAMES.findall(names)))
+            if self.off is None and out:
+                self.off = len(self.open)
+            self.open.append(tag)
+        if tag not in html.INLINE:
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        if tag in self.open:
+            while self.open.pop() != tag:
+                pass
+            if self.off is not None and len(self.open) <= self.off:
+                self.off = None
+        if tag not in html.INLINE:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.off is None and "article" in self.open:
+            self.blocks[-1] += data
+
+
+def test_pages_equal_a_plain_parser():
+    pages = duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet' WHERE html IS NOT NULL").fetchall()
+    same = 0
+    for (page,) in pages:
+        p = Plain()
+        p.feed(page)
+        p.close()
+        same += html.main_text(page) == "\n".join(x for b in p.blocks if (x := " ".join(b.split())))
+    assert same >= 0.95 * len(pages)
+
+
+def test_surges_decide(monkeypatch):
+    """Stretches between lines of links stay only where a window's sum passes the threshold, on pages with articles too."""
+    page = "<body><div><a href=x>Home page</a></div><p>Go on here</p><div><a href=y>Next page</a></div><article><p>One.</p></article></body>"
+    assert html.main_text(page) == "One."
+    monkeypatch.setattr(html, "SURGE", 5)
+    assert html.main_text(page) == "Go on here\nOne."
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        page = "<p><b>" + "<div><i>" * n + "x</section></p>" * n + "<article>y</article>"
+        t = time.perf_counter()
+        assert html.main_text(page).endswith("y")
+        took.append(time.perf_counter() - t)
+    assert took[1] < 10 * took[0] + 1
+    assert html.main_text("<article><p>" + "word " * 500_000 + "</p></article>").count("word") == 500_000
+
+
 def test_article_and_stretches():
     page = '<body><nav><a href=x>Home</a></nav><div class="ad">Buy</div><article><h1>T &amp; U</h1><p><b>One<br><p>two\n three</p><script>var t="</p>";</script></article><footer>(c)</footer>'
     assert html.main_text(page) == "T & U\nOne\ntwo three"

@@ -59,6 +59,21 @@ def texts_of(sf="sf0.001"):
     return [t or "" for (t,) in duckdb.sql(f"SELECT text FROM '/root/testdata/{sf}/documents.parquet'").fetchall()]
 
 
+def test_padding_does_not_depend_on_the_partitions(spark):
+    d = spark.createDataFrame(list(enumerate(["word " * (1 + 37 * i % 900) for i in range(400)])), "doc_id long, text string")
+    for parts in (1, 64):
+        rows = packing.pack_documents(d.repartition(parts)).collect()
+        windows = {r.sequence_id for r in rows}
+        tokens = sum(r.length for r in rows)
+        assert tokens == sum(2 + 37 * i % 900 for i in range(400))
+        assert len(windows) <= 1.02 * tokens / 2048 + 1
+        at = {}
+        for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == at.get(r.sequence_id, 0)
+            at[r.sequence_id] = r.offset + r.length
+        assert max(at.values()) <= 2048
+
+
 def test_counts_equal_the_library_in_any_chunks(spark):
     t = tokencount.CountTransducer(tokenizer_path("piece_bpe_32k.model"))
     for x in ODD:
