@@ -156,11 +156,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, id_col:
 STEP = 0x9E3779B97F4A7C15
 #: Fingerprints of a text's different words, each from a hash function of its own, and the bits of all of them.
 LANES = 3
-#: Rows of a key are near if all their fingerprints together differ in no more than this share of the bits.
+#: Rows of a key are near if these fingerprints together differ in no more than this share of the bits, the fingerprints of
+#: their shingles in no more than so many bits (pairs of similarity 0.8 differ in 10, give or take 3), and their sizes allow the similarity.
 LOOSE = 0.35
+SHINGLE_BITS = 22
 #: Runs of equal keys up to this length are searched for near rows; of longer ones all rows go on to the exact search.
 SEARCHED_RUN = 64
 WORD_COLUMNS = [f"w{i}" for i in range(LANES)]
+FEATURES = [*WORD_COLUMNS, "shape", "size"]
 
 
 def majority(hashes: np.ndarray, lanes: int) -> list[int]:
@@ -180,21 +183,24 @@ def majority(hashes: np.ndarray, lanes: int) -> list[int]:
     return out
 
 
-SIGNATURE_DDL = "doc_id long, h long, digest binary, " + ", ".join(f"{w} long" for w in WORD_COLUMNS)
-SIGNATURE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("digest", pa.binary()), *[(w, pa.int64()) for w in WORD_COLUMNS]])
+SIGNATURE_DDL = "doc_id long, h long, digest binary, " + ", ".join(f"{w} long" for w in FEATURES)
+SIGNATURE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("digest", pa.binary()), *[(w, pa.int64()) for w in FEATURES]])
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """A 128-bit digest of each text's words, null without words, and fingerprints of its different words. ``docs``: doc_id, h, text."""
+def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
+    """A 128-bit digest of each text's words, null without words; fingerprints of its different words; fingerprint and number of
+    its different shingles. ``docs``: doc_id, h, text."""
 
     def run(batch: pa.RecordBatch):
         digest, fps = [], []
         for t in batch.column(2):
-            words = t.as_py().encode("utf-8", "surrogatepass").lower().split()
-            digest.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
-            different = {xxhash.xxh64_intdigest(w, SEED) for w in dict.fromkeys(words)}
-            fps.append(majority(np.fromiter(different, np.uint64, len(different)), LANES))
-        lanes = dict(zip(WORD_COLUMNS, zip(*fps, strict=True), strict=True))
+            text = t.as_py()
+            parts = text.encode("utf-8", "surrogatepass").lower().split()
+            digest.append(xxhash.xxh3_128_digest(b" ".join(parts)) if parts else None)
+            different = {xxhash.xxh64_intdigest(w, SEED) for w in dict.fromkeys(parts)}
+            shingles = np.unique(shingle_hashes(text, words))
+            fps.append([*majority(np.fromiter(different, np.uint64, len(different)), LANES), *majority(shingles, 1), len(shingles)])
+        lanes = dict(zip(FEATURES, zip(*fps, strict=True), strict=True))
         yield rows_of(SIGNATURE, {"doc_id": batch.column(0), "h": batch.column(1), "digest": digest, **lanes})
 
     return docs.select("doc_id", "h", "text").mapInArrow(per_batch(run), SIGNATURE_DDL)
@@ -210,9 +216,11 @@ def _lane_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(node[both[1]])], names=["key", "node"])
 
 
-def _bits(a: str, b: str):
-    """Differing bits of two rows' word fingerprints; ``a`` and ``b`` go in front of the columns' names."""
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))) for w in WORD_COLUMNS])
+def _near(a, b, similarity: float):
+    """Whether two rows are near; ``a`` and ``b`` give a column by its name."""
+    bits = [F.bit_count(a(w).bitwiseXOR(b(w))) for w in [*WORD_COLUMNS, "shape"]]
+    sizes = F.least(a("size"), b("size")) >= similarity * F.greatest(a("size"), b("size")) - 1e-9
+    return sizes & (bits[-1] <= SHINGLE_BITS) & (reduce(lambda x, y: x + y, bits[:-1]) <= int(64 * LANES * LOOSE))
 
 
 def _either(a: str, b: str) -> list:
@@ -271,7 +279,7 @@ def candidate_pairs(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_links(nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b) that connect similar nodes. ``nodes``: node, doc_id, h, word fingerprints. ``docs``: doc_id, h, text.
+    """(a, b) that connect similar nodes. ``nodes``: node, doc_id, h, features. ``docs``: doc_id, h, text.
 
     Fingerprints of the texts' different words give the Golay keys: an edit touches few words and many shingles. A link
     is a pair with the wanted Jaccard similarity of shingle sets.
@@ -283,15 +291,15 @@ def similar_links(nodes: DataFrame, docs: DataFrame, words: int, similarity: flo
 
     Nothing is gathered by key but runs of bounded length; leaders are maxima, aggregated before they are shuffled.
     """
-    near = int(64 * LANES * LOOSE)
     keys = nodes.select("node", *WORD_COLUMNS).mapInArrow(per_batch(_lane_rows), "key long, node long")
     lanes = nodes.select("node", F.posexplode(F.array(*WORD_COLUMNS)).alias("lane", "fp"))
     popular = lanes.join(lanes.groupBy("lane", "fp").agg(F.count("*").alias("n")), ["lane", "fp"]).groupBy("node").agg(F.sum("n").alias("score"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = cut(keys.join(shared, "key").join(nodes.select("node", *WORD_COLUMNS).join(popular, "node"), "node"), "runs")
+    rows = cut(keys.join(shared, "key").join(nodes.select("node", *FEATURES).join(popular, "node"), "node"), "runs")
 
-    leaders = rows.groupBy("key").agg(F.max(F.struct("score", "node", *WORD_COLUMNS)).alias("l")).select("key", F.col("l.node").alias("leader"), *[F.col(f"l.{w}").alias(f"l_{w}") for w in WORD_COLUMNS])
-    led = rows.join(leaders, "key").where((F.col("node") != F.col("leader")) & (_bits("", "l_") <= near))
+    leaders = rows.groupBy("key").agg(F.max(F.struct("score", "node", *FEATURES)).alias("l"))
+    close = _near(F.col, lambda w: F.col(f"l.{w}"), similarity)
+    led = rows.join(leaders, "key").where((F.col("node") != F.col("l.node")) & close).select("node", F.col("l.node").alias("leader"))
     proposed = cut(led.select(*_either("node", "leader")).distinct(), "proposed")
     wanted = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = cut(shingle_sets(docs, nodes.join(wanted, "node", "left_semi"), words), "shingles")
@@ -300,15 +308,14 @@ def similar_links(nodes: DataFrame, docs: DataFrame, words: int, similarity: flo
 
     labels = components(links)
     label = F.coalesce("root", "node").alias("label")
-    now = cut(rows.where("n > 2").join(labels, "node", "left").select("key", "n", "node", label, *WORD_COLUMNS), "labelled")
+    now = cut(rows.where("n > 2").join(labels, "node", "left").select("key", "n", "node", label, *FEATURES), "labelled")
     drop_cut(rows)
     mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     open_rows = now.join(mixed, "key", "left_semi")
-    run = open_rows.where(F.col("n") <= SEARCHED_RUN).groupBy("key").agg(F.collect_list(F.struct("node", "label", *WORD_COLUMNS)).alias("run"))
+    run = open_rows.where(F.col("n") <= SEARCHED_RUN).groupBy("key").agg(F.collect_list(F.struct("node", "label", *FEATURES)).alias("run"))
 
     def apart(x, y):
-        bits = [F.bit_count(x[w].bitwiseXOR(y[w])) for w in WORD_COLUMNS]
-        return (x["label"] != y["label"]) & (reduce(lambda p, q: p + q, bits) <= near)
+        return (x["label"] != y["label"]) & _near(lambda w: x[w], lambda w: y[w], similarity)
 
     found = run.select(F.explode(F.transform(F.filter("run", lambda x: F.exists("run", lambda y: apart(x, y))), lambda x: x["node"])).alias("node"))
     more = cut(found.union(open_rows.where(F.col("n") > SEARCHED_RUN).select("node")).distinct(), "open")
@@ -333,11 +340,11 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: s
     text = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))
     row = row.select("row", F.col("row").getField(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     plain = row.select("doc_id", "h", "text")
-    sig = cut(signatures(plain).where("digest IS NOT NULL"), "signatures")
+    sig = cut(signatures(plain, words).where("digest IS NOT NULL"), "signatures")
     # null ids last, then the least id
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    least = sig.groupBy("digest").agg(F.min(place).alias("p"), *[F.first(w).alias(w) for w in WORD_COLUMNS])
-    nodes = cut(least.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("p.doc_id").alias("doc_id"), F.col("p.h").alias("h"), *WORD_COLUMNS), "nodes")
+    least = sig.groupBy("digest").agg(F.min(place).alias("p"), *[F.first(w).alias(w) for w in FEATURES])
+    nodes = cut(least.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("p.doc_id").alias("doc_id"), F.col("p.h").alias("h"), *FEATURES), "nodes")
     roots = cut(components(similar_links(nodes, plain, words, similarity)), "roots")
     grouped = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h").alias("p"))
     stays = grouped.groupBy("root").agg(F.min("p").alias("p")).select(F.col("p.doc_id").alias("k_id"), F.col("p.h").alias("k_h"))
