@@ -47,7 +47,45 @@ def test_views(spark):
     assert {tuple(r) for r in views.scope_options(d, s, views.ViewFilters()).collect()} == {("category", "clean-speech"), ("suite", "clean-speech-de"), ("slice", "fast-speech")}
     assert views.collect_results(d, s, views.ViewFilters("slice", "unknown")).count() == 0
     assert views.default_scope_value(["a"], "b") == "a"
-    assert views.leaderboard(rankings.rank_models(d)).first().cost == "free"
+    # a cost of nothing is printed; only where there is none to tell, a model is free
+    ranked = rankings.rank_models(d)
+    assert views.leaderboard(ranked).first().cost == "$0.00"
+    none = views.leaderboard(ranked.withColumn("cost_per_hour", F.lit(None).cast("double"))).first()
+    assert (none.cost, none.tint, none.punctuation, none.skips) == ("free", "green", None, None)
+    line = views.console_table(ranked).first().line
+    assert line.startswith("   1  mock/baseline" + " " * 18) and line.endswith("$  0.00")
+    assert views.heading(views.ViewFilters("slice", "proper-nouns"))[0] == "Proper Nouns"
+    assert views.heading(views.ViewFilters("suite", "x"), "Name", None) == ("Name", "Rankings for the selected suite.")
+    assert views.heading(views.ViewFilters())[0] == "Global"
+
+
+def test_to_fixed(spark):
+    rows = [(0.15, "0.1", "0.15"), (0.125, "0.1", "0.13"), (2.5, "2.5", "2.50"), (0.05, "0.1", "0.05"), (1.005, "1.0", "1.00"), (12345.678, "12345.7", "12345.68"), (0.25, "0.3", "0.25")]
+    d = spark.createDataFrame(rows, "x double, one string, two string").select("*", views.to_fixed(F.col("x"), 1).alias("a"), views.to_fixed(F.col("x"), 2).alias("b"))
+    assert [(r.a, r.b) for r in d.collect()] == [(r[1], r[2]) for r in rows]
+
+
+def test_walk():
+    # one bucket of three: the cursor stays when b runs dry, so c is next, then a
+    assert curate.walk([3, 1, 2], 9) == [(0, 1), (1, 1), (2, 1), (0, 2), (2, 2), (0, 3)]
+    assert curate.walk([3, 1, 2], 9, step_first=True) == [(0, 1), (1, 1), (0, 2), (2, 1), (0, 3), (2, 2)]
+    assert curate.walk([2, 2], 3) == [(0, 1), (1, 1), (0, 2)] and curate.walk([], 3) == []
+
+
+def test_events_and_availability(spark):
+    o = spark.createDataFrame([("p", "m", "t1", "ok", None, None, 5.0, 0.5), ("p", "m", "t2", "skipped", None, "language not supported", 0.0, 0.0), ("p", "m", "t3", "error", "late", None, 0.0, 1.0)], "provider_id string, model string, test_id string, status string, error string, skip_reason string, duration_ms double, wer_normalized double")
+    got = sorted(((r.type, r.test_id, r.message, r.duration_ms, r.total_tests) for r in worklist.events(o, o).collect()), key=str)
+    want = [("done", "t1", None, 5.0, None), ("error", "t3", "late", None, None), ("plan", None, None, None, 3), ("skip", "t2", "language not supported", None, None), ("start", "t1", None, None, None), ("start", "t3", None, None, None)]
+    assert got == sorted(want, key=str)
+    models = spark.createDataFrame([("p", "m"), ("q", "n"), ("r", "o")], "provider_id string, model string")
+    can = spark.createDataFrame([("p", True), ("q", False), ("p", True)], "provider_id string, available boolean")
+    assert [r.provider_id for r in worklist.available(models, can).collect()] == ["p"]
+
+
+def test_sums_do_not_depend_on_order(spark):
+    rows = [row(wer=w) for w in (0.1, 0.2, 0.3, 1e-9, 0.7, 0.1)]
+    means = {rankings.rank_models(spark.createDataFrame(r, SCHEMA).coalesce(1)).first().avg_wer for r in (rows, rows[::-1], rows[3:] + rows[:3])}
+    assert len(means) == 1
 
 
 def test_work_list_cache_and_failures(spark):

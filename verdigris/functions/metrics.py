@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +47,8 @@ def word_distance(reference: Column, hypothesis: Column) -> Column:
     """Edit distance of two arrays of words, by the built-in distance of strings with a character for each word."""
 
     def small(v: Column) -> Column:
-        return F.levenshtein(_encoded(reference, v), _encoded(hypothesis, v))
+        too_many = F.raise_error(F.lit(f"over {ALPHABET_SIZE} different words in a pair: use wer_any_vocabulary")).cast("int")
+        return F.when(F.size(v) > ALPHABET_SIZE, too_many).otherwise(F.levenshtein(_encoded(reference, v), _encoded(hypothesis, v)))
 
     vocabulary = F.array_distinct(F.concat(reference, hypothesis))
     return F.transform(F.array(vocabulary), small)[0]
@@ -59,8 +60,8 @@ def _rate(n_ref: Column, n_hyp: Column, dist: Column) -> Column:
 
 def wer(reference: Column, hypothesis: Column) -> Column:
     """Word error rate, 1 at most: both empty 0, one empty 1."""
-    r, h = words(reference), words(hypothesis)
-    return _rate(F.size(r), F.size(h), word_distance(r, h))
+    pair = F.struct(words(reference).alias("r"), words(hypothesis).alias("h"))
+    return F.transform(F.array(pair), lambda p: _rate(F.size(p["r"]), F.size(p["h"]), word_distance(p["r"], p["h"])))[0]
 
 
 def wer_any_vocabulary(reference: Column, hypothesis: Column) -> Column:
@@ -94,10 +95,18 @@ def best_alternative_wer(reference: Column, alternatives: Column, hypothesis: Co
     """Least normalized WER over the reference and its alternatives; null without alternatives."""
     h = normalize_by(hypothesis, lang)
     all_ = F.concat(F.array(reference), alternatives)
-    best = F.array_min(F.transform(all_, lambda r: wer(normalize_by(r, lang), h)))
+    best = F.transform(F.array(h), lambda x: F.array_min(F.transform(all_, lambda r: wer(normalize_by(r, lang), x))))[0]
     return F.when(F.size(F.coalesce(alternatives, F.array().cast("array<string>"))) > 0, best)
 
 
+def best_alternatives(d: DataFrame, key: str, reference: str, alternatives: str, hypothesis: str, lang: str) -> DataFrame:
+    """(key, best_alternative_wer) of the rows with alternatives: a row for each of them, so that every text is normalized once."""
+    rows = d.where(F.size(F.coalesce(F.col(alternatives), F.array().cast("array<string>"))) > 0)
+    rows = rows.select(key, lang, normalize_by(F.col(hypothesis), F.col(lang)).alias("h"), F.concat(F.array(reference), F.col(alternatives)).alias("all"))
+    rows = rows.select(key, "h", lang, F.explode("all").alias("r")).select(key, "h", normalize_by(F.col("r"), F.col(lang)).alias("r"))
+    return rows.groupBy(key).agg(F.min(wer(F.col("r"), F.col("h"))).alias("best_alternative_wer"))
+
+
 WORD = r"(\p{L}[\p{L}\p{N}]*)(\p{P}*)"
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,30 +51,40 @@ def sample_round_robin(d: DataFrame, bucket: Column, order: list[Column], target
     return ranked.orderBy("pick", "__bucket").limit(target).withColumnRenamed("__bucket", "bucket")
 
 
-def sample_round_robin_exact(d: DataFrame, bucket: Column, order: list[Column], target: int) -> DataFrame:
-    """The same with the cursor kept when a bucket runs dry, which skews later turns. Each bucket is cut to ``target``
-    rows first, and one task walks the candidates, so use it for small targets."""
-    n = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
-    few = d.withColumn("__bucket", bucket).withColumn("__n", n).where(F.col("__n") <= target)
-    cols = d.columns
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        queues = {k: list(g.sort_values("__n").index) for k, g in sorted(pdf.groupby("__bucket"), key=lambda x: x[0])}
-        keys, at, picked = list(queues), 0, []
-        while keys and len(picked) < target:
-            at %= len(keys)
-            q = queues[keys[at]]
-            picked.append(q.pop(0))
-            if q:
-                at += 1
-            else:
-                del keys[at]
-        out = pdf.loc[picked, cols].copy()
-        out["pick"] = range(1, len(out) + 1)
-        return out
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema) + ", pick long"
-    return few.groupBy(F.lit(1).alias("__all")).applyInPandas(lambda _, p: run(p), schema)
+def walk(sizes: list[int], target: int, step_first: bool = False) -> list[tuple[int, int]]:
+    """(bucket, its how-manieth row) of each pick. The cursor counts on over the buckets that are left; it stays when a bucket
+    runs dry, or with ``step_first`` goes on all the same, and is then taken modulo the buckets left."""
+    left, used, at, picks = list(range(len(sizes))), [0] * len(sizes), 0, []
+    while left and len(picks) < target:
+        b = left[at % len(left)]
+        used[b] += 1
+        picks.append((b, used[b]))
+        dry = used[b] >= sizes[b]
+        at += step_first or not dry
+        if dry:
+            left.remove(b)
+            at = at % len(left) if left else 0
+    return picks
+
+
+def sample_round_robin_exact(d: DataFrame, bucket: Column, order: list[Column], target: int, first_seen: bool = False, step_first: bool = False) -> DataFrame:
+    """The same with one cursor, as ``walk`` moves it, which skews later turns. Buckets go by name, or by their best row with
+    ``first_seen``. No more than ``target`` buckets can be reached, so the walk over their sizes is bounded by it."""
+    ranked = d.withColumn("__bucket", bucket)
+    ranked = ranked.withColumn("__n", F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))).where(F.col("__n") <= target)
+    if first_seen:
+        best = ranked.where("__n = 1").orderBy(*order).limit(target).select("__bucket").collect()
+        names = [r[0] for r in best]
+    else:
+        names = [r[0] for r in ranked.select("__bucket").distinct().orderBy("__bucket").limit(target).collect()]
+    of = ranked.where(F.col("__bucket").isin(names)).groupBy("__bucket").agg(F.max("__n").alias("n")).collect()
+    sizes = {r[0]: r["n"] for r in of}
+    picks = walk([sizes.get(x, 0) for x in names if x in sizes], target, step_first)
+    names = [x for x in names if x in sizes]
+    kind = ranked.schema["__bucket"].dataType.simpleString()
+    table = d.sparkSession.createDataFrame([(names[b], n, i) for i, (b, n) in enumerate(picks, 1)], f"__b {kind}, __k int, pick long")
+    hit = (F.col("__bucket") == F.col("__b")) & (F.col("__n") == F.col("__k"))
+    return ranked.join(F.broadcast(table), hit).select(*[F.col(f"`{c}`") for c in d.columns], "pick")
 
 
 def top_by_id(d: DataFrame, id_col: str, n: int = 25) -> DataFrame:

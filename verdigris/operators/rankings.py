@@ -11,20 +11,32 @@ MODEL = ("provider_id", "model")
 MS_PER_HOUR = 3_600_000
 
 
+#: Sums are of decimals, so that they don't depend on the order of rows.
+EXACT = "decimal(38,9)"
+
+
 def _when_valid(c: str) -> Column:
     return F.when(is_valid(), F.col(c))
 
 
+def _sum(c: Column) -> Column:
+    return F.sum(c.cast(EXACT)).cast("double")
+
+
+def _avg(c: str) -> Column:
+    return _sum(_when_valid(c)) / F.count(_when_valid(c))
+
+
 def _aggregates(df: DataFrame) -> list[Column]:
     def optional(c: str) -> Column:
-        return F.avg(_when_valid(c)) if c in df.columns else F.lit(None).cast("double")
+        return _avg(c) if c in df.columns else F.lit(None).cast("double")
 
     n, skips, errors, valid = F.count("*"), F.count_if(is_skipped()), F.count_if(is_error()), F.count_if(is_valid())
-    audio = F.sum(_when_valid("audio_duration_ms"))
-    cost = F.sum(F.coalesce(_when_valid("cost_usd"), F.lit(0.0))) / audio * MS_PER_HOUR
+    audio = _sum(_when_valid("audio_duration_ms"))
+    cost = _sum(F.coalesce(_when_valid("cost_usd"), F.lit(0.0))) / audio * MS_PER_HOUR
 
     def mean(c: str, empty: float) -> Column:
-        return F.when(valid == 0, F.lit(empty)).otherwise(F.coalesce(F.avg(_when_valid(c)), F.lit(0.0)))
+        return F.when(valid == 0, F.lit(empty)).otherwise(F.coalesce(_avg(c), F.lit(0.0)))
 
     return [
         mean("wer_normalized", 1.0).alias("avg_wer"), mean("cer", 1.0).alias("avg_cer"), optional("semantic_score").alias("avg_semantic"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .predicates import SLICES
@@ -67,13 +67,20 @@ def accuracy_chart(rankings: DataFrame) -> DataFrame:
     return rankings.select("provider_id", "model", F.round(F.col("avg_wer") * 100, 1).alias("wer_percent")).orderBy("wer_percent", "provider_id", "model")
 
 
+def to_fixed(x: Column, digits: int) -> Column:
+    """A number of at least zero with so many decimals, rounded by its exact value, what lies halfway up."""
+    halfway = (x * 2 ** (digits + 1)) % 2 == 1  # only multiples of a power of two lie exactly halfway
+    return F.call_function("format_number", F.when(halfway, x + 1e-9).otherwise(x), F.lit("0." + "0" * digits))
+
+
 def speed_chart(rankings: DataFrame) -> DataFrame:
-    return rankings.select("provider_id", "model", F.round("avg_rtf", 6).alias("avg_rtf")).orderBy("avg_rtf", "provider_id", "model")
+    return rankings.select("provider_id", "model", to_fixed(F.col("avg_rtf"), 3).cast("double").alias("avg_rtf")).orderBy("avg_rtf", "provider_id", "model")
 
 
 def cost_chart(rankings: DataFrame) -> DataFrame:
-    cost = F.coalesce("cost_per_hour", F.lit(0.0))
-    return rankings.select("provider_id", "model", F.round(cost, 6).alias("cost"), (cost == 0).alias("free")).orderBy("cost", "provider_id", "model")
+    """Costs of an hour; models without a cost or with none are free."""
+    cost = F.coalesce(to_fixed(F.col("cost_per_hour"), 2).cast("double"), F.lit(0.0))
+    return rankings.select("provider_id", "model", cost.alias("cost"), (F.coalesce("cost_per_hour", F.lit(0.0)) == 0).alias("free")).orderBy(F.coalesce("cost_per_hour", F.lit(0.0)), "provider_id", "model")
 
 
 def leaderboard_flags(rankings: DataFrame) -> DataFrame:
@@ -82,18 +89,65 @@ def leaderboard_flags(rankings: DataFrame) -> DataFrame:
     return rankings.agg(has("avg_punctuation").alias("has_punctuation"), has("avg_formatting").alias("has_formatting"), F.coalesce(F.bool_or(F.col("skip_count") > 0), F.lit(False)).alias("has_skips"))
 
 
+# How the first three ranks are tinted.
+TINTS = {1: "green", 2: "blue", 3: "yellow"}
+
+
+def _percent(c: str) -> Column:
+    return F.concat(to_fixed(F.col(c) * 100, 1), F.lit("%"))
+
+
 def leaderboard(rankings: DataFrame) -> DataFrame:
-    """The printed table: rank, model, percentages, speed and price; the first three are marked."""
-    cost = F.when(F.coalesce("cost_per_hour", F.lit(0.0)) == 0, "free").otherwise(F.format_string("$%.3f", "cost_per_hour"))
-    return rankings.select(
-        "rank", "provider_id", "model", F.format_string("%.1f%%", F.col("avg_wer") * 100).alias("wer"), F.format_string("%.1f%%", F.col("avg_cer") * 100).alias("cer"),
-        F.format_string("%.2fx", "avg_rtf").alias("rtf"), cost.alias("cost"), (F.col("rank") <= 3).alias("highlight"),
+    """The web table: percentages, speed and price as printed. Punctuation, formatting and skips are null where no row has any."""
+    flags = leaderboard_flags(rankings)
+    tint = F.lit("plain")
+    for rank, colour in TINTS.items():
+        tint = F.when(F.col("rank") == rank, colour).otherwise(tint)
+    return rankings.join(F.broadcast(flags)).select(
+        "rank", F.concat_ws("/", "provider_id", "model").alias("model"), F.col("provider_type").alias("type"), _percent("avg_wer").alias("wer"), _percent("avg_cer").alias("cer"),
+        F.when(F.col("has_punctuation"), F.coalesce(_percent("avg_punctuation"), F.lit("-"))).alias("punctuation"),
+        F.when(F.col("has_formatting"), F.coalesce(_percent("avg_formatting"), F.lit("-"))).alias("formatting"),
+        F.concat(to_fixed(F.col("avg_rtf"), 3), F.lit("x")).alias("rtf"), F.coalesce(F.concat(F.lit("$"), to_fixed(F.col("cost_per_hour"), 2)), F.lit("free")).alias("cost"),
+        F.col("total_tests").alias("tests"), F.when(F.col("has_skips"), F.col("skip_count")).alias("skips"), F.col("error_count").alias("errors"), tint.alias("tint"),
     ).orderBy("rank")
 
 
-def heading(f: ViewFilters, suite_name: str | None = None) -> str:
-    value = suite_name or f.scope_value
-    return {"category": f"Category: {value}", "suite": f"Suite: {value}", "slice": f"Slice: {value}"}.get(f.scope if f.scope_value else "", "Global ranking")
+def console_table(rankings: DataFrame) -> DataFrame:
+    """(rank, line): the console's table, in columns of fixed width; what is wider isn't cut."""
+
+    def right(c: Column, n: int) -> Column:
+        return F.when(F.length(c) < n, F.lpad(c, n, " ")).otherwise(c)
+
+    name = F.concat_ws("/", "provider_id", "model")
+    cost = F.coalesce(F.concat(F.lit("$"), right(to_fixed(F.col("cost_per_hour"), 2), 6)), F.lit("   free"))
+    parts = [
+        right(F.col("rank").cast("string"), 4), F.lit("  "), F.when(F.length(name) < 30, F.rpad(name, 30, " ")).otherwise(name), F.lit(" "),
+        right(to_fixed(F.col("avg_wer") * 100, 1), 8), F.lit("% "), right(to_fixed(F.col("avg_cer") * 100, 1), 6), F.lit("% "), right(to_fixed(F.col("avg_rtf"), 3), 8), F.lit(" "), cost,
+    ]
+    return rankings.select("rank", F.concat(*parts).alias("line")).orderBy("rank")
+
+
+# Titles of slices, and what a view says about itself.
+SLICE_TITLES = {"fast-speech": "Fast Speech", "numbers-dates": "Numbers & Dates", "technical-jargon": "Technical Jargon", "proper-nouns": "Proper Nouns"}
+DESCRIPTIONS = {
+    "global": "Rankings across all suites matching the active filters.",
+    "category": "Rankings aggregated over all suites in the selected category.",
+    "suite": "Rankings for the selected suite.",
+    "slice": "Diagnostic slice derived from existing test IDs without rerunning clips.",
+}
+
+
+def heading(f: ViewFilters, name: str | None = None, description: str | None = None) -> tuple[str, str]:
+    """(title, description) of a view. ``name`` and ``description`` are the suite's own, where the scope is a suite."""
+    value, kind = f.scope_value, f.scope if f.scope in DESCRIPTIONS else "global"
+    title = {"global": "Global", "category": value or "Category", "suite": name or value or "Suite", "slice": SLICE_TITLES.get(value) or value or "Slice"}[kind]
+    return title, (description if kind == "suite" and description else DESCRIPTIONS[kind])
+
+
+def headings(suites: DataFrame) -> DataFrame:
+    """(suite_id, title, description) of every suite's view."""
+    title = F.coalesce(F.nullif("name", F.lit("")), F.nullif("suite_id", F.lit("")), F.lit("Suite"))
+    return suites.select("suite_id", title.alias("title"), F.coalesce(F.nullif("description", F.lit("")), F.lit(DESCRIPTIONS["suite"])).alias("description"))
 
 
 def fill_summary(document: DataFrame) -> DataFrame:

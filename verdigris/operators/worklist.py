@@ -15,7 +15,7 @@ KEY = ("suite_id", "test_id", "provider_id", "model", "run")
 # USD for a minute of audio.
 PRICES = {("openai", "whisper-1"): 0.006, ("deepgram", "nova-3"): 0.0043, ("deepgram", "nova-2"): 0.0036}
 PROVIDER_PRICES = {"openai": 0.01, "groq": 0.0028}
-MODELS_AT_MOST = 100_000
+MODELS_AT_MOST = 10_000
 
 
 def cache_key() -> Column:
@@ -44,13 +44,38 @@ def select_models(models: DataFrame, provider: str | None = None, model: str | N
     return models
 
 
+def available(models: DataFrame, providers: DataFrame) -> DataFrame:
+    """Models of the providers that can run. ``providers``: provider_id, available; an unknown provider can't."""
+    can = providers.where(F.col("available")).select("provider_id").distinct()
+    return models.join(can, "provider_id", "left_semi")
+
+
+def events(outcomes: DataFrame, tests: DataFrame | None = None) -> DataFrame:
+    """What a run reports: a start for each row that is tried, then done, skip or error; with ``tests``, the plan first.
+
+    ``outcomes``: provider_id, model, test_id, status, error, skip_reason, duration_ms, wer_normalized.
+    """
+    key, text, number = ["provider_id", "model", "test_id"], F.lit(None).cast("string"), F.lit(None).cast("double")
+    done, failed, skipped = F.col("status") == "ok", F.col("status") == "error", F.col("status") == "skipped"
+    kind = F.when(skipped, "skip").when(failed, "error").otherwise("done").alias("type")
+    message = F.when(skipped, F.col("skip_reason")).when(failed, F.col("error")).alias("message")
+    nothing = F.lit(None).cast("long").alias("total_tests")
+    start = outcomes.where(~skipped).select(F.lit("start").alias("type"), *key, text.alias("message"), number.alias("duration_ms"), number.alias("wer_normalized"), nothing)
+    end = outcomes.select(kind, *key, message, F.when(done, F.col("duration_ms")).alias("duration_ms"), F.when(done, F.col("wer_normalized")).alias("wer_normalized"), nothing)
+    if tests is None:
+        return start.union(end)
+    plan = tests.agg(F.count("*").alias("total_tests")).select(F.lit("plan").alias("type"), *[text.alias(k) for k in key], text.alias("message"), number.alias("duration_ms"), number.alias("wer_normalized"), "total_tests")
+    return plan.union(start).union(end)
+
+
 def work_list(tests: DataFrame, models: DataFrame, runs: int = 3) -> DataFrame:
-    """Tests x models x runs. The models ride along as one array per test, so nothing is shuffled; their number is checked."""
+    """Tests x models x runs. The models ride along as one array per test, so nothing is shuffled, if their number allows."""
     entries = models.select(F.struct(*models.columns).alias("m"))
-    if (n := entries.count()) > MODELS_AT_MOST:
-        raise ValueError(f"{n} models are too many for a work list")
+    runs_ = F.explode(F.sequence(F.lit(1), F.lit(runs)))
+    # an array rides on every test only while it is short; beyond that Spark chooses how to join
     every = entries.agg(F.array_sort(F.collect_list("m")).alias("models"))
-    out = tests.join(F.broadcast(every)).withColumn("m", F.explode("models")).withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    few = entries.limit(MODELS_AT_MOST + 1).count() <= MODELS_AT_MOST
+    out = (tests.join(F.broadcast(every)).withColumn("m", F.explode("models")) if few else tests.join(entries)).withColumn("run", runs_)
     return out.select(*tests.columns, "m.*", "run").withColumn("cache_key", cache_key())
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics, text, words
 from ..operators import curate, dims, merge, predicates, rankings, views, worklist
-from .facts import EXISTING_SQL, FACTS_SQL, MODELS_SQL, PROVIDERS_SQL, TESTS_SQL, UTTERANCES_SQL, existing_suites, facts, models, providers, tests, utterances
+from .facts import CACHED_SQL, EXISTING_SQL, FACTS_SQL, MODELS_SQL, PROVIDERS_SQL, TESTS_SQL, UTTERANCES_SQL, cached, existing_suites, facts, models, providers, tests, utterances
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,7 +24,12 @@ def query(sql: str | None = None):
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles to six digits, by the same steps as in ``six``: what lies halfway must not hang on an engine's own rounding."""
+    return df.select(*[(F.floor(F.col(c) * 1e6 + 0.5).cast("double") / 1e6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def six(x: str) -> str:
+    return f"(floor(({x}) * 1e6::DOUBLE + 0.5::DOUBLE)::DOUBLE / 1e6::DOUBLE)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,14 +49,20 @@ PUBLIC_SQL = "(" + ", ".join(f"'{s}'" for s in dims.PUBLIC_SOURCES) + ")"
 def measures() -> str:
     v = f"FILTER (WHERE {VALID})"
     n = f"count(*) {v} = 0"
-    audio = f"sum(audio_duration_ms) {v}"
+
+    def total(c: str) -> str:
+        return f"CAST(sum(CAST({c} AS DECIMAL(38, 9))) {v} AS DOUBLE)"
+
+    def mean(c: str) -> str:
+        return f"{total(c)} / count({c}) {v}"
+
     return f"""
- round(CASE WHEN {n} THEN 1 ELSE avg(wer_normalized) {v} END, 6) AS avg_wer, round(CASE WHEN {n} THEN 1 ELSE avg(cer) {v} END, 6) AS avg_cer,
- CAST(NULL AS DOUBLE) AS avg_semantic, round(avg(punctuation_score) {v}, 6) AS avg_punctuation, round(avg(formatting_score) {v}, 6) AS avg_formatting,
- round(CASE WHEN {n} THEN 0 ELSE avg(realtime_factor) {v} END, 6) AS avg_rtf, round(CASE WHEN {n} THEN 0 ELSE avg(duration_ms) {v} END, 6) AS avg_duration_ms,
- round(CASE WHEN {audio} <> 0 THEN sum(coalesce(cost_usd, 0)) {v} / {audio} * 3600000 END, 6) AS cost_per_hour, count(*) AS total_tests,
+ {six(f"CASE WHEN {n} THEN 1 ELSE {mean('wer_normalized')} END")} AS avg_wer, {six(f"CASE WHEN {n} THEN 1 ELSE {mean('cer')} END")} AS avg_cer,
+ CAST(NULL AS DOUBLE) AS avg_semantic, {six(mean('punctuation_score'))} AS avg_punctuation, {six(mean('formatting_score'))} AS avg_formatting,
+ {six(f"CASE WHEN {n} THEN 0 ELSE {mean('realtime_factor')} END")} AS avg_rtf, {six(f"CASE WHEN {n} THEN 0 ELSE {mean('duration_ms')} END")} AS avg_duration_ms,
+ {six(f"CASE WHEN {total('audio_duration_ms')} <> 0 THEN {total('coalesce(cost_usd, 0)')} / {total('audio_duration_ms')} * 3600000 END")} AS cost_per_hour, count(*) AS total_tests,
  count(*) FILTER (WHERE {ERR}) AS error_count,
- round(CASE WHEN count(*) > count(*) FILTER (WHERE {SKIP}) THEN CAST(count(*) FILTER (WHERE {ERR}) AS DOUBLE) / (count(*) - count(*) FILTER (WHERE {SKIP})) ELSE 0 END, 6) AS error_rate,
+ {six(f"CASE WHEN count(*) > count(*) FILTER (WHERE {SKIP}) THEN CAST(count(*) FILTER (WHERE {ERR}) AS DOUBLE) / (count(*) - count(*) FILTER (WHERE {SKIP})) ELSE 0 END")} AS error_rate,
  count(*) FILTER (WHERE {SKIP}) AS skip_count"""
 
 
@@ -213,12 +224,16 @@ def chart_accuracy(spark, sf_dir):
     return views.accuracy_chart(rank_global(spark, sf_dir))
 
 
-@query(f"SELECT provider_id, model, avg_rtf FROM ({GLOBAL})")
+def fixed(x: str, digits: int) -> str:
+    return f"printf('%.{digits}f', CASE WHEN (({x}) * {2 ** (digits + 1)}) % 2 = 1 THEN {x} + 1e-9 ELSE {x} END)"
+
+
+@query(f"SELECT provider_id, model, CAST({fixed('avg_rtf', 3)} AS DOUBLE) AS avg_rtf FROM ({GLOBAL})")
 def chart_speed(spark, sf_dir):
     return views.speed_chart(rank_global(spark, sf_dir))
 
 
-@query(f"SELECT provider_id, model, round(coalesce(cost_per_hour, 0), 6) AS cost, coalesce(cost_per_hour, 0) = 0 AS free FROM ({GLOBAL})")
+@query(f"SELECT provider_id, model, CASE WHEN cost_per_hour IS NULL THEN 0 ELSE CAST({fixed('cost_per_hour', 2)} AS DOUBLE) END AS cost, coalesce(cost_per_hour, 0) = 0 AS free FROM ({GLOBAL})")
 def chart_cost(spark, sf_dir):
     return views.cost_chart(rank_global(spark, sf_dir))
 
@@ -228,19 +243,38 @@ def leaderboard_flags(spark, sf_dir):
     return views.leaderboard_flags(rank_global(spark, sf_dir))
 
 
-@query(f"""SELECT rank, provider_id, model, printf('%.1f%%', avg_wer * 100) AS wer, printf('%.1f%%', avg_cer * 100) AS cer, printf('%.2fx', avg_rtf) AS rtf,
- CASE WHEN coalesce(cost_per_hour, 0) = 0 THEN 'free' ELSE printf('$%.3f', cost_per_hour) END AS cost, rank <= 3 AS highlight FROM ({GLOBAL})""")
+PERCENT = {c: f"concat({fixed(f'{c} * 100', 1)}, '%')" for c in ("avg_wer", "avg_cer", "avg_punctuation", "avg_formatting")}
+
+
+@query(f"""WITH r AS ({GLOBAL}), f AS (SELECT bool_or(avg_punctuation IS NOT NULL) AS p, bool_or(avg_formatting IS NOT NULL) AS q, bool_or(skip_count > 0) AS s FROM r)
+SELECT rank, concat(provider_id, '/', model) AS model, provider_type AS type, {PERCENT['avg_wer']} AS wer, {PERCENT['avg_cer']} AS cer,
+ CASE WHEN p THEN CASE WHEN avg_punctuation IS NULL THEN '-' ELSE {PERCENT['avg_punctuation']} END END AS punctuation,
+ CASE WHEN q THEN CASE WHEN avg_formatting IS NULL THEN '-' ELSE {PERCENT['avg_formatting']} END END AS formatting,
+ concat({fixed('avg_rtf', 3)}, 'x') AS rtf, CASE WHEN cost_per_hour IS NULL THEN 'free' ELSE concat('$', {fixed('cost_per_hour', 2)}) END AS cost, total_tests AS tests,
+ CASE WHEN s THEN skip_count END AS skips, error_count AS errors, CASE rank WHEN 1 THEN 'green' WHEN 2 THEN 'blue' WHEN 3 THEN 'yellow' ELSE 'plain' END AS tint FROM r CROSS JOIN f""")
 def leaderboard(spark, sf_dir):
     return views.leaderboard(rank_global(spark, sf_dir))
 
 
+@query(f"""SELECT rank, concat(lpad(CAST(rank AS STRING), 4, ' '), '  ', rpad(concat(provider_id, '/', model), 30, ' '), ' ', lpad({fixed('avg_wer * 100', 1)}, 8, ' '), '% ', lpad({fixed('avg_cer * 100', 1)}, 6, ' '),
+ '% ', lpad({fixed('avg_rtf', 3)}, 8, ' '), ' ', CASE WHEN cost_per_hour IS NULL THEN '   free' ELSE concat('$', lpad({fixed('cost_per_hour', 2)}, 6, ' ')) END) AS line FROM ({GLOBAL})""")
+def console_table(spark, sf_dir):
+    return views.console_table(rank_global(spark, sf_dir))
+
+
+@query(f"{DIM_BASE} SELECT suite_id, coalesce(nullif(name, ''), suite_id) AS title, coalesce(nullif(description, ''), 'Rankings for the selected suite.') AS description FROM (SELECT suite_id, name, description FROM dim UNION ALL SELECT suite_id, name, description FROM existing)")
+def view_headings(spark, sf_dir):
+    cols = ("suite_id", "name", "description")
+    return views.headings(_dim(spark, sf_dir).select(*cols).union(existing_suites(spark).select(*cols)))
+
+
 # --- work lists ---------------------------------------------------------------------------------------------------
 
 LANGUAGES_SQL = "CASE m16 % 4 WHEN 1 THEN ['de', 'en'] WHEN 2 THEN ['en'] END"
 KEY_SQL = "substring(sha1(concat_ws(':', suite_id, test_id, provider_id, model, CAST(run AS STRING))), 1, 16)"
 WORK_BASE = f"""WITH tests AS ({TESTS_SQL}), models AS (SELECT provider_id, model, supports_auto, {LANGUAGES_SQL} AS languages FROM ({MODELS_SQL})),
 w AS (SELECT *, {KEY_SQL} AS cache_key FROM tests CROSS JOIN models CROSS JOIN (SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS run)),
-cache AS (SELECT cache_key, CASE WHEN substring(cache_key, 2, 1) = '0' THEN 'Timeout' END AS error FROM w WHERE substring(cache_key, 1, 1) < '8')"""
+cache AS MATERIALIZED (SELECT DISTINCT cache_key FROM (SELECT {KEY_SQL} AS cache_key, error FROM ({CACHED_SQL})) WHERE coalesce(error, '') = '')"""
 WORK_COLS = "suite_id, test_id, provider_id, model, run, cache_key"
 SUPPORT_SQL = "CASE WHEN languages IS NULL THEN true WHEN language = 'auto' THEN supports_auto ELSE list_contains(languages, language) END"
 
@@ -249,9 +283,8 @@ def _work(spark, sf_dir) -> DataFrame:
     return worklist.work_list(tests(spark, sf_dir), models(spark, sf_dir))
 
 
-def _cache(work: DataFrame) -> DataFrame:
-    c = F.col("cache_key")
-    return work.where(F.substring(c, 1, 1) < "8").select("cache_key", F.when(F.substring(c, 2, 1) == "0", "Timeout").alias("error"))
+def _cache(spark, sf_dir) -> DataFrame:
+    return cached(spark, sf_dir).select(worklist.cache_key().alias("cache_key"), "error")
 
 
 def _listed(work: DataFrame) -> DataFrame:
@@ -263,16 +296,14 @@ def work_list(spark, sf_dir):
     return _listed(_work(spark, sf_dir))
 
 
-@query(f"{WORK_BASE} SELECT {WORK_COLS} FROM w WHERE cache_key IN (SELECT cache_key FROM cache WHERE coalesce(error, '') = '')")
+@query(f"{WORK_BASE} SELECT {WORK_COLS} FROM w SEMI JOIN cache USING (cache_key)")
 def cache_hits(spark, sf_dir):
-    w = _work(spark, sf_dir)
-    return _listed(worklist.cache_hits(w, _cache(w)))
+    return _listed(worklist.cache_hits(_work(spark, sf_dir), _cache(spark, sf_dir)))
 
 
-@query(f"{WORK_BASE} SELECT {WORK_COLS} FROM w WHERE cache_key NOT IN (SELECT cache_key FROM cache WHERE coalesce(error, '') = '')")
+@query(f"{WORK_BASE} SELECT {WORK_COLS} FROM w ANTI JOIN cache USING (cache_key)")
 def cache_misses(spark, sf_dir):
-    w = _work(spark, sf_dir)
-    return _listed(worklist.cache_misses(w, _cache(w)))
+    return _listed(worklist.cache_misses(_work(spark, sf_dir), _cache(spark, sf_dir)))
 
 
 @query(f"WITH w AS (SELECT DISTINCT suite_id, test_id, provider_id, model, run FROM ({FACTS_SQL})) SELECT *, {KEY_SQL} AS cache_key FROM w")
@@ -286,6 +317,27 @@ def language_skips(spark, sf_dir):
     return w.groupBy("provider_id", "model", "language").agg(F.count_if(~F.col("supported")).alias("skipped"), F.count("*").alias("planned"))
 
 
+@query(f"{WORK_BASE} SELECT provider_id, model, count(*) AS models FROM models WHERE provider_id IN (SELECT concat('prov', CAST(s_suppkey % 6 AS STRING)) FROM supplier GROUP BY s_suppkey % 6 HAVING max(s_acctbal) > 0 AND min(s_suppkey % 6) <> 4) GROUP BY provider_id, model")
+def available_models(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").groupBy((F.col("s_suppkey") % 6).alias("k")).agg(F.max("s_acctbal").alias("most"))
+    can = s.select(F.concat(F.lit("prov"), "k").alias("provider_id"), ((F.col("most") > 0) & (F.col("k") != 4)).alias("available"))
+    return worklist.available(models(spark, sf_dir), can).groupBy("provider_id", "model").agg(F.count("*").alias("models"))
+
+
+@query(f"""WITH o AS (SELECT l_orderkey, l_linenumber, l_partkey, concat('prov', CAST(l_suppkey % 6 AS STRING)) AS provider_id, concat('model', CAST(l_suppkey % 16 AS STRING)) AS model, concat('t-', CAST(l_partkey AS STRING)) AS test_id,
+ CASE WHEN l_linenumber = 7 THEN 'skip' WHEN l_discount >= 0.09 THEN 'error' ELSE 'done' END AS type, l_extendedprice AS d, l_tax AS w FROM lineitem)
+SELECT 'plan' AS type, CAST(NULL AS STRING) AS provider_id, CAST(NULL AS STRING) AS model, CAST(NULL AS STRING) AS test_id, CAST(NULL AS STRING) AS message, CAST(NULL AS DOUBLE) AS duration_ms, CAST(NULL AS DOUBLE) AS wer_normalized, (SELECT count(*) FROM part) AS total_tests
+UNION ALL SELECT 'start', provider_id, model, test_id, NULL, NULL, NULL, NULL FROM o WHERE type <> 'skip'
+UNION ALL SELECT type, provider_id, model, test_id, CASE type WHEN 'skip' THEN 'language not supported' WHEN 'error' THEN 'Timeout' END, CASE WHEN type = 'done' THEN d END, CASE WHEN type = 'done' THEN w END, NULL FROM o""")
+def run_events(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem")
+    o = d.select(
+        F.concat(F.lit("prov"), F.col("l_suppkey") % 6).alias("provider_id"), F.concat(F.lit("model"), F.col("l_suppkey") % 16).alias("model"), F.concat(F.lit("t-"), "l_partkey").alias("test_id"),
+        (F.col("l_linenumber") != 7).alias("supported"), F.when(F.col("l_discount") >= 0.09, "Timeout").alias("failure"), F.col("l_tax").alias("wer_normalized"), F.col("l_extendedprice").alias("duration_ms"),
+    )
+    return worklist.events(worklist.classify(o), tests(spark, sf_dir))
+
+
 @query("""SELECT l_orderkey, l_linenumber, l_quantity / 60 * CASE l_suppkey % 4 WHEN 0 THEN 0.006::DOUBLE WHEN 1 THEN 0.0043::DOUBLE WHEN 2 THEN 0.0028::DOUBLE ELSE 0::DOUBLE END AS cost_usd,
  CASE WHEN l_quantity - 10 > 0 THEN l_extendedprice / ((l_quantity - 10) * 1000) ELSE 0 END AS realtime_factor FROM lineitem""")
 def cost_rtf(spark, sf_dir):
@@ -369,10 +421,30 @@ def sample_round_robin(spark, sf_dir):
     return s.select("c_custkey", "pick", "bucket")
 
 
-@query()
+def cursor_sql(source: str, order: str, buckets: str, target: int, step_first: bool) -> str:
+    """Picks of one cursor. ``source``: id, bucket and what ``order`` needs; ``buckets``: how the first turn goes through them."""
+    go_on = "idx + 1" if step_first else "CASE WHEN dry THEN idx ELSE idx + 1 END"
+    return f"""WITH RECURSIVE src AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY {order}) AS nth, row_number() OVER (ORDER BY {order}) AS seen FROM ({source})),
+b AS (SELECT bucket, count(*) AS n, min(seen) AS seen FROM src GROUP BY bucket),
+w(step, idx, ks, ns, us, bucket, nth) AS (
+ SELECT 0, 0::BIGINT, list(bucket ORDER BY {buckets}), list(n ORDER BY {buckets}), list(0::BIGINT ORDER BY {buckets}), NULL::INTEGER, NULL::BIGINT FROM b
+ UNION ALL SELECT step + 1, CASE WHEN dry THEN CASE WHEN len(ks) = 1 THEN 0 ELSE {go_on} END % greatest(len(ks) - 1, 1) ELSE idx + 1 END,
+  CASE WHEN dry THEN list_concat(ks[:p - 1], ks[p + 1:]) ELSE ks END, CASE WHEN dry THEN list_concat(ns[:p - 1], ns[p + 1:]) ELSE ns END,
+  CASE WHEN dry THEN list_concat(us[:p - 1], us[p + 1:]) ELSE list_concat(list_append(us[:p - 1], us[p] + 1), us[p + 1:]) END, ks[p], us[p] + 1
+ FROM (SELECT *, us[p] + 1 >= ns[p] AS dry FROM (SELECT *, idx % greatest(len(ks), 1) + 1 AS p FROM w WHERE step < {target} AND len(ks) > 0)))
+SELECT id, bucket, step::BIGINT AS pick FROM w JOIN src USING (bucket, nth)"""
+
+
+@query(cursor_sql("SELECT c_custkey AS id, c_nationkey AS bucket, c_acctbal FROM customer WHERE c_acctbal > 8500", "c_acctbal DESC, id", "bucket", 150, False))
 def sample_round_robin_exact(spark, sf_dir):
-    d = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    return curate.sample_round_robin_exact(d, F.col("c_nationkey"), [F.desc("c_acctbal"), F.asc("c_custkey")], 100)
+    d = table(spark, sf_dir, "customer").where("c_acctbal > 8500").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("bucket"), "c_acctbal")
+    return curate.sample_round_robin_exact(d, F.col("bucket"), [F.desc("c_acctbal"), F.asc("id")], 150).select("id", "bucket", "pick")
+
+
+@query(cursor_sql("SELECT c_custkey AS id, c_nationkey AS bucket, c_acctbal FROM customer WHERE c_acctbal > 8500", "c_acctbal DESC, id", "seen", 150, True))
+def sample_round_robin_first_seen(spark, sf_dir):
+    d = table(spark, sf_dir, "customer").where("c_acctbal > 8500").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("bucket"), "c_acctbal")
+    return curate.sample_round_robin_exact(d, F.col("bucket"), [F.desc("c_acctbal"), F.asc("id")], 150, first_seen=True, step_first=True).select("id", "bucket", "pick")
 
 
 @query("SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 25")
@@ -414,13 +486,13 @@ def numbered_tests(spark, sf_dir):
 
 # --- text ---------------------------------------------------------------------------------------------------------
 
-SPOKEN_SQL = f"SELECT doc_id, concat('I''m ', CAST(doc_id * 37 % 1200000 AS STRING), ' rock''n''roll uh, it’s ähm O''clock! ', ref) AS t, lang, ref, hyp FROM ({UTTERANCES_SQL})"
+SPOKEN_SQL = f"SELECT utt, concat('I''m ', CAST(utt * 37 % 1200000 AS STRING), ' rock''n''roll uh, it’s ähm O''clock! ', ref) AS t, lang, ref, hyp FROM ({UTTERANCES_SQL})"
 
 
 def _spoken(spark, sf_dir) -> DataFrame:
     u = utterances(spark, sf_dir)
-    t = F.concat(F.lit("I'm "), (F.col("doc_id") * 37 % 1200000).cast("string"), F.lit(" rock'n'roll uh, it’s ähm O'clock! "), "ref")
-    return u.select("doc_id", t.alias("t"), "lang", "ref", "hyp")
+    t = F.concat(F.lit("I'm "), (F.col("utt") * 37 % 1200000).cast("string"), F.lit(" rock'n'roll uh, it’s ähm O'clock! "), "ref")
+    return u.select("utt", t.alias("t"), "lang", "ref", "hyp")
 
 
 def _quoted(xs) -> str:
@@ -457,20 +529,20 @@ def normalize_sql(source: str, lang: str) -> str:
 
 
 def _normalized(spark, sf_dir, lang: str) -> DataFrame:
-    return _spoken(spark, sf_dir).select("doc_id", text.normalize_text(F.col("t"), lang).alias("norm"))
+    return _spoken(spark, sf_dir).select("utt", text.normalize_text(F.col("t"), lang).alias("norm"))
 
 
-@query(f"SELECT doc_id, norm FROM ({normalize_sql(SPOKEN_SQL, 'en')})")
+@query(f"SELECT utt, norm FROM ({normalize_sql(SPOKEN_SQL, 'en')})")
 def normalize_en(spark, sf_dir):
     return _normalized(spark, sf_dir, "en")
 
 
-@query(f"SELECT doc_id, norm FROM ({normalize_sql(SPOKEN_SQL, 'de')})")
+@query(f"SELECT utt, norm FROM ({normalize_sql(SPOKEN_SQL, 'de')})")
 def normalize_de(spark, sf_dir):
     return _normalized(spark, sf_dir, "de")
 
 
-@query(f"SELECT doc_id, norm FROM ({normalize_sql(SPOKEN_SQL, 'auto')})")
+@query(f"SELECT utt, norm FROM ({normalize_sql(SPOKEN_SQL, 'auto')})")
 def normalize_auto(spark, sf_dir):
     return _normalized(spark, sf_dir, "auto")
 
@@ -482,9 +554,9 @@ def code_sql(t: str) -> str:
     return f"trim(regexp_replace(array_to_string(list_filter(regexp_split_to_array({t}, '{DWS}+'), lambda x: NOT list_contains({BOTH_FILLERS}, lower(x))), ' '), '{DWS}+', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, {code_sql('t')} AS norm FROM ({SPOKEN_SQL})")
+@query(f"SELECT utt, {code_sql('t')} AS norm FROM ({SPOKEN_SQL})")
 def normalize_code(spark, sf_dir):
-    return _spoken(spark, sf_dir).select("doc_id", text.normalize_code(F.col("t")).alias("norm"))
+    return _spoken(spark, sf_dir).select("utt", text.normalize_code(F.col("t")).alias("norm"))
 
 
 NUMBERS_SQL = "SELECT DISTINCT CAST(o_orderkey * 7 % 1000000 AS BIGINT) AS n FROM orders"
@@ -501,111 +573,145 @@ def number_words_de(spark, sf_dir):
 
 
 def rate_sql(source: str, name: str) -> str:
-    """(doc_id, name): edit distance of lists r and h over the length of r, row by row of the table."""
-    return f"""WITH RECURSIVE p AS (SELECT doc_id, r, h FROM ({source}) WHERE len(r) > 0 AND len(h) > 0),
-d(doc_id, i, row_) AS (SELECT doc_id, 0, range(0, len(h) + 1) FROM p UNION ALL
- SELECT d.doc_id, i + 1, list_reduce(list_concat([[i + 1]], list_transform(range(1, len(h) + 1), lambda j: [least(row_[j + 1] + 1, row_[j] + (CASE WHEN r[i + 1] = h[j] THEN 0 ELSE 1 END))])),
-  lambda acc, c: list_append(acc, least(acc[len(acc)] + 1, c[1]))) FROM d JOIN p USING (doc_id) WHERE i < len(r))
-SELECT doc_id, round(least(CAST(row_[-1] AS DOUBLE) / len(r), 1), 6) AS {name} FROM d JOIN p USING (doc_id) WHERE i = len(r)
-UNION ALL SELECT doc_id, CASE WHEN len(r) = 0 AND len(h) = 0 THEN 0.0 ELSE 1.0 END FROM ({source}) WHERE len(r) = 0 OR len(h) = 0"""
+    """(utt, name): edit distance of lists r and h over the length of r, row by row of the table."""
+    return f"""WITH RECURSIVE p AS (SELECT utt, r, h FROM ({source}) WHERE len(r) > 0 AND len(h) > 0),
+d(utt, i, row_) AS (SELECT utt, 0, range(0, len(h) + 1) FROM p UNION ALL
+ SELECT d.utt, i + 1, list_reduce(list_concat([[i + 1]], list_transform(range(1, len(h) + 1), lambda j: [least(row_[j + 1] + 1, row_[j] + (CASE WHEN r[i + 1] = h[j] THEN 0 ELSE 1 END))])),
+  lambda acc, c: list_append(acc, least(acc[len(acc)] + 1, c[1]))) FROM d JOIN p USING (utt) WHERE i < len(r))
+SELECT utt, round(least(CAST(row_[-1] AS DOUBLE) / len(r), 1), 6) AS {name} FROM d JOIN p USING (utt) WHERE i = len(r)
+UNION ALL SELECT utt, CASE WHEN len(r) = 0 AND len(h) = 0 THEN 0.0 ELSE 1.0 END FROM ({source}) WHERE len(r) = 0 OR len(h) = 0"""
 
 
 def words_sql(t: str) -> str:
     return f"list_filter(regexp_split_to_array({t}, '{DWS}+'), lambda x: x <> '')"
 
 
-PAIRS = f"SELECT doc_id, lang, ref, hyp FROM ({UTTERANCES_SQL})"
+PAIRS = f"SELECT utt, lang, ref, hyp FROM ({UTTERANCES_SQL})"
 #: Both sides normalized by the row's language: one run of the normalizer for each language.
 NORMALIZED_PAIRS = " UNION ALL ".join(
-    f"SELECT doc_id, norm AS nr, nh FROM ({normalize_sql(f'SELECT doc_id, ref AS t, nh FROM (SELECT doc_id, ref, norm AS nh FROM ({inner}))', lang)})"
-    for lang in ("de", "en")
-    for inner in [normalize_sql(f"SELECT doc_id, ref, hyp AS t FROM ({PAIRS}) WHERE lang = '{lang}'", lang)]
+    f"SELECT utt, norm AS nr, nh FROM ({normalize_sql(f'SELECT utt, ref AS t, nh FROM (SELECT utt, ref, norm AS nh FROM ({inner}))', lang)})"
+    for lang, where in (("de", "lang = 'de'"), ("en", "lang = 'en'"), ("auto", "lang IS NULL OR lang NOT IN ('de', 'en')"))
+    for inner in [normalize_sql(f"SELECT utt, ref, hyp AS t FROM ({PAIRS}) WHERE {where}", lang)]
 )
 
 
-@query(rate_sql(f"SELECT doc_id, {words_sql('lower(ref)')} AS r, {words_sql('lower(hyp)')} AS h FROM ({PAIRS})", "wer_raw"))
+@query(rate_sql(f"SELECT utt, {words_sql('lower(ref)')} AS r, {words_sql('lower(hyp)')} AS h FROM ({PAIRS})", "wer_raw"))
 def wer_raw(spark, sf_dir):
-    return utterances(spark, sf_dir).select("doc_id", F.round(metrics.wer_raw(F.col("ref"), F.col("hyp")), 6).alias("wer_raw"))
+    return utterances(spark, sf_dir).select("utt", F.round(metrics.wer_raw(F.col("ref"), F.col("hyp")), 6).alias("wer_raw"))
 
 
-@query(rate_sql(f"SELECT doc_id, {words_sql('nr')} AS r, {words_sql('nh')} AS h FROM ({NORMALIZED_PAIRS})", "wer_normalized"))
+@query(rate_sql(f"SELECT utt, {words_sql('nr')} AS r, {words_sql('nh')} AS h FROM ({NORMALIZED_PAIRS})", "wer_normalized"))
 def wer_normalized(spark, sf_dir):
     u = utterances(spark, sf_dir)
-    n = u.select("doc_id", text.normalize_by(F.col("ref"), F.col("lang")).alias("r"), text.normalize_by(F.col("hyp"), F.col("lang")).alias("h"))
-    return n.select("doc_id", F.round(metrics.wer(F.col("r"), F.col("h")), 6).alias("wer_normalized"))
+    n = u.select("utt", text.normalize_by(F.col("ref"), F.col("lang")).alias("r"), text.normalize_by(F.col("hyp"), F.col("lang")).alias("h"))
+    return n.select("utt", F.round(metrics.wer(F.col("r"), F.col("h")), 6).alias("wer_normalized"))
+
+
+#: DuckDB's own distance counts bytes, so the letters beyond ASCII that the tables hold become capitals, which no normalized text has.
+BEYOND_ASCII, CAPITALS = "àáâäçèéêëìíîïñòóôöùúûüßœæ", "ABCDEFGHIJKLMNOPQRSTUVWXY"
+CER_SQL = f"""SELECT utt, CASE WHEN nr = '' AND nh = '' THEN 0.0 WHEN nr = '' OR nh = '' THEN 1.0
+ ELSE least(levenshtein(translate(nr, '{BEYOND_ASCII}', '{CAPITALS}'), translate(nh, '{BEYOND_ASCII}', '{CAPITALS}'))::DOUBLE / length(nr), 1) END AS cer FROM ({NORMALIZED_PAIRS})"""
 
 
-@query(rate_sql(f"SELECT doc_id, list_filter(string_split(nr[1:60], ''), lambda x: x <> '') AS r, list_filter(string_split(nh[1:60], ''), lambda x: x <> '') AS h FROM ({NORMALIZED_PAIRS})", "cer"))
+@query(f"SELECT utt, round(cer, 6) AS cer FROM ({CER_SQL})")
 def cer(spark, sf_dir):
     u = utterances(spark, sf_dir)
-    n = u.select("doc_id", F.substring(text.normalize_by(F.col("ref"), F.col("lang")), 1, 60).alias("r"), F.substring(text.normalize_by(F.col("hyp"), F.col("lang")), 1, 60).alias("h"))
-    return n.select("doc_id", F.round(metrics.cer(F.col("r"), F.col("h")), 6).alias("cer"))
+    n = u.select("utt", text.normalize_by(F.col("ref"), F.col("lang")).alias("r"), text.normalize_by(F.col("hyp"), F.col("lang")).alias("h"))
+    return n.select("utt", F.round(metrics.cer(F.col("r"), F.col("h")), 6).alias("cer"))
 
 
-@query(rate_sql(f"SELECT doc_id, {words_sql(code_sql('ref'))} AS r, {words_sql(code_sql('hyp'))} AS h FROM ({PAIRS})", "code_wer"))
+@query(rate_sql(f"SELECT utt, {words_sql(code_sql('ref'))} AS r, {words_sql(code_sql('hyp'))} AS h FROM ({PAIRS})", "code_wer"))
 def code_wer(spark, sf_dir):
-    return utterances(spark, sf_dir).select("doc_id", F.round(metrics.code_wer(F.col("ref"), F.col("hyp")), 6).alias("code_wer"))
+    return utterances(spark, sf_dir).select("utt", F.round(metrics.code_wer(F.col("ref"), F.col("hyp")), 6).alias("code_wer"))
 
 
-@query(rate_sql(f"SELECT doc_id, {words_sql('nh')} AS r, {words_sql('nh')} AS h FROM ({NORMALIZED_PAIRS})", "best_alternative_wer"))
+#: What else might have been said: every fifth word more, half of it, something else; every sixth utterance also as it was heard.
+ALTERNATIVES = {"array_to_string(list_transform(rw, lambda x, i: CASE WHEN i % 5 = 0 THEN concat(x, ' uh also') ELSE x END), ' ')": "true", "array_to_string(rw[1:len(rw) // 2], ' ')": "true", "'quite another text'": "true", "hyp": "utt % 6 = 0"}
+
+
+def alternatives_sql() -> str:
+    """Every reference and alternative as a row of its own, normalized, with its hypothesis."""
+    every = " UNION ALL ".join(f"SELECT utt * 8 + {k} AS utt, lang, {a} AS ref, hyp FROM ({UTTERANCES_SQL}) WHERE {where}" for k, (a, where) in enumerate({"ref": "true", **ALTERNATIVES}.items()))
+    pairs = NORMALIZED_PAIRS.replace(PAIRS, every)
+    rates = rate_sql(f"SELECT utt, {words_sql('nr')} AS r, {words_sql('nh')} AS h FROM ({pairs})", "rate")
+    return f"SELECT utt // 8 AS utt, min(rate) AS best_alternative_wer FROM ({rates}) GROUP BY 1"
+
+
+@query(alternatives_sql())
 def best_alternative(spark, sf_dir):
-    """One alternative is what was said, so the best rate is that of equal texts; the other is noise."""
     u = utterances(spark, sf_dir)
-    alternatives = F.array(F.lit("quite another text"), F.col("hyp"))
-    return u.select("doc_id", F.round(metrics.best_alternative_wer(F.col("ref"), alternatives, F.col("hyp"), F.col("lang")), 6).alias("best_alternative_wer"))
+    more = F.array_join(F.transform("rw", lambda x, i: F.when(i % 5 == 4, F.concat(x, F.lit(" uh also"))).otherwise(x)), " ")
+    half = F.array_join(F.slice("rw", F.lit(1), F.floor(F.size("rw") / 2).cast("int")), " ")
+    heard = F.when(F.col("utt") % 6 == 0, F.array("hyp")).otherwise(F.array().cast("array<string>"))
+    u = u.withColumn("alternatives", F.concat(F.array(more, half, F.lit("quite another text")), heard))
+    b = metrics.best_alternatives(u, "utt", "ref", "alternatives", "hyp", "lang")
+    return b.select("utt", F.round("best_alternative_wer", 6).alias("best_alternative_wer"))
 
 
 WORD_SQL = r"(\p{L}[\p{L}\p{N}]*)(\p{P}*)"
 
 
-@query(f"""SELECT doc_id, i, lower(w[i]) AS word, m[i] AS marks FROM (SELECT doc_id, w, m, unnest(range(1, len(w) + 1)) AS i FROM
- (SELECT doc_id, regexp_extract_all(ref, '{WORD_SQL}', 1) AS w, regexp_extract_all(ref, '{WORD_SQL}', 2) AS m FROM ({PAIRS})))""")
+@query(f"""SELECT utt, i, lower(w[i]) AS word, m[i] AS marks FROM (SELECT utt, w, m, unnest(range(1, len(w) + 1)) AS i FROM
+ (SELECT utt, regexp_extract_all(ref, '{WORD_SQL}', 1) AS w, regexp_extract_all(ref, '{WORD_SQL}', 2) AS m FROM ({PAIRS})))""")
 def word_punct_pairs(spark, sf_dir):
-    u = utterances(spark, sf_dir).select("doc_id", F.posexplode(metrics.word_marks(F.col("ref"))).alias("i", "p"))
-    return u.select("doc_id", (F.col("i") + 1).cast("long").alias("i"), "p.word", "p.marks")
+    u = utterances(spark, sf_dir).select("utt", F.posexplode(metrics.word_marks(F.col("ref"))).alias("i", "p"))
+    return u.select("utt", (F.col("i") + 1).cast("long").alias("i"), "p.word", "p.marks")
 
 
-FORMATTED = f"""SELECT doc_id, lang, ref, array_to_string(list_transform(hw, lambda x, i: CASE WHEN i % 5 = 3 THEN lower(x) WHEN i % 4 = 2 THEN regexp_replace(x, '[.,]', '', 'g') ELSE x END), ' ') AS hyp FROM ({UTTERANCES_SQL})"""
+FORMATTED = f"""SELECT utt, lang, ref, array_to_string(list_transform(hw, lambda x, i: CASE WHEN i % 5 = 3 THEN lower(x) WHEN i % 4 = 2 THEN regexp_replace(x, '[.,]', '', 'g') ELSE x END), ' ') AS hyp FROM ({UTTERANCES_SQL})"""
 #: A cell of the edit table is cost, aligned, equal marks and equal capitals in one number.
 COST, ALIGNED, MARKS = 1 << 30, 1 << 20, 1 << 10
-ALIGN_SQL = f"""WITH RECURSIVE p0 AS (SELECT doc_id, regexp_extract_all(ref, '{WORD_SQL}', 1) AS ro, regexp_extract_all(ref, '{WORD_SQL}', 2) AS rm,
+ALIGN_SQL = f"""WITH RECURSIVE p0 AS (SELECT utt, regexp_extract_all(ref, '{WORD_SQL}', 1) AS ro, regexp_extract_all(ref, '{WORD_SQL}', 2) AS rm,
   regexp_extract_all(hyp, '{WORD_SQL}', 1) AS ho, regexp_extract_all(hyp, '{WORD_SQL}', 2) AS hm FROM ({FORMATTED})),
 p AS (SELECT *, list_transform(ro, lambda x: lower(x)) AS r, list_transform(ho, lambda x: lower(x)) AS h FROM p0),
-d(doc_id, i, row_) AS (SELECT doc_id, 0, list_transform(range(0, len(h) + 1), lambda x: x::BIGINT * {COST}) FROM p UNION ALL
- SELECT d.doc_id, i + 1, list_reduce(list_concat([[(i + 1)::BIGINT * {COST}]], list_transform(range(1, len(h) + 1), lambda j: [
+d(utt, i, row_) AS (SELECT utt, 0, list_transform(range(0, len(h) + 1), lambda x: x::BIGINT * {COST}) FROM p UNION ALL
+ SELECT d.utt, i + 1, list_reduce(list_concat([[(i + 1)::BIGINT * {COST}]], list_transform(range(1, len(h) + 1), lambda j: [
    row_[j] + CASE WHEN r[i + 1] = h[j] THEN {ALIGNED} + (CASE WHEN rm[i + 1] <> '' AND rm[i + 1] = hm[j] THEN {MARKS} ELSE 0 END) + (CASE WHEN ro[i + 1][1] = ho[j][1] THEN 1 ELSE 0 END) ELSE {COST} END,
    row_[j + 1] + {COST}])),
   lambda acc, c: list_append(acc, CASE WHEN c[1] // {COST} <= c[2] // {COST} AND c[1] // {COST} <= acc[len(acc)] // {COST} + 1 THEN c[1]
-   WHEN c[2] // {COST} <= acc[len(acc)] // {COST} + 1 THEN c[2] ELSE acc[len(acc)] + {COST} END)) FROM d JOIN p USING (doc_id) WHERE i < len(r)),
-e AS (SELECT doc_id, len(r) AS n, len(list_filter(rm, lambda x: x <> '')) AS marked, row_[-1] % {COST} // {ALIGNED} AS aligned, row_[-1] % {ALIGNED} // {MARKS} AS marks, row_[-1] % {MARKS} AS caps FROM d JOIN p USING (doc_id) WHERE i = len(r)),
-s AS (SELECT doc_id, CASE WHEN marked = 0 THEN 1.0 ELSE marks::DOUBLE / marked END AS punctuation, CASE WHEN n = 0 THEN 1.0 WHEN aligned = 0 THEN 0.0 ELSE caps::DOUBLE / aligned END AS capitals FROM e)"""
+   WHEN c[2] // {COST} <= acc[len(acc)] // {COST} + 1 THEN c[2] ELSE acc[len(acc)] + {COST} END)) FROM d JOIN p USING (utt) WHERE i < len(r)),
+e AS (SELECT utt, len(r) AS n, len(list_filter(rm, lambda x: x <> '')) AS marked, row_[-1] % {COST} // {ALIGNED} AS aligned, row_[-1] % {ALIGNED} // {MARKS} AS marks, row_[-1] % {MARKS} AS caps FROM d JOIN p USING (utt) WHERE i = len(r)),
+s AS (SELECT utt, CASE WHEN marked = 0 THEN 1.0 ELSE marks::DOUBLE / marked END AS punctuation, CASE WHEN n = 0 THEN 1.0 WHEN aligned = 0 THEN 0.0 ELSE caps::DOUBLE / aligned END AS capitals FROM e)"""
 
 
 def _scores(spark, sf_dir) -> DataFrame:
     u = utterances(spark, sf_dir)
     said = F.transform("hw", lambda x, i: F.when(i % 5 == 2, F.lower(x)).when(i % 4 == 1, F.regexp_replace(x, "[.,]", "")).otherwise(x))
-    return u.select("doc_id", metrics.alignment(F.col("ref"), F.array_join(said, " ")).alias("s"))
+    return u.select("utt", metrics.alignment(F.col("ref"), F.array_join(said, " ")).alias("s"))
 
 
-@query(f"{ALIGN_SQL} SELECT doc_id, round(punctuation, 6) AS punctuation_score FROM s")
+@query(f"{ALIGN_SQL} SELECT utt, round(punctuation, 6) AS punctuation_score FROM s")
 def punctuation_score(spark, sf_dir):
-    return _scores(spark, sf_dir).select("doc_id", F.round("s.punctuation_score", 6).alias("punctuation_score"))
+    return _scores(spark, sf_dir).select("utt", F.round("s.punctuation_score", 6).alias("punctuation_score"))
 
 
-@query(f"{ALIGN_SQL} SELECT doc_id, round(capitals, 6) AS capitalization_score, round(0.5 * punctuation + 0.5 * capitals, 6) AS formatting_score FROM s")
+@query(f"{ALIGN_SQL} SELECT utt, round(capitals, 6) AS capitalization_score, round(0.5 * punctuation + 0.5 * capitals, 6) AS formatting_score FROM s")
 def formatting_score(spark, sf_dir):
-    return _scores(spark, sf_dir).select("doc_id", F.round("s.capitalization_score", 6).alias("capitalization_score"), F.round("s.formatting_score", 6).alias("formatting_score"))
+    return _scores(spark, sf_dir).select("utt", F.round("s.capitalization_score", 6).alias("capitalization_score"), F.round("s.formatting_score", 6).alias("formatting_score"))
+
+
+def _exact(rate: str) -> str:
+    """A rate's SQL without its rounding."""
+    return rate.replace("round(least(CAST(row_[-1] AS DOUBLE) / len(r), 1), 6)", "least(CAST(row_[-1] AS DOUBLE) / len(r), 1)")
+
+
+SCORED = {
+    "wer": _exact(rate_sql(f"SELECT utt, {words_sql('nr')} AS r, {words_sql('nh')} AS h FROM ({NORMALIZED_PAIRS})", "wer")),
+    "cer": CER_SQL,
+}
 
 
-SCORED_RATE = rate_sql(f"SELECT doc_id, {words_sql('nr')} AS r, {words_sql('nh')} AS h FROM ({NORMALIZED_PAIRS})", "wer").replace("round(least(CAST(row_[-1] AS DOUBLE) / len(r), 1), 6)", "least(CAST(row_[-1] AS DOUBLE) / len(r), 1)")
+def _mean(c: str) -> str:
+    return six(f"CAST(sum(CAST({c} AS DECIMAL(38, 9))) AS DOUBLE) / count({c})")
 
 
-@query(f"""SELECT provider_id, model, round(avg(wer), 6) AS avg_wer, count(*) AS total_tests FROM
- (SELECT concat('prov', CAST(doc_id % 3 AS STRING)) AS provider_id, concat('model', CAST(doc_id % 4 AS STRING)) AS model, wer FROM ({SCORED_RATE})) GROUP BY provider_id, model""")
+@query(f"""SELECT concat('prov', CAST(utt % 3 AS STRING)) AS provider_id, concat('model', CAST(utt % 4 AS STRING)) AS model, {_mean('wer')} AS avg_wer, {_mean('cer')} AS avg_cer,
+ {_mean('punctuation')} AS avg_punctuation, {_mean('0.5 * punctuation + 0.5 * capitals')} AS avg_formatting, count(*) AS total_tests
+FROM ({SCORED['wer']}) JOIN ({SCORED['cer']}) USING (utt) JOIN ({ALIGN_SQL.replace(FORMATTED, PAIRS)} SELECT utt, punctuation, capitals FROM s) USING (utt) GROUP BY utt % 3, utt % 4""")
 def score_and_rank(spark, sf_dir):
     """Transcripts scored with all metrics, then ranked."""
     u = utterances(spark, sf_dir)
     columns = metrics.score_columns(F.col("ref"), F.col("hyp"), F.col("lang"), formatted=F.col("ref"))
-    keys = [F.concat(F.lit("prov"), F.col("doc_id") % 3).alias("provider_id"), F.concat(F.lit("model"), F.col("doc_id") % 4).alias("model")]
+    keys = [F.concat(F.lit("prov"), F.col("utt") % 3).alias("provider_id"), F.concat(F.lit("model"), F.col("utt") % 4).alias("model")]
     r = u.select(*keys, F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"), *columns, F.lit(1.0).alias("duration_ms"), F.lit(1.0).alias("audio_duration_ms"), F.lit(0.0).alias("realtime_factor"), F.lit(0.0).alias("cost_usd"))
-    return rankings.rank_models(r).select("provider_id", "model", F.round("avg_wer", 6).alias("avg_wer"), "total_tests")
+    return rounded(rankings.rank_models(r).select("provider_id", "model", "avg_wer", "avg_cer", "avg_punctuation", "avg_formatting", "total_tests"))
