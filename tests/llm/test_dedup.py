@@ -249,6 +249,20 @@ def test_runs_span_ranges_and_batches():
         assert sum(r["flags"] & suffix.ASKED > 0 for r in out) == len({rows[r["row_key"]] for r in out})
 
 
+def test_ranges_keep_the_order(spark):
+    """Ranges follow the order of (head, lead, first) as signed longs, equal suffixes share one, and there are several."""
+    rng = np.random.default_rng(6)
+    cols = rng.integers(-3, 3, (3, 400)).astype(np.int64).view(np.uint64)
+    splitters = np.array(sorted({tuple(x) for x in rng.integers(-3, 3, (9, 3)).tolist()}), np.int64).view(np.uint64)
+    got = suffix.ranges_of(*cols, splitters)
+    want = [sum(tuple(s) <= row for s in splitters.view(np.int64).tolist()) for row in zip(*cols.view(np.int64).tolist(), strict=True)]
+    assert got.tolist() == want and len(set(want)) > 3
+    docs = spark.createDataFrame([(i, words(120)) for i in range(60)], "carried long, text string").select("text", "carried")
+    found = suffix.sampled_splitters(suffix._packed(docs), 200, 8).view(np.int64).tolist()
+    assert len(found) == 7 and found == sorted(found)
+    assert len(suffix.sampled_splitters(suffix._packed(docs.where("false")), 200, 8)) == 0
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(8)
     words_ = rng.integers(0, 3, (500, 4)).astype(np.uint64)

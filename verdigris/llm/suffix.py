@@ -6,8 +6,9 @@ anchor at the same place, so any repeated string is found from the anchors insid
 seventy has one.
 
 1. Documents are numbered and written, compressed. Their anchor suffixes are range-partitioned by leading bytes
-   between splitters that Spark samples, and sorted in each range: by the first eight bytes, a hash of the ``LEAD``
-   leading ones, and the first window that holds the anchor. Neighbours are compared as they stream by. Suffixes with
+   between splitters, which the suffixes of some sampled documents give, so that all others are computed once, and sorted
+   in each range: by the first eight bytes, a hash of the ``LEAD`` leading ones, and the first window that holds the
+   anchor. Neighbours are compared as they stream by. Suffixes with
    equal leading bytes may span several ranges; one at the edge of a range counts as having a neighbour, which the
    counts of step 2 confirm or refute. What has a neighbour is sorted once more by the last window. An anchor whose first
    and last windows both recur is settled, and so is one whose leading bytes nobody shares. Equal suffixes of one
@@ -39,8 +40,11 @@ from .common import cut, key_and_text, per_batch
 
 LEAD = 64
 FLUSH = 1_000_000
+SEED = 42
 WIDE_RUN = 16_384
 CHUNK = 4096
+#: Splitters come from the suffixes of about so many documents a range, and from no more than so many suffixes a range.
+SAMPLED_DOCS, SAMPLED_SUFFIXES = 32, 256
 #: Positions of a slab of a very long document fit into so many bits.
 POS_BITS = 24
 SLAB = 1 << 23
@@ -112,10 +116,44 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, ...]:
 SUFFIX = pa.schema([("head", pa.int64()), ("lead", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("row_key", pa.int64()), ("pos", pa.int32()), ("kind", pa.int8())])
 SUFFIX_DDL = "head long, lead long, first long, last long, row_key long, pos int, kind byte"
 ONE, SETTLED, MANY = 0, 1, 2
+RANGED = SUFFIX.append(pa.field("range", pa.int32()))
+RANGED_DDL = SUFFIX_DDL + ", range int"
 
 
-def _suffixes(length: int) -> Callable:
-    """Anchors of documents; equal ones of a task become one of kind MANY, the others of them SETTLED."""
+def _ordered(head: np.ndarray, lead: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Byte strings in the order of the three columns as signed longs."""
+    return np.stack([head ^ TOP, lead ^ TOP, first ^ TOP], axis=1).astype(">u8").view("S24").ravel()
+
+
+def ranges_of(head: np.ndarray, lead: np.ndarray, first: np.ndarray, splitters: np.ndarray) -> np.ndarray:
+    """How many splitters are at or before each suffix. ``splitters``: sorted rows of head, lead and first."""
+    at = splitters[:, 0] ^ TOP
+    low, high = np.searchsorted(at, head ^ TOP, "left"), np.searchsorted(at, head ^ TOP, "right")
+    tied = np.flatnonzero(low < high)
+    high[tied] = np.searchsorted(_ordered(*splitters.T), _ordered(head[tied], lead[tied], first[tied]), "right")
+    return high.astype(np.int32)
+
+
+def sampled_splitters(packed: DataFrame, length: int, ranges: int) -> np.ndarray:
+    """Rows of head, lead and first that part suffixes into about equal ranges, ``ranges - 1`` at most.
+
+    A suffix that k of the sample's tasks hold stands for k of them, but for no more than all tasks would send.
+    """
+    n, tasks = packed.select(F.spark_partition_id().alias("task")).agg(F.count("*"), F.max("task") + 1).first()
+    share = min(1.0, SAMPLED_DOCS * ranges / n) if n else 1.0
+    some = packed.sample(share, seed=SEED).select("row_key", "data").mapInArrow(_suffixes(length), RANGED_DDL)
+    counted = some.groupBy("head", "lead", "first").agg(F.count("*").alias("k"))
+    found = sorted(tuple(r) for r in counted.orderBy(F.xxhash64("head", "lead", "first")).limit(SAMPLED_SUFFIXES * ranges).collect())
+    if not found:
+        return np.zeros((0, 3), np.uint64)
+    rows = np.array(found, np.int64)
+    weight = np.cumsum(np.minimum(rows[:, 3], max(1.0, (tasks or 1) * share)))
+    at = np.searchsorted(weight, weight[-1] * np.arange(1, ranges) / ranges)
+    return rows[np.unique(at), :3].view(np.uint64)
+
+
+def _suffixes(length: int, splitters: np.ndarray | None = None) -> Callable:
+    """Anchors of documents, with their range; equal ones of a task become one of kind MANY, the others of them SETTLED."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -133,7 +171,8 @@ def _suffixes(length: int) -> Callable:
             gone = kind == SETTLED
             head[gone] = _mix(row[gone].view(np.uint64), pos[gone].astype(np.uint64))  # spread: no comparison needs them
             lead[gone] = first[gone] = last[gone] = 0
-            return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (head, lead, first, last)), pa.array(row), pa.array(pos), pa.array(kind)], schema=SUFFIX)
+            to = np.zeros(len(head), np.int32) if splitters is None else ranges_of(head, lead, first, splitters)
+            return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (head, lead, first, last)), pa.array(row), pa.array(pos), pa.array(kind), pa.array(to)], schema=RANGED)
 
         for batch in batches:
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -336,8 +375,8 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = _packed(docs)
-    suffixes = packed.select("row_key", "data").mapInArrow(_suffixes(length), SUFFIX_DDL)
-    by_first = suffixes.repartitionByRange(n, "head", "lead", "first").sortWithinPartitions("head", "lead", "first", "last")
+    suffixes = packed.select("row_key", "data").mapInArrow(_suffixes(length, sampled_splitters(packed, length, n)), RANGED_DDL)
+    by_first = suffixes.repartitionById(n, "range").drop("range").sortWithinPartitions("head", "lead", "first", "last")
     near = cut(by_first.mapInArrow(partial(_neighbours, window=2, flag=FIRST), NEAR_DDL), "suffixes")
     open_ = near.where(F.col("kind") != SETTLED)
     by_last = open_.repartitionByRange(n, "head", "lead", "last").sortWithinPartitions("head", "lead", "last")
