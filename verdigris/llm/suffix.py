@@ -298,19 +298,26 @@ SPAN_DDL = "row_key long, a int, b int"
 
 def equal_rows(group: np.ndarray, word: Callable[[np.ndarray, int], np.ndarray], words: int) -> np.ndarray:
     """Which rows have an equal one in their group, by multikey quicksort: rows are parted by one word of their bytes at a
-    time, and only parts of two or more go on to the next. ``word``: the k-th word of some rows."""
-    rows, part = np.arange(len(group)), group
-    for k in range(-1, words):
-        w = word(rows, k) if k >= 0 else np.zeros(len(rows), np.uint64)
-        order = np.lexsort((w, part))
-        rows, part, w = rows[order], part[order], w[order]
-        new = np.concatenate(([True], (part[1:] != part[:-1]) | (w[1:] != w[:-1])))
-        part = np.cumsum(new) - 1
+    time, and only parts of two or more go on to the next. A part whose rows all have one word needs no sorting.
+    ``group``: small integers from 0. ``word``: the k-th word of some rows."""
+    out = np.zeros(len(group), bool)
+    rows = np.flatnonzero(np.bincount(group)[group] > 1)
+    rows = rows[np.argsort(group[rows], kind="stable")]
+    part = group[rows]
+    for k in range(words):
+        if not len(rows):
+            return out
+        w = word(rows, k)
+        torn = np.zeros(part[-1] + 1, bool)
+        torn[part[1:][(part[1:] == part[:-1]) & (w[1:] != w[:-1])]] = True
+        at = np.flatnonzero(torn[part])
+        if not len(at):
+            continue
+        order = at[np.lexsort((w[at], part[at]))]
+        rows[at], w[at] = rows[order], w[order]
+        part = np.cumsum(np.concatenate(([True], (part[1:] != part[:-1]) | (w[1:] != w[:-1])))) - 1
         many = np.bincount(part)[part] > 1
         rows, part = rows[many], part[many]
-        if not len(rows):
-            break
-    out = np.zeros(len(group), bool)
     out[rows] = True
     return out
 
@@ -334,10 +341,11 @@ def _settle(length: int) -> Callable:
             col = np.arange(side + 1)
             whole = (col[None, :] >= start[:, None]) & (col[None, :] + length <= (start + size)[:, None])
             of, at = np.nonzero(whole)
-            bytes_ = np.lib.stride_tricks.sliding_window_view(m, 8, axis=1)
+            begin = of * width + at
+            eight = np.ndarray((max(0, m.size - 7),), np.uint64, m, strides=(1,))  # from every byte on
 
-            def word(rows: np.ndarray, k: int, of=of, at=at, bytes_=bytes_) -> np.ndarray:
-                return np.ascontiguousarray(bytes_[of[rows], at[rows] + steps[k]]).view(np.uint64).ravel()
+            def word(rows: np.ndarray, k: int, begin=begin, eight=eight) -> np.ndarray:
+                return eight[begin[rows] + steps[k]]
 
             grid = np.zeros(whole.shape, bool)
             grid[whole] = equal_rows(number[of] * (side + 1) + at, word, len(steps))
