@@ -34,12 +34,12 @@ PAIR = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa
 PAIR_DDL = "query_id long, vec_id long, score long"
 
 
-def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(vec_id, v: array of long, norm2) of the rows that take part."""
+def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int, *carry: str) -> DataFrame:
+    """(vec_id, carried columns, v: array of long, norm2) of the rows that take part."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     whole = F.forall(F.col("x"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    d = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull()).where(whole)
-    d = d.select("vec_id", F.transform("x", lambda x: F.floor(x * float(scale)).cast("long")).alias("v"))
+    d = vectors.select(F.col(id_col).cast("long").alias("vec_id"), *carry, v.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull()).where(whole)
+    d = d.select("vec_id", *carry, F.transform("x", lambda x: F.floor(x * float(scale)).cast("long")).alias("v"))
     return d.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
