@@ -1,17 +1,18 @@
-"""Transcript metrics: word and character error rates as Column expressions, alignment scores in Arrow batches."""
+"""Transcript metrics: word and character error rates as Column expressions, and all metrics of transcripts in one frame."""
 
 from __future__ import annotations
 
-import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .text import WS, normalize_by, normalize_code
+from .align import align_scores, alignment, word_marks
+from .text import WS, let, normalize_by, normalize_code
 
-#: One character for each different word of a pair; pairs with more different words are measured in Python.
+__all__ = ["align_scores", "alignment", "best_alternative", "cer", "code_cer", "code_wer", "distance", "parse_int", "score_transcripts", "wer", "wer_raw", "word_marks", "words"]
+
+#: One character for each different word of a pair, of a literal alphabet; pairs with more take code points from WIDE on.
 ALPHABET_SIZE = 20_000
+WIDE = 0x10000
 
 
 def _alphabet() -> Column:
@@ -22,8 +23,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, f"[{WS}]+"), lambda x: x != "")
 
 
-def _encoded(ws: Column, vocabulary: Column) -> Column:
-    return F.array_join(F.transform(ws, lambda w: F.substring(_alphabet(), F.array_position(vocabulary, w).cast("int"), F.lit(1))), "")
+def _encoded(ws: Column, vocabulary: Column, wide: bool = False) -> Column:
+    def letter(w: Column) -> Column:
+        at = F.array_position(vocabulary, w).cast("int")
+        return F.decode(F.unhex(F.lpad(F.hex(at + WIDE), 8, "0")), "UTF-32") if wide else F.substring(_alphabet(), at, F.lit(1))
+
+    return F.array_join(F.transform(ws, letter), "")
 
 
 def distance(a: list, b: list) -> int:
@@ -38,20 +43,14 @@ def distance(a: list, b: list) -> int:
     return row[-1]
 
 
-@F.pandas_udf(T.IntegerType())
-def _many_words(r: pd.Series, h: pd.Series) -> pd.Series:
-    return pd.Series([distance(list(a), list(b)) for a, b in zip(r, h, strict=True)])
-
-
 def word_distance(reference: Column, hypothesis: Column) -> Column:
     """Edit distance of two arrays of words, by the built-in distance of strings with a character for each word."""
 
-    def small(v: Column) -> Column:
-        too_many = F.raise_error(F.lit(f"over {ALPHABET_SIZE} different words in a pair: use wer_any_vocabulary")).cast("int")
-        return F.when(F.size(v) > ALPHABET_SIZE, too_many).otherwise(F.levenshtein(_encoded(reference, v), _encoded(hypothesis, v)))
+    def of(v: Column) -> Column:
+        many = F.levenshtein(_encoded(reference, v, True), _encoded(hypothesis, v, True))
+        return F.when(F.size(v) > ALPHABET_SIZE, many).otherwise(F.levenshtein(_encoded(reference, v), _encoded(hypothesis, v)))
 
-    vocabulary = F.array_distinct(F.concat(reference, hypothesis))
-    return F.transform(F.array(vocabulary), small)[0]
+    return let(F.array_distinct(F.concat(reference, hypothesis)), of)
 
 
 def _rate(n_ref: Column, n_hyp: Column, dist: Column) -> Column:
@@ -64,15 +63,6 @@ def wer(reference: Column, hypothesis: Column) -> Column:
     return F.transform(F.array(pair), lambda p: _rate(F.size(p["r"]), F.size(p["h"]), word_distance(p["r"], p["h"])))[0]
 
 
-def wer_any_vocabulary(reference: Column, hypothesis: Column) -> Column:
-    """``wer`` for texts that may have more different words than the alphabet; those alone pass through Python."""
-    r, h = words(reference), words(hypothesis)
-    many = F.size(F.array_distinct(F.concat(r, h))) > ALPHABET_SIZE
-    none = F.array().cast("array<string>")
-    slow = _many_words(F.when(many, r).otherwise(none), F.when(many, h).otherwise(none))
-    return _rate(F.size(r), F.size(h), F.when(many, slow).otherwise(word_distance(r, h)))
-
-
 def cer(reference: Column, hypothesis: Column) -> Column:
     """Character error rate over code points, spaces included, 1 at most."""
     return _rate(F.char_length(reference), F.char_length(hypothesis), F.levenshtein(reference, hypothesis))
@@ -91,82 +81,38 @@ def code_cer(reference: Column, hypothesis: Column) -> Column:
     return F.when(F.coalesce(reference, F.lit("")) != "", cer(normalize_code(reference), normalize_code(hypothesis)))
 
 
-def best_alternative_wer(reference: Column, alternatives: Column, hypothesis: Column, lang: Column) -> Column:
-    """Least normalized WER over the reference and its alternatives; null without alternatives."""
-    h = normalize_by(hypothesis, lang)
-    all_ = F.concat(F.array(reference), alternatives)
-    best = F.transform(F.array(h), lambda x: F.array_min(F.transform(all_, lambda r: wer(normalize_by(r, lang), x))))[0]
-    return F.when(F.size(F.coalesce(alternatives, F.array().cast("array<string>"))) > 0, best)
-
-
-def best_alternatives(d: DataFrame, key: str, reference: str, alternatives: str, hypothesis: str, lang: str) -> DataFrame:
-    """(key, best_alternative_wer) of the rows with alternatives: a row for each of them, so that every text is normalized once."""
-    rows = d.where(F.size(F.coalesce(F.col(alternatives), F.array().cast("array<string>"))) > 0)
-    rows = rows.select(key, lang, normalize_by(F.col(hypothesis), F.col(lang)).alias("h"), F.concat(F.array(reference), F.col(alternatives)).alias("all"))
-    rows = rows.select(key, "h", lang, F.explode("all").alias("r")).select(key, "h", normalize_by(F.col("r"), F.col(lang)).alias("r"))
-    return rows.groupBy(key).agg(F.min(wer(F.col("r"), F.col("h"))).alias("best_alternative_wer"))
-
-
-WORD = r"(\p{L}[\p{L}\p{N}]*)(\p{P}*)"
-
-
-def word_marks(text: Column) -> Column:
-    """array<struct<word, marks, first>>: words from a letter on, in lower case, the punctuation after each, its first character."""
-    w = F.regexp_extract_all(text, F.lit(WORD), F.lit(1))
-    m = F.regexp_extract_all(text, F.lit(WORD), F.lit(2))
-    return F.zip_with(w, m, lambda a, b: F.struct(F.lower(a).alias("word"), b.alias("marks"), F.substring(a, 1, 1).alias("first")))
-
-
-_WORD = regex.compile(WORD)
-SCORES = T.StructType([T.StructField("punctuation_score", T.DoubleType()), T.StructField("capitalization_score", T.DoubleType()), T.StructField("formatting_score", T.DoubleType())])
-
-
-def align_scores(reference: str, hypothesis: str) -> tuple[float, float, float]:
-    """Punctuation, capitalization and formatting score. Cells of the edit table carry what their best path has aligned:
-    equal words, of these equal marks after a marked reference word, and equal first characters; a substitution goes
-    before a deletion and that before an insertion."""
-    r = [(m[1].lower(), m[2], m[1][0]) for m in _WORD.finditer(reference)]
-    h = [(m[1].lower(), m[2], m[1][0]) for m in _WORD.finditer(hypothesis)]
-    row = [(j, 0, 0, 0) for j in range(len(h) + 1)]
-    for i, (word, marks, first) in enumerate(r, 1):
-        new = [(i, 0, 0, 0)]
-        for j, (other, other_marks, other_first) in enumerate(h, 1):
-            corner, up, left = row[j - 1], row[j], new[j - 1]
-            if word == other:
-                via, n, p, c = corner[0], corner[1] + 1, corner[2] + (marks != "" and marks == other_marks), corner[3] + (first == other_first)
-            else:
-                via, n, p, c = corner[0] + 1, *corner[1:]
-            if via > up[0] + 1:
-                via, n, p, c = up[0] + 1, *up[1:]
-            if via > left[0] + 1:
-                via, n, p, c = left[0] + 1, *left[1:]
-            new.append((via, n, p, c))
-        row = new
-    _, aligned, same_marks, same_first = row[-1]
-    marked = sum(m != "" for _, m, _ in r)
-    punctuation = same_marks / marked if marked else 1.0
-    capitals = 1.0 if not r else same_first / aligned if aligned else 0.0
-    return punctuation, capitals, 0.5 * punctuation + 0.5 * capitals
-
-
-@F.pandas_udf(SCORES)
-def alignment(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
-    """All three scores; null where a text is null."""
-    out = [align_scores(r, h) if r is not None and h is not None else (None, None, None) for r, h in zip(reference, hypothesis, strict=True)]
-    return pd.DataFrame(out, columns=SCORES.names).astype("float64")
-
-
-def score_columns(reference: Column, hypothesis: Column, lang: Column, code: Column | None = None, alternatives: Column | None = None, formatted: Column | None = None) -> list[Column]:
-    """The columns of one scored transcript. Optional metrics are null without their reference."""
-    norm_r, norm_h = normalize_by(reference, lang), normalize_by(hypothesis, lang)
-    none = F.lit(None).cast("double")
-    out = [wer_raw(reference, hypothesis).alias("wer_raw"), wer(norm_r, norm_h).alias("wer_normalized"), cer(norm_r, norm_h).alias("cer")]
-    out += [code_wer(code, hypothesis).alias("code_wer_normalized"), code_cer(code, hypothesis).alias("code_cer")] if code is not None else [none.alias("code_wer_normalized"), none.alias("code_cer")]
-    out.append((best_alternative_wer(reference, alternatives, hypothesis, lang) if alternatives is not None else none).alias("best_alternative_wer"))
-    if formatted is None:
-        return [*out, none.alias("punctuation_score"), none.alias("formatting_score")]
-    scores = alignment(F.when(formatted != "", formatted), hypothesis)
-    return [*out, scores.getField("punctuation_score").alias("punctuation_score"), scores.getField("formatting_score").alias("formatting_score")]
+def best_alternative(reference: Column, alternatives: Column, hypothesis: Column) -> Column:
+    """Least WER over a reference and its alternatives, all normalized; null without alternatives."""
+    rates = F.transform(F.concat(F.array(reference), alternatives), lambda r: wer(r, hypothesis))
+    return F.when(F.size(F.coalesce(alternatives, F.array().cast("array<string>"))) > 0, F.array_min(rates))
+
+
+def score_transcripts(d: DataFrame, reference: str, hypothesis: str, lang: str, code: str | None = None, alternatives: str | None = None, formatted: str | None = None) -> DataFrame:
+    """``d`` with the eight metrics of its transcripts. Optional metrics are null without their reference.
+
+    Both sides are normalized once, as columns of a stage of their own: Catalyst keeps what several metrics read apart.
+    """
+    none, kept = F.lit(None).cast("double"), d.columns
+    ref, hyp = F.col(reference), F.col(hypothesis)
+    sides = {"__ref": normalize_by(ref, F.col(lang)), "__hyp": normalize_by(hyp, F.col(lang))}
+    if alternatives:
+        sides["__all"] = F.transform(alternatives, lambda x: normalize_by(x, F.col(lang)))
+    if code:
+        sides |= {"__code": normalize_code(F.col(code)), "__said": normalize_code(hyp)}
+    d = d.withColumns(sides)
+    has_code = F.coalesce(F.col(code), F.lit("")) != "" if code else None
+    metrics = {
+        "wer_raw": wer_raw(ref, hyp), "wer_normalized": wer(F.col("__ref"), F.col("__hyp")), "cer": cer(F.col("__ref"), F.col("__hyp")),
+        "code_wer_normalized": F.when(has_code, wer(F.col("__code"), F.col("__said"))) if code else none,
+        "code_cer": F.when(has_code, cer(F.col("__code"), F.col("__said"))) if code else none,
+        "best_alternative_wer": best_alternative(F.col("__ref"), F.col("__all"), F.col("__hyp")) if alternatives else none,
+    }
+    out = d.select(*kept, *[c.alias(n) for n, c in metrics.items()])
+    if not formatted:
+        return out.withColumns({"punctuation_score": none, "formatting_score": none})
+    own = F.col(formatted)
+    scored = out.withColumn("__s", alignment(F.when(own != "", own), hyp))
+    return scored.withColumns({"punctuation_score": F.col("__s.punctuation_score"), "formatting_score": F.col("__s.formatting_score")}).drop("__s")
 
 
 def parse_int(text: Column) -> Column:

@@ -18,16 +18,24 @@ WS = r"\t-\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x
 BEFORE, AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 CONTRACTION = f"{BEFORE}[a-z]+['’][a-z]+{AFTER}"
 DIGITS = f"{BEFORE}[0-9]+{AFTER}"
-PUNCTUATION = rf"[^\p{{L}}\p{{N}}{WS}]"
+#: What stands between words once punctuation has become white space.
+BETWEEN = r"[^\p{L}\p{N}]+"
 LARGEST = 999_999
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def rewrite(text: Column, pattern: str, to: Callable[[Column], Column]) -> Column:
     """Every match of ``pattern`` replaced by ``to`` of it, in one pass."""
-    between = F.split(text, pattern, -1)
-    matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), to)
-    pieces = F.zip_with(between, matches, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.array_join(pieces, "")
+
+    def once(t: Column) -> Column:
+        matches = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), to)
+        return F.array_join(F.zip_with(F.split(t, pattern, -1), matches, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return let(text, once)
 
 
 def _list(values) -> Column:
@@ -54,11 +62,6 @@ def number_words_de(n: Column) -> Column:
     return F.when(n.between(0, LARGEST), out)
 
 
-def _spell(lang: str) -> Callable[[Column], Column]:
-    words = number_words_de if lang == "de" else number_words_en
-    return lambda m: F.coalesce(words(m.try_cast("bigint")), m)
-
-
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"[{WS}]+", " "))
 
@@ -67,20 +70,36 @@ def without_fillers(text: Column, fillers: tuple[str, ...], key: Callable[[Colum
     return F.array_join(F.filter(F.split(text, f"[{WS}]+"), lambda x: ~key(x).isin(*fillers)), " ")
 
 
-def normalize_text(text: Column, lang: str = "en") -> Column:
-    """``lang``: "en", "de", or another one, which takes English rules but expands no contractions. Null stays null."""
-    t = F.lower(text)
-    if lang == "en":
-        known = F.create_map(*[F.lit(x) for kv in CONTRACTIONS.items() for x in kv])
-        t = rewrite(t, CONTRACTION, lambda m: F.coalesce(F.try_element_at(known, F.replace(m, F.lit("’"), F.lit("'"))), m))
-    t = F.regexp_replace(t, PUNCTUATION, " ")
-    t = rewrite(t, DIGITS, _spell(lang))
-    return squeeze(without_fillers(t, DE_FILLERS if lang == "de" else EN_FILLERS))
+def _is(lang: Column | str, name: str) -> Column:
+    return F.lit(lang == name) if isinstance(lang, str) else F.coalesce(lang == name, F.lit(False))
+
+
+def normalize_text(text: Column, lang: Column | str = "en") -> Column:
+    """``lang``, a value or a column: "en", "de", or another one, which takes English rules but expands no contractions.
+    Null text stays null. Each text is split into words once; only texts with an apostrophe or a digit take further steps."""
+    de, en = _is(lang, "de"), _is(lang, "en")
+    known = F.create_map(*[F.lit(x) for kv in CONTRACTIONS.items() for x in kv])
+
+    def expand(t: Column) -> Column:
+        return rewrite(t, CONTRACTION, lambda m: F.coalesce(F.try_element_at(known, F.replace(m, F.lit("’"), F.lit("'"))), m))
+
+    def spell(m: Column) -> Column:
+        n = m.try_cast("bigint")
+        return F.coalesce(F.when(de, number_words_de(n)).otherwise(number_words_en(n)), m)
+
+    def spoken(t: Column) -> Column:
+        parts = F.split(t, BETWEEN)
+        spelled = F.transform(parts, lambda x: F.when(x.rlike("[0-9]"), rewrite(x, DIGITS, spell)).otherwise(x))
+        every = F.when(t.rlike("[0-9]"), spelled).otherwise(parts)
+        return F.array_join(F.filter(every, lambda x: (x != "") & ~F.when(de, x.isin(*DE_FILLERS)).otherwise(x.isin(*EN_FILLERS))), " ")
+
+    lower = F.lower(text)
+    return let(let(lower, lambda t: F.when(en & t.rlike("['’]"), expand(t)).otherwise(t)), spoken)
 
 
 def normalize_by(text: Column, lang: Column) -> Column:
     """``normalize_text`` by a language column."""
-    return F.when(lang == "de", normalize_text(text, "de")).when(lang == "en", normalize_text(text, "en")).otherwise(normalize_text(text, "auto"))
+    return normalize_text(text, lang)
 
 
 def normalize_code(text: Column) -> Column:

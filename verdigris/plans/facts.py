@@ -90,9 +90,15 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
 UTTERANCE = 30
 
 
+def spread(d: DataFrame) -> DataFrame:
+    """Rows of a table of a few files dealt out, so that all cores have some; a table of many parts stays as it is."""
+    cores = d.sparkSession.sparkContext.defaultParallelism
+    return d if d.rdd.getNumPartitions() >= 4 * cores else d.repartition(4 * cores)
+
+
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References and hypotheses from documents: every text as utterances of 30 words, and the same with every seventh word missed."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select("doc_id", "lang", "text"))
     words = F.filter(F.split(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " "), " "), lambda x: x != "")
     d = d.select("doc_id", "lang", words.alias("w")).where(F.size("w") > 0)
     parts = F.transform(F.sequence(F.lit(1), F.size("w"), F.lit(UTTERANCE)), lambda i: F.slice("w", i, UTTERANCE))

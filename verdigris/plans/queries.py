@@ -637,15 +637,20 @@ def alternatives_sql() -> str:
     return f"SELECT utt // 8 AS utt, min(rate) AS best_alternative_wer FROM ({rates}) GROUP BY 1"
 
 
-@query(alternatives_sql())
-def best_alternative(spark, sf_dir):
+def _with_alternatives(spark, sf_dir) -> DataFrame:
     u = utterances(spark, sf_dir)
     more = F.array_join(F.transform("rw", lambda x, i: F.when(i % 5 == 4, F.concat(x, F.lit(" uh also"))).otherwise(x)), " ")
     half = F.array_join(F.slice("rw", F.lit(1), F.floor(F.size("rw") / 2).cast("int")), " ")
     heard = F.when(F.col("utt") % 6 == 0, F.array("hyp")).otherwise(F.array().cast("array<string>"))
-    u = u.withColumn("alternatives", F.concat(F.array(more, half, F.lit("quite another text")), heard))
-    b = metrics.best_alternatives(u, "utt", "ref", "alternatives", "hyp", "lang")
-    return b.select("utt", F.round("best_alternative_wer", 6).alias("best_alternative_wer"))
+    return u.withColumn("alternatives", F.concat(F.array(more, half, F.lit("quite another text")), heard))
+
+
+@query(alternatives_sql())
+def best_alternative(spark, sf_dir):
+    u = _with_alternatives(spark, sf_dir)
+    sides = {"r": text.normalize_by(F.col("ref"), F.col("lang")), "h": text.normalize_by(F.col("hyp"), F.col("lang")), "a": F.transform("alternatives", lambda x: text.normalize_by(x, F.col("lang")))}
+    d = u.select("utt", *[c.alias(n) for n, c in sides.items()])
+    return d.select("utt", F.round(metrics.best_alternative(F.col("r"), F.col("a"), F.col("h")), 6).alias("best_alternative_wer"))
 
 
 WORD_SQL = r"(\p{L}[\p{L}\p{N}]*)(\p{P}*)"
@@ -711,7 +716,25 @@ FROM ({SCORED['wer']}) JOIN ({SCORED['cer']}) USING (utt) JOIN ({ALIGN_SQL.repla
 def score_and_rank(spark, sf_dir):
     """Transcripts scored with all metrics, then ranked."""
     u = utterances(spark, sf_dir)
-    columns = metrics.score_columns(F.col("ref"), F.col("hyp"), F.col("lang"), formatted=F.col("ref"))
+    scored = metrics.score_transcripts(u.select("utt", "lang", "ref", "hyp"), "ref", "hyp", "lang", formatted="ref")
     keys = [F.concat(F.lit("prov"), F.col("utt") % 3).alias("provider_id"), F.concat(F.lit("model"), F.col("utt") % 4).alias("model")]
-    r = u.select(*keys, F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"), *columns, F.lit(1.0).alias("duration_ms"), F.lit(1.0).alias("audio_duration_ms"), F.lit(0.0).alias("realtime_factor"), F.lit(0.0).alias("cost_usd"))
+    r = scored.select(*keys, F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"), "wer_normalized", "cer", "punctuation_score", "formatting_score", F.lit(1.0).alias("duration_ms"), F.lit(1.0).alias("audio_duration_ms"), F.lit(0.0).alias("realtime_factor"), F.lit(0.0).alias("cost_usd"))
     return rounded(rankings.rank_models(r).select("provider_id", "model", "avg_wer", "avg_cer", "avg_punctuation", "avg_formatting", "total_tests"))
+
+
+#: DuckDB's distance counts bytes: what the texts hold beyond ASCII becomes control characters, which they don't hold.
+CODE_BEYOND = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+CONTROLS = "concat(" + ", ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 14 + len(CODE_BEYOND) - 8)]) + ")"
+CODE_CER_SQL = f"""SELECT utt, CASE WHEN a = '' AND b = '' THEN 0.0 WHEN a = '' OR b = '' THEN 1.0 ELSE least(levenshtein(translate(a, '{CODE_BEYOND}', {CONTROLS}), translate(b, '{CODE_BEYOND}', {CONTROLS}))::DOUBLE / length(a), 1) END AS code_cer
+ FROM (SELECT utt, {code_sql('ref')} AS a, {code_sql('hyp')} AS b FROM ({PAIRS}))"""
+
+
+@query(f"""SELECT utt, wer_raw, wer_normalized, round(cer, 6) AS cer, code_wer AS code_wer_normalized, round(code_cer, 6) AS code_cer, best_alternative_wer, round(punctuation, 6) AS punctuation_score, round(0.5 * punctuation + 0.5 * capitals, 6) AS formatting_score
+FROM ({ORACLE_SQL['wer_raw']}) JOIN ({ORACLE_SQL['wer_normalized']}) USING (utt) JOIN ({CER_SQL}) USING (utt) JOIN ({ORACLE_SQL['code_wer']}) USING (utt) JOIN ({CODE_CER_SQL}) USING (utt)
+JOIN ({ORACLE_SQL['best_alternative']}) USING (utt) JOIN ({ALIGN_SQL.replace(FORMATTED, PAIRS)} SELECT utt, punctuation, capitals FROM s) USING (utt)""")
+def transcript_scores(spark, sf_dir):
+    """All eight metrics of every utterance."""
+    u = _with_alternatives(spark, sf_dir).select("utt", "lang", "ref", "hyp", "alternatives")
+    s = metrics.score_transcripts(u, "ref", "hyp", "lang", code="ref", alternatives="alternatives", formatted="ref")
+    names = ("wer_raw", "wer_normalized", "cer", "code_wer_normalized", "code_cer", "best_alternative_wer", "punctuation_score", "formatting_score")
+    return s.select("utt", *[F.round(c, 6).alias(c) for c in names])
