@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import metrics, text, words
+from ..functions import metrics, sql, text, words
 from ..operators import curate, dims, merge, predicates, rankings, views, worklist
 from .facts import CACHED_SQL, EXISTING_SQL, FACTS_SQL, MODELS_SQL, PROVIDERS_SQL, TESTS_SQL, UTTERANCES_SQL, cached, existing_suites, facts, models, providers, tests, utterances
 
@@ -738,3 +738,32 @@ def transcript_scores(spark, sf_dir):
     s = metrics.score_transcripts(u, "ref", "hyp", "lang", code="ref", alternatives="alternatives", formatted="ref")
     names = ("wer_raw", "wer_normalized", "cer", "code_wer_normalized", "code_cer", "best_alternative_wer", "punctuation_score", "formatting_score")
     return s.select("utt", *[F.round(c, 6).alias(c) for c in names])
+
+
+# --- SQL alone ----------------------------------------------------------------------------------------------------
+
+#: Run as it is by Spark, whose session has the functions; every table is a view.
+SCORED_IN_SQL = """
+SELECT coalesce(lang, 'none') AS lang, utt % 4 AS model, count(*) AS n, count_if(wer_normalized(ref, hyp, lang) = 0) AS perfect,
+ CAST(sum(CAST(wer_normalized(ref, hyp, lang) AS DECIMAL(38, 9))) AS DOUBLE) AS wer, CAST(sum(CAST(cer_normalized(ref, hyp, lang) AS DECIMAL(38, 9))) AS DOUBLE) AS cer, max(number_words_de(CAST(utt % 1000 AS BIGINT))) AS last_number
+FROM utterances GROUP BY lang, utt % 4"""
+
+
+@query(f"""WITH w AS ({SCORED['wer']}), c AS ({CER_SQL}), n AS (SELECT utt, lang, {number_sql('de', '(utt % 1000)')} AS number FROM ({PAIRS}))
+SELECT coalesce(lang, 'none') AS lang, utt % 4 AS model, count(*) AS n, count(*) FILTER (WHERE wer = 0) AS perfect, {six("CAST(sum(CAST(wer AS DECIMAL(38, 9))) AS DOUBLE)")} AS wer, {six("CAST(sum(CAST(cer AS DECIMAL(38, 9))) AS DOUBLE)")} AS cer, max(number) AS last_number
+FROM w JOIN c USING (utt) JOIN n USING (utt) GROUP BY lang, utt % 4""")
+def sql_functions(spark, sf_dir):
+    """Scores by language and model, said in SQL: the session's own functions, no Python."""
+    s = spark.newSession()
+    sql.register(s)
+    utterances(s, sf_dir).select("utt", "lang", "ref", "hyp").createOrReplaceTempView("utterances")
+    return rounded(s.sql(SCORED_IN_SQL))
+
+
+@query(f"""WITH s AS ({ranking_sql('facts', 'suite_id')}), d AS (SELECT * FROM ({DIM_BASE} SELECT * FROM dim))
+SELECT tier, language, s.provider_id, s.model, count(*) AS suites, min(rank) AS best_rank, sum(total_tests)::BIGINT AS total_tests FROM s JOIN d USING (suite_id) GROUP BY tier, language, s.provider_id, s.model""")
+def sql_table_functions(spark, sf_dir):
+    """Rankings read like a table, joined with the suites' table, in SQL."""
+    s = spark.newSession()
+    sql.register_tables(s, facts(s, sf_dir), _dim(s, sf_dir), providers(s, sf_dir))
+    return s.sql("SELECT tier, language, provider_id, model, count(*) AS suites, min(rank) AS best_rank, sum(total_tests) AS total_tests FROM rankings_by_suite() JOIN suite_dimension() USING (suite_id) GROUP BY ALL")
