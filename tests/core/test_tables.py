@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdigris.operators import curate, dims, merge, predicates, rankings, views, worklist
-from verdigris.sources import readers, sinks
+from verdigris.sources import readers, sinks, snapshots
 from verdigris.streaming.upsert import result_stream, start_upsert
 
 SCHEMA = "test_id string, suite_id string, provider_id string, model string, run int, status string, error string, wer_normalized double, cer double, punctuation_score double, formatting_score double, duration_ms double, realtime_factor double, audio_duration_ms double, cost_usd double"
@@ -125,12 +125,11 @@ def test_upsert(spark, tmp_path):
     got = sorted((r.model, r.suite_id, r.test_id) for r in merge.upsert_by_suite(old, new).collect())
     want = [("baseline", "a", "new1"), ("baseline", "a", "new2"), ("baseline", "b", "de-fast-01"), ("other", "a", "de-fast-01")]
     assert got == want
-    spark.sparkContext.setCheckpointDir(str(tmp_path / "ck"))
     src, table = str(tmp_path / "src"), str(tmp_path / "table")
     for batch in (old, new, new):
         batch.coalesce(1).write.mode("append").parquet(src)
         start_upsert(result_stream(spark, src, old.schema, 1), table, str(tmp_path / "stream")).awaitTermination()
-    assert sorted((r.model, r.suite_id, r.test_id) for r in spark.read.parquet(table).collect()) == want
+    assert sorted((r.model, r.suite_id, r.test_id) for r in snapshots.read_table(spark, table).collect()) == want
     sinks.write_cache(spark.createDataFrame([row(), row(status="error")], SCHEMA), str(tmp_path / "cache"))
     assert readers.read_cache(spark, str(tmp_path / "cache"), SCHEMA).count() == 1
     assert readers.read_cache(spark, str(tmp_path / "none"), SCHEMA).count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS
+from .ordinals import with_ordinal
 
 
 def readable(d: DataFrame) -> DataFrame:
@@ -99,8 +100,8 @@ def dedupe_by_id(d: DataFrame, id_col: str, order: str) -> DataFrame:
 
 def numbered(d: DataFrame, prefix: str, order: list[Column]) -> DataFrame:
     """Test ids with a zero-padded index in the selection, set before anything else is filtered."""
-    n = F.row_number().over(Window.orderBy(*order))
-    return d.withColumn("test_id", F.format_string(f"{prefix}-%02d", n))
+    n = with_ordinal(d, order, "__n")
+    return n.withColumn("test_id", F.format_string(f"{prefix}-%02d", F.col("__n"))).drop("__n")
 
 
 def candidates(d: DataFrame, split_order: tuple[str, ...], target: int = 80) -> DataFrame:

@@ -64,7 +64,7 @@ def infer_name(suite_id: Column, language: Column, category: Column) -> Column:
 
 def suites_of_tests(tests: DataFrame) -> DataFrame:
     """The dimension from exploded suite files: suite_id, name, description, language, category, benchmark_tier, source."""
-    whole = [F.first(c, ignorenulls=True).alias(c) for c in ("name", "description", "language", "category", "benchmark_tier")]
+    whole = [F.min(c).alias(c) for c in ("name", "description", "language", "category", "benchmark_tier")]
     n = F.count("test_id")
     public = F.coalesce(F.bool_and(F.col("source").isin(*PUBLIC_SOURCES)), F.lit(False)) & (n > 0)
     g = tests.groupBy("suite_id").agg(*whole, F.when(public, "public").otherwise("synthetic").alias("origin"), n.alias("test_count"))
@@ -72,8 +72,8 @@ def suites_of_tests(tests: DataFrame) -> DataFrame:
 
 
 def suites_of_results(results: DataFrame, order: str | None = None) -> DataFrame:
-    """The dimension inferred from result rows. First-row attributes go by ``order`` where given."""
-    first = (lambda c: F.min_by(F.col(c), F.col(order))) if order else (lambda c: F.first(c, ignorenulls=True))
+    """The dimension inferred from result rows. Where a suite's rows differ in an attribute, the first by ``order`` counts, or the least without one."""
+    first = (lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order)))) if order else F.min
     known = [first(c).alias(c) if c in results.columns else F.lit(None).cast("string").alias(c) for c in ("suite_category", "suite_language")]
     if "test_source" in results.columns:
         origin = [F.count("test_source").alias("n_source"), F.coalesce(F.bool_and(F.col("test_source").isin(*PUBLIC_SOURCES)), F.lit(False)).alias("public")]

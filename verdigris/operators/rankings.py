@@ -15,35 +15,39 @@ MS_PER_HOUR = 3_600_000
 EXACT = "decimal(38,9)"
 
 
-def _when_valid(c: str) -> Column:
-    return F.when(is_valid(), F.col(c))
+#: Averages of valid rows, by metric: its name in a ranking, and what it is without a valid row.
+MEANS = {"wer_normalized": ("avg_wer", 1.0), "cer": ("avg_cer", 1.0), "realtime_factor": ("avg_rtf", 0.0), "duration_ms": ("avg_duration_ms", 0.0)}
+OPTIONAL = {"semantic_score": "avg_semantic", "punctuation_score": "avg_punctuation", "formatting_score": "avg_formatting"}
 
 
-def _sum(c: Column) -> Column:
-    return F.sum(c.cast(EXACT)).cast("double")
+def partial_sums(df: DataFrame) -> list[Column]:
+    """Counts and exact sums of a group of rows. They add up over groups, and ``finished`` makes a ranking's columns of them."""
 
+    def valid(c: str) -> Column:
+        return F.when(is_valid(), F.col(c))
 
-def _avg(c: str) -> Column:
-    return _sum(_when_valid(c)) / F.count(_when_valid(c))
+    out = [F.count("*").alias("n"), F.count_if(is_skipped()).alias("n_skipped"), F.count_if(is_error()).alias("n_error"), F.count_if(is_valid()).alias("n_valid")]
+    for c in (*MEANS, *OPTIONAL):
+        have = c in df.columns
+        out += [F.sum(valid(c).cast(EXACT) if have else F.lit(None).cast(EXACT)).alias(f"sum_{c}"), (F.count(valid(c)) if have else F.lit(0).cast("long")).alias(f"n_{c}")]
+    return [*out, F.sum(valid("audio_duration_ms").cast(EXACT)).alias("sum_audio"), F.sum(F.coalesce(valid("cost_usd"), F.lit(0.0)).cast(EXACT)).alias("sum_cost")]
 
 
-def _aggregates(df: DataFrame) -> list[Column]:
-    def optional(c: str) -> Column:
-        return _avg(c) if c in df.columns else F.lit(None).cast("double")
+def finished() -> list[Column]:
+    """A ranking's columns from partial sums."""
 
-    n, skips, errors, valid = F.count("*"), F.count_if(is_skipped()), F.count_if(is_error()), F.count_if(is_valid())
-    audio = _sum(_when_valid("audio_duration_ms"))
-    cost = _sum(F.coalesce(_when_valid("cost_usd"), F.lit(0.0))) / audio * MS_PER_HOUR
+    def mean(c: str) -> Column:
+        return F.col(f"sum_{c}").cast("double") / F.nullif(F.col(f"n_{c}"), F.lit(0))
 
-    def mean(c: str, empty: float) -> Column:
-        return F.when(valid == 0, F.lit(empty)).otherwise(F.coalesce(_avg(c), F.lit(0.0)))
+    def required(c: str) -> Column:
+        name, empty = MEANS[c]
+        return F.when(F.col("n_valid") == 0, F.lit(empty)).otherwise(F.coalesce(mean(c), F.lit(0.0))).alias(name)
 
+    audio, tried = F.col("sum_audio").cast("double"), F.col("n") - F.col("n_skipped")
     return [
-        mean("wer_normalized", 1.0).alias("avg_wer"), mean("cer", 1.0).alias("avg_cer"), optional("semantic_score").alias("avg_semantic"),
-        optional("punctuation_score").alias("avg_punctuation"), optional("formatting_score").alias("avg_formatting"),
-        mean("realtime_factor", 0.0).alias("avg_rtf"), mean("duration_ms", 0.0).alias("avg_duration_ms"),
-        F.when(audio != 0, cost).alias("cost_per_hour"), n.alias("total_tests"), errors.alias("error_count"),
-        F.when(n > skips, errors.cast("double") / (n - skips)).otherwise(0.0).alias("error_rate"), skips.alias("skip_count"),
+        required("wer_normalized"), required("cer"), *[mean(c).alias(name) for c, name in OPTIONAL.items()], required("realtime_factor"), required("duration_ms"),
+        F.when(audio != 0, F.col("sum_cost").cast("double") / audio * MS_PER_HOUR).alias("cost_per_hour"), F.col("n").alias("total_tests"), F.col("n_error").alias("error_count"),
+        F.when(tried > 0, F.col("n_error").cast("double") / tried).otherwise(0.0).alias("error_rate"), F.col("n_skipped").alias("skip_count"),
     ]
 
 
@@ -64,7 +68,7 @@ def rank_models(results: DataFrame, *scope: str, providers: DataFrame | None = N
     """One row per ``scope`` and model. Scope values that are null or empty form no group."""
     for s in scope:
         results = results.where(F.coalesce(F.col(s).cast("string"), F.lit("")) != "")
-    return with_rank(with_provider_type(results.groupBy(*scope, *MODEL).agg(*_aggregates(results)), providers), *scope)
+    return with_rank(with_provider_type(results.groupBy(*scope, *MODEL).agg(*partial_sums(results)).select(*scope, *MODEL, *finished()), providers), *scope)
 
 
 def rank_by_category(results: DataFrame, suites: DataFrame, providers: DataFrame | None = None) -> DataFrame:
@@ -81,7 +85,8 @@ def rank_grains(results: DataFrame, suites: DataFrame) -> DataFrame:
     """Global, by category and by suite in one pass over grouping sets; ``grain`` tells them apart."""
     r = results.join(suites.select("suite_id", F.col("category")), "suite_id", "left")
     sets = [[F.col(c) for c in MODEL], [F.col("category"), *map(F.col, MODEL)], [F.col("suite_id"), *map(F.col, MODEL)]]
-    grouped = r.groupingSets(sets, F.col("category"), F.col("suite_id"), *map(F.col, MODEL)).agg(F.grouping_id().alias("gid"), *_aggregates(r))
+    grouped = r.groupingSets(sets, F.col("category"), F.col("suite_id"), *map(F.col, MODEL)).agg(F.grouping_id().alias("gid"), *partial_sums(r))
+    grouped = grouped.select("category", "suite_id", *MODEL, "gid", *finished())
     # bits of category and suite_id, high to low; both set: the global grain
     named = F.when((F.col("gid").bitwiseAND(12)) == 12, "global").when(F.col("gid").bitwiseAND(8) == 0, "category").otherwise("suite")
     return grouped.withColumn("grain", named).drop("gid").where((F.col("grain") != "category") | F.col("category").isNotNull())

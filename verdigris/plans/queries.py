@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics, sql, text, words
-from ..operators import curate, dims, merge, predicates, rankings, views, worklist
+from ..operators import curate, dims, merge, predicates, rankings, state, views, worklist
+from ..sources import folders, readers, sinks, snapshots
 from .facts import CACHED_SQL, EXISTING_SQL, FACTS_SQL, MODELS_SQL, PROVIDERS_SQL, TESTS_SQL, UTTERANCES_SQL, cached, existing_suites, facts, models, providers, tests, utterances
 
 QUERIES: dict = {}
@@ -435,15 +436,15 @@ w(step, idx, ks, ns, us, bucket, nth) AS (
 SELECT id, bucket, step::BIGINT AS pick FROM w JOIN src USING (bucket, nth)"""
 
 
-@query(cursor_sql("SELECT c_custkey AS id, c_nationkey AS bucket, c_acctbal FROM customer WHERE c_acctbal > 8500", "c_acctbal DESC, id", "bucket", 150, False))
+@query(cursor_sql("SELECT c_custkey AS id, c_nationkey AS bucket, c_acctbal FROM customer", "c_acctbal DESC, id", "bucket", 150, False))
 def sample_round_robin_exact(spark, sf_dir):
-    d = table(spark, sf_dir, "customer").where("c_acctbal > 8500").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("bucket"), "c_acctbal")
+    d = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("bucket"), "c_acctbal")
     return curate.sample_round_robin_exact(d, F.col("bucket"), [F.desc("c_acctbal"), F.asc("id")], 150).select("id", "bucket", "pick")
 
 
-@query(cursor_sql("SELECT c_custkey AS id, c_nationkey AS bucket, c_acctbal FROM customer WHERE c_acctbal > 8500", "c_acctbal DESC, id", "seen", 150, True))
+@query(cursor_sql("SELECT c_custkey AS id, c_nationkey AS bucket, c_acctbal FROM customer", "c_acctbal DESC, id", "seen", 150, True))
 def sample_round_robin_first_seen(spark, sf_dir):
-    d = table(spark, sf_dir, "customer").where("c_acctbal > 8500").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("bucket"), "c_acctbal")
+    d = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("bucket"), "c_acctbal")
     return curate.sample_round_robin_exact(d, F.col("bucket"), [F.desc("c_acctbal"), F.asc("id")], 150, first_seen=True, step_first=True).select("id", "bucket", "pick")
 
 
@@ -477,10 +478,9 @@ def cacheable_rows(spark, sf_dir):
     return f.where(~F.col("status").eqNullSafe("error")).groupBy("status").agg(F.count("*").alias("rows_cached"))
 
 
-@query("SELECT o_orderpriority AS prompt, substring(concat(o_orderpriority, ' ', CAST(o_orderkey AS STRING)), 1, 6) AS short, concat('cv-de-', CASE WHEN pick < 10 THEN '0' ELSE '' END, CAST(pick AS STRING)) AS test_id FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS pick FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 120))")
+@query("SELECT o_orderpriority AS prompt, substring(concat(o_orderpriority, ' ', CAST(o_orderkey AS STRING)), 1, 6) AS short, concat('cv-de-', CASE WHEN pick < 10 THEN '0' ELSE '' END, CAST(pick AS STRING)) AS test_id FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS pick FROM orders)")
 def numbered_tests(spark, sf_dir):
-    o = curate.top_by_id(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", 120)
-    n = curate.numbered(o, "cv-de", [F.asc("o_orderkey")])
+    n = curate.numbered(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), "cv-de", [F.desc("o_totalprice"), F.asc("o_orderkey")])
     return n.select(F.col("o_orderpriority").alias("prompt"), views.short_prompt(F.concat_ws(" ", "o_orderpriority", "o_orderkey"), 6).alias("short"), "test_id")
 
 
@@ -767,3 +767,42 @@ def sql_table_functions(spark, sf_dir):
     s = spark.newSession()
     sql.register_tables(s, facts(s, sf_dir), _dim(s, sf_dir), providers(s, sf_dir))
     return s.sql("SELECT tier, language, provider_id, model, count(*) AS suites, min(rank) AS best_rank, sum(total_tests) AS total_tests FROM rankings_by_suite() JOIN suite_dimension() USING (suite_id) GROUP BY ALL")
+
+
+# --- tables that are written and read -----------------------------------------------------------------------------
+
+
+def _states(spark, sf_dir) -> DataFrame:
+    """Two batches' states, each summed by itself and appended to one table."""
+    f, path = facts(spark, sf_dir), folders.fresh(spark, "ranking-state")
+    for k in (0, 1):
+        state.ranking_state(f.where(F.col("l_orderkey") % 2 == k)).write.mode("append").parquet(path)
+    return state.merge_states(spark.read.parquet(path))
+
+
+@query(ranking_sql("facts"))
+def state_rank_global(spark, sf_dir):
+    return rounded(state.rank_state(_states(spark, sf_dir), providers=providers(spark, sf_dir)))
+
+
+@query(ranking_sql(WITH_CATEGORY, "category"))
+def state_rank_by_category(spark, sf_dir):
+    return rounded(state.rank_state(_states(spark, sf_dir), "category", suites=_dim(spark, sf_dir), providers=providers(spark, sf_dir)))
+
+
+@query(ranking_sql(f"({SLICE_ROWS})", "slice"))
+def state_rank_by_slice(spark, sf_dir):
+    return rounded(state.rank_state(_states(spark, sf_dir), "slice", providers=providers(spark, sf_dir)))
+
+
+@query(f"""WITH f AS (SELECT *, l_orderkey % 3 AS batch FROM ({FACTS_SQL})), n AS (SELECT * FROM f WHERE batch = 2),
+m AS (SELECT * FROM n UNION ALL SELECT f.* FROM f ANTI JOIN n USING (suite_id, provider_id, model) WHERE f.batch < 2 AND f.l_linenumber < 4)
+SELECT provider_id, model, suite_id, count(*) AS n, sum(l_orderkey)::BIGINT AS orders, count(*) FILTER (WHERE status = 'ok') AS ok FROM m GROUP BY ALL""")
+def snapshot_upsert(spark, sf_dir):
+    """Three upserts into a table of snapshots; the last replaces the suites that its rows have."""
+    f = facts(spark, sf_dir).withColumn("batch", F.col("l_orderkey") % 3)
+    t = snapshots.SnapshotTable(spark, folders.fresh(spark, "results"))
+    t.upsert(f.where("batch < 2 AND l_linenumber < 4"))
+    t.upsert(f.where("batch = 2"))
+    t.upsert(f.where("batch = 2"))
+    return t.read().groupBy("provider_id", "model", "suite_id").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("orders"), F.count_if(F.col("status") == "ok").alias("ok"))

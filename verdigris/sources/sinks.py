@@ -7,8 +7,8 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.merge import upsert_by_suite
 from ..operators.rankings import rank_by_category, rank_by_slice, rank_models, rankings_map, slice_rows
+from .snapshots import SnapshotTable, read_table
 
 
 def summary_document(results: DataFrame, suites: DataFrame, providers: DataFrame | None, version: str) -> DataFrame:
@@ -42,19 +42,9 @@ def write_summary(document: DataFrame, out: str, version: str, now: datetime | N
     return path
 
 
-def upsert_results(new: DataFrame, path: str) -> None:
-    """Into a table partitioned by provider and model; only partitions with new rows are written again."""
-    spark = new.sparkSession
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        new.write.partitionBy("provider_id", "model").parquet(path)
-        return
-    touched = old.join(new.select("provider_id", "model").distinct(), ["provider_id", "model"], "left_semi")
-    merged = upsert_by_suite(touched, new).select(*old.columns)
-    merged.checkpoint().write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("provider_id", "model").parquet(path)
+def upsert_results(new: DataFrame, path: str) -> int:
+    """Into a table of snapshots, which holds either all of ``new`` or nothing of it; the version that has it."""
+    return SnapshotTable(new.sparkSession, path).upsert(new)
 
 
 def write_cache(results: DataFrame, path: str) -> None:
@@ -72,4 +62,4 @@ def write_ndjson(d: DataFrame, path: str) -> None:
 
 def write_combined(spark, table: str, suites: DataFrame, out: str, providers: DataFrame | None = None) -> str:
     """The summary of all models' results together."""
-    return write_summary(summary_document(spark.read.parquet(table), suites, providers, "combined"), out, "combined")
+    return write_summary(summary_document(read_table(spark, table), suites, providers, "combined"), out, "combined")
