@@ -44,7 +44,11 @@ def test_views(spark):
     s = dims.suites_of_results(d)
     assert views.view_rankings(d, s, views.ViewFilters()).first().total_tests == 2
     assert views.visible_tests(s, views.ViewFilters(tier="all")).first()[0] == 3
-    assert {tuple(r) for r in views.scope_options(d, s, views.ViewFilters()).collect()} == {("category", "clean-speech"), ("suite", "clean-speech-de"), ("slice", "fast-speech")}
+    assert [tuple(r) for r in views.scope_options(d, s, views.ViewFilters()).collect()] == [("category", 1, "clean-speech", "clean-speech"), ("slice", 1, "fast-speech", "Fast Speech"), ("suite", 1, "clean-speech-de", "Clean Speech (German)")]
+    named = spark.createDataFrame([(f"s{i}", n, "x", "core") for i, n in enumerate(("beta", "Alpha", "alpha", "Éclair", "Zeta"))], "suite_id string, name string, category string, tier string")
+    assert [r.label for r in views.scope_options(d, named, views.ViewFilters()).where("kind = 'suite'").collect()] == ["alpha", "Alpha", "beta", "Éclair", "Zeta"]
+    rates = spark.createDataFrame([("p", "m", 0.0625), ("p", "n", 0.1455), ("p", "o", 0.0005)], "provider_id string, model string, avg_wer double")
+    assert [(r.model, r.wer_percent) for r in views.accuracy_chart(rates).collect()] == [("o", 0.1), ("m", 6.3), ("n", 14.5)]
     assert views.collect_results(d, s, views.ViewFilters("slice", "unknown")).count() == 0
     assert views.default_scope_value(["a"], "b") == "a"
     # a cost of nothing is printed; only where there is none to tell, a model is free
@@ -156,7 +160,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "t" / "deep").mkdir(parents=True)
     (tmp_path / "t" / "deep" / "1.trans.txt").write_text("u-1 hello there\nnospace\nu-2  \n")
     assert [tuple(r) for r in readers.read_transcripts(spark, str(tmp_path / "t")).collect()] == [("u-1", "hello there")]
-    (tmp_path / "m.json").write_text(json.dumps({"k": [{"id": "1", "text": "x"}], "e": []}))
+    (tmp_path / "m.json").write_text(json.dumps({"k": [{"id": "1", "text": "x"}], "e": []}, indent=2))
     assert [(r.suite_key, r.id) for r in readers.read_manifest(spark, str(tmp_path / "m.json")).collect()] == [("k", "1")]
     assert readers.read_optional(spark, str(tmp_path / "none.json"), "a int").count() == 0
     (tmp_path / "n.ndjson").write_text('{"id":"1","durationSeconds":3}\n\n{"id":"2"}\n')

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .predicates import SLICES
@@ -44,14 +44,19 @@ def view_rankings(results: DataFrame, suites: DataFrame, f: ViewFilters, provide
 
 
 def scope_options(results: DataFrame, suites: DataFrame, f: ViewFilters) -> DataFrame:
-    """(kind, value): the categories, suites and slices that the filters leave."""
+    """(kind, ordinal, value, label): the categories, suites and slices that the filters leave, each kind in the order it is shown
+    in: categories by code, suites by name as people read it, slices as they are listed."""
     keep = filtered_suites(suites, f)
-    out = keep.select(F.lit("category").alias("kind"), F.col("category").alias("value")).distinct()
-    out = out.union(keep.select(F.lit("suite"), "suite_id"))
+    category = keep.select(F.lit("category").alias("kind"), F.col("category").alias("value"), F.col("category").alias("label")).distinct()
+    own = Window.partitionBy("kind")
+    category = category.withColumn("ordinal", F.row_number().over(own.orderBy("value")))
+    suite = keep.select(F.lit("suite").alias("kind"), F.col("suite_id").alias("value"), F.col("name").alias("label"))
+    suite = suite.withColumn("ordinal", F.row_number().over(own.orderBy(F.collate("label", "UNICODE"), "value")))
     left = results.join(keep.select("suite_id"), "suite_id", "left_semi")
     hit = left.agg(*[F.coalesce(F.bool_or(F.col("test_id").rlike(p)), F.lit(False)).alias(s) for s, p in SLICES.items()])
-    pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("value"), F.col(f"`{s}`").alias("hit")) for s in SLICES]))
-    return out.union(hit.select(pairs.alias("x")).where("x.hit").select(F.lit("slice"), "x.value"))
+    listed = F.array(*[F.when(F.col(f"`{s}`"), F.struct(F.lit(s).alias("value"), F.lit(SLICE_TITLES[s]).alias("label"))) for s in SLICES])
+    slice_ = hit.select(F.posexplode(F.array_compact(listed)).alias("i", "x")).select(F.lit("slice").alias("kind"), "x.value", "x.label", (F.col("i") + 1).alias("ordinal"))
+    return category.unionByName(suite).unionByName(slice_).select("kind", "ordinal", "value", "label").orderBy("kind", "ordinal")
 
 
 def visible_tests(suites: DataFrame, f: ViewFilters) -> DataFrame:
@@ -64,7 +69,7 @@ def default_scope_value(options: list[str], current: str) -> str:
 
 
 def accuracy_chart(rankings: DataFrame) -> DataFrame:
-    return rankings.select("provider_id", "model", F.round(F.col("avg_wer") * 100, 1).alias("wer_percent")).orderBy("wer_percent", "provider_id", "model")
+    return rankings.select("provider_id", "model", to_fixed(F.col("avg_wer") * 100, 1).cast("double").alias("wer_percent")).orderBy("wer_percent", "provider_id", "model")
 
 
 def to_fixed(x: Column, digits: int) -> Column:

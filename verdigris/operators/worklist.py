@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import queue
+import threading
+import time
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -121,7 +124,7 @@ def classify(outcomes: DataFrame) -> DataFrame:
 
 
 class Transcriber(Protocol):
-    """What turns audio into text; one is made per Python worker."""
+    """What turns audio into text. Each is used by one call at a time."""
 
     def transcribe(self, audio_file: str, language: str, provider_id: str, model: str) -> tuple[str, float]: ...
 
@@ -134,19 +137,48 @@ class EchoTranscriber:
         return text, float(len(text))
 
 
-def transcribe(work: DataFrame, make: type[Transcriber] = EchoTranscriber, parallel: int | None = None) -> DataFrame:
-    """``work`` with transcription, duration_ms and failure. An exception fails its row alone and is tried again next time."""
+def within_deadline(make: Callable[[], Transcriber], calls: list[tuple], seconds: float, threads: int) -> list[tuple[str | None, float, str | None]]:
+    """(text, duration_ms, failure) of each call. At most ``threads`` run at a time; one that takes longer than ``seconds`` fails and
+    is left behind with its transcriber, and the next call gets a new one."""
+    out: list[tuple[str | None, float, str | None]] = [(None, 0.0, None)] * len(calls)
+    ended: queue.SimpleQueue = queue.SimpleQueue()
+    idle: list[Transcriber] = []
+    running: dict[int, float] = {}
+
+    def call(i: int, t: Transcriber) -> None:
+        try:
+            ended.put((i, t, (*t.transcribe(*calls[i]), None)))
+        except Exception as e:  # noqa: BLE001 - whatever a recognizer raises is that row's failure
+            ended.put((i, t, (None, 0.0, str(e) or type(e).__name__)))
+
+    at = 0
+    while at < len(calls) or running:
+        while at < len(calls) and len(running) < threads:
+            running[at] = time.monotonic() + seconds
+            threading.Thread(target=call, args=(at, idle.pop() if idle else make()), daemon=True).start()
+            at += 1
+        try:
+            i, t, said = ended.get(timeout=max(0.0, min(running.values()) - time.monotonic()))
+        except queue.Empty:
+            for late in [k for k, end in running.items() if end <= time.monotonic()]:
+                out[late] = (None, 0.0, f"timed out after {seconds:g} s")
+                del running[late]
+            continue
+        if i in running:  # what comes later than its deadline doesn't count
+            out[i] = said
+            del running[i]
+            idle.append(t)
+    return out
+
+
+def transcribe(work: DataFrame, make: type[Transcriber] = EchoTranscriber, parallel: int | None = None, seconds: float = 120.0, threads: int = 1) -> DataFrame:
+    """``work`` with transcription, duration_ms and failure. An exception, or a call longer than ``seconds``, fails its row alone,
+    which is tried again next time. Each task runs ``threads`` calls at a time."""
     cols = ("audio_file", "language", "provider_id", "model")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = make()
         for b in batches:
-            out = []
-            for args in zip(*[b[c] for c in cols], strict=True):
-                try:
-                    out.append((*t.transcribe(*args), None))
-                except Exception as e:  # noqa: BLE001 - whatever a recognizer raises is that row's failure
-                    out.append((None, 0.0, str(e) or type(e).__name__))
+            out = within_deadline(make, list(zip(*[b[c] for c in cols], strict=True)), seconds, threads)
             yield b.assign(**dict(zip(("transcription", "duration_ms", "failure"), map(list, zip(*out, strict=True)) if out else ([], [], []), strict=True)))
 
     d = work.repartition(parallel) if parallel else work

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics, sql, text, words
 from ..operators import curate, dims, merge, predicates, rankings, state, views, worklist
-from ..sources import folders, readers, sinks, snapshots
+from ..sources import folders, readers, result_files, sinks, snapshots
+from ..sources.cache import CacheTable
 from .facts import CACHED_SQL, EXISTING_SQL, FACTS_SQL, MODELS_SQL, PROVIDERS_SQL, TESTS_SQL, UTTERANCES_SQL, cached, existing_suites, facts, models, providers, tests, utterances
 
 QUERIES: dict = {}
@@ -199,8 +200,10 @@ def view_slice(spark, sf_dir):
     return _view(spark, sf_dir, views.ViewFilters("slice", "fast-speech", tier="all", origin="synthetic"))
 
 
-@query(f"""{LISTED}, r AS (SELECT * FROM facts WHERE suite_id IN (SELECT suite_id FROM kept))
-SELECT DISTINCT 'category' AS kind, category AS value FROM kept UNION ALL SELECT 'suite', suite_id FROM kept UNION ALL SELECT 'slice', slice FROM (SELECT DISTINCT slice FROM ({SLICE_ROWS.replace('FROM facts', 'FROM r')}))""")
+@query(f"""{LISTED}, r AS (SELECT * FROM facts WHERE suite_id IN (SELECT suite_id FROM kept)),
+s AS (SELECT DISTINCT slice AS value, CASE slice {' '.join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(predicates.SLICES))} END AS i, CASE slice {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in views.SLICE_TITLES.items())} END AS label FROM ({SLICE_ROWS.replace('FROM facts', 'FROM r')}))
+SELECT 'category' AS kind, row_number() OVER (ORDER BY category)::INTEGER AS ordinal, category AS value, category AS label FROM (SELECT DISTINCT category FROM kept)
+UNION ALL SELECT 'suite', row_number() OVER (ORDER BY lower(name), suite_id)::INTEGER, suite_id, name FROM kept UNION ALL SELECT 'slice', row_number() OVER (ORDER BY i)::INTEGER, value, label FROM s""")
 def scope_options(spark, sf_dir):
     return views.scope_options(facts(spark, sf_dir), _dim(spark, sf_dir), views.ViewFilters())
 
@@ -220,15 +223,15 @@ def slice_exists(spark, sf_dir):
 GLOBAL = ranking_sql("facts")
 
 
-@query(f"SELECT provider_id, model, round(avg_wer * 100, 1) AS wer_percent FROM ({GLOBAL})")
-def chart_accuracy(spark, sf_dir):
-    return views.accuracy_chart(rank_global(spark, sf_dir))
-
-
 def fixed(x: str, digits: int) -> str:
     return f"printf('%.{digits}f', CASE WHEN (({x}) * {2 ** (digits + 1)}) % 2 = 1 THEN {x} + 1e-9 ELSE {x} END)"
 
 
+@query(f"SELECT provider_id, model, CAST({fixed('avg_wer * 100', 1)} AS DOUBLE) AS wer_percent FROM ({GLOBAL})")
+def chart_accuracy(spark, sf_dir):
+    return views.accuracy_chart(rank_global(spark, sf_dir))
+
+
 @query(f"SELECT provider_id, model, CAST({fixed('avg_rtf', 3)} AS DOUBLE) AS avg_rtf FROM ({GLOBAL})")
 def chart_speed(spark, sf_dir):
     return views.speed_chart(rank_global(spark, sf_dir))
@@ -474,8 +477,11 @@ def corpus_candidates(spark, sf_dir):
 
 @query(f"SELECT status, count(*) AS rows_cached FROM ({FACTS_SQL}) WHERE status IS DISTINCT FROM 'error' GROUP BY status")
 def cacheable_rows(spark, sf_dir):
-    f = facts(spark, sf_dir)
-    return f.where(~F.col("status").eqNullSafe("error")).groupBy("status").agg(F.count("*").alias("rows_cached"))
+    """What the sink has left of all rows, read back."""
+    path = folders.fresh(spark, "cache")
+    f = facts(spark, sf_dir).select("suite_id", "test_id", "provider_id", "model", "run", "status")
+    sinks.write_cache(f, path)
+    return readers.read_cache(spark, path, f.schema).groupBy("status").agg(F.count("*").alias("rows_cached"))
 
 
 @query("SELECT o_orderpriority AS prompt, substring(concat(o_orderpriority, ' ', CAST(o_orderkey AS STRING)), 1, 6) AS short, concat('cv-de-', CASE WHEN pick < 10 THEN '0' ELSE '' END, CAST(pick AS STRING)) AS test_id FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS pick FROM orders)")
@@ -806,3 +812,36 @@ def snapshot_upsert(spark, sf_dir):
     t.upsert(f.where("batch = 2"))
     t.upsert(f.where("batch = 2"))
     return t.read().groupBy("provider_id", "model", "suite_id").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("orders"), F.count_if(F.col("status") == "ok").alias("ok"))
+
+
+@query(f"{WORK_BASE} SELECT {WORK_COLS} FROM w ANTI JOIN cache USING (cache_key)")
+def cache_table_misses(spark, sf_dir):
+    """Work that isn't in a bucketed cache which earlier runs have been written to."""
+    c = CacheTable(spark, folders.fresh(spark, "cache-table"), "cache_key string, status string, error string", 16)
+    c.write(_cache(spark, sf_dir).withColumn("status", F.when(F.coalesce("error", F.lit("")) == "", "ok").otherwise("error")))
+    return _listed(c.misses(_work(spark, sf_dir)))
+
+
+FILES_SQL = f"SELECT *, l_orderkey % 2 AS chunk, concat(provider_id, '_', model, '-', CAST(l_orderkey % 2 AS STRING)) AS file FROM ({FACTS_SQL})"
+
+
+@query(f"""WITH facts AS ({FACTS_SQL}), f AS ({FILES_SQL}), g AS (SELECT provider_id, model, {measures()} FROM facts GROUP BY provider_id, model),
+t AS (SELECT provider_id, arg_max(CASE length(model) % 2 + chunk WHEN 0 THEN 'local' WHEN 1 THEN 'cloud' ELSE 'system' END, file) AS provider_type FROM f GROUP BY provider_id)
+SELECT g.*, t.provider_type, row_number() OVER (ORDER BY round(avg_wer, 6), g.provider_id, model) AS rank, 2::BIGINT AS rejects FROM g JOIN t USING (provider_id)""")
+def files_rank(spark, sf_dir):
+    """Result documents written, read again with two broken ones among them, and ranked with the types that the last files tell."""
+    f = facts(spark, sf_dir).withColumn("chunk", F.col("l_orderkey") % 2).withColumn("file", F.concat_ws("-", F.concat_ws("_", "provider_id", "model"), "chunk"))
+    camel = {"test_id": "testId", "suite_id": "suiteId", "provider_id": "providerId", "model": "model", "run": "run", "status": "status", "error": "error", "test_source": "testSource", "wer_normalized": "werNormalized", "cer": "cer", "punctuation_score": "punctuationScore",
+             "formatting_score": "formattingScore", "duration_ms": "durationMs", "realtime_factor": "realtimeFactor", "audio_duration_ms": "audioDurationMs", "cost_usd": "costUsd"}
+    rows = f.groupBy("file", "provider_id", "model", "chunk", "suite_id").agg(F.collect_list(F.struct(*[F.col(c).alias(n) for c, n in camel.items()])).alias("rows"))
+    kind = F.length("model") % 2 + F.col("chunk")
+    ranking = F.struct(F.col("provider_id").alias("providerId"), F.when(kind == 0, "local").when(kind == 1, "cloud").otherwise("system").alias("providerType"))
+    docs = rows.groupBy("file", "provider_id", "model", "chunk").agg(F.map_from_entries(F.collect_list(F.struct("suite_id", "rows"))).alias("resultsBySuite"))
+    docs = docs.select("file", F.to_json(F.struct(ranking.alias("ranking"), "resultsBySuite")).alias("value"))
+    cut_off = F.col("value").substr(F.lit(1), F.length("value") - 1)
+    broken = docs.where("file = 'prov0_model0-0'").select(F.explode(F.array(F.struct(F.lit("zz-1").alias("file"), cut_off.alias("value")), F.struct(F.lit("zz-2").alias("file"), F.lit("[]").alias("value")))).alias("x")).select("x.*")
+    path = folders.fresh(spark, "result-files")
+    docs.union(broken).repartition("file").write.partitionBy("file").option("maxRecordsPerFile", 1).text(path)
+    files = result_files.read_result_files(spark, path, "*.txt")
+    rejects = result_files.rejects_of(files).where("NOT kept").agg(F.count("*").alias("rejects"))
+    return rounded(rankings.rank_models(result_files.results_of(files), providers=result_files.provider_types_of(files)).join(F.broadcast(rejects)))

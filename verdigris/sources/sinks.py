@@ -53,7 +53,8 @@ def write_cache(results: DataFrame, path: str) -> None:
 
 
 def write_suites(suites: DataFrame, path: str) -> None:
-    suites.write.mode("overwrite").option("pretty", True).json(path)
+    """A file for each suite, indented, as ``read_suites`` takes them."""
+    suites.write.mode("overwrite").option("pretty", True).option("maxRecordsPerFile", 1).json(path)
 
 
 def write_ndjson(d: DataFrame, path: str) -> None:

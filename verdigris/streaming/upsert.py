@@ -14,11 +14,16 @@ def result_stream(spark: SparkSession, path: str, schema: StructType, files_per_
 
 
 def start_upsert(stream: DataFrame, table: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Every micro-batch replaces the suites it holds. Writing a batch twice leaves the same table."""
+    """Every micro-batch replaces the suites it holds. Writing a batch twice leaves the same table. A batch is kept while it is
+    written, so that its rows are read, and counted by ``live.observed``, once."""
 
     def write(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            upsert_results(batch, table)
+        batch.persist()
+        try:
+            if not batch.isEmpty():
+                upsert_results(batch, table)
+        finally:
+            batch.unpersist()
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
