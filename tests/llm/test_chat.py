@@ -142,3 +142,28 @@ def test_odd_values_do_no_harm(spark):
     assert out[1, 1, 0].valid and out[1, 2, 0].call_id == "\\ud800" and not out[1, 2, 0].valid
     assert (out[1, 6, 0].call_id, out[1, 6, 0].valid) == ("[1]", None)
     assert all(json.loads(r.json) for r in out.values())
+
+
+def test_broken_schemas_say_nothing_and_patterns_are_linear():
+    import time
+
+    for schema, value in [({"type": "integr"}, 1), ({"type": ["string", "txt"]}, "a"), ({"properties": 5}, {}), ({"enum": 3}, 3), ({"minLength": "5"}, "a"), ({"required": "a"}, {}), ({"items": [{}]}, [1]), ({"anyOf": []}, 1), ({"not": 3}, 1), ({"multipleOf": 0}, 1), ({"pattern": "(?=a)b"}, "b"), ({"pattern": "(a)\\1"}, "aa"), ({"properties": {"a": 7}}, {"a": 1}), (5, 1)]:
+        assert chat._verdict(schema, value) == (None, []), schema
+    for schema, value, want in [({"pattern": "^a$"}, "a\n", False), ({"pattern": "^a$"}, "a", True), ({"pattern": "b+"}, "abc", True), (True, 1, True), (False, 1, False), ({"additionalProperties": True}, {"x": 1}, True), ({"minLength": 2.0}, "ab", True), ({"pattern": "é$"}, "né", True)]:
+        assert chat._verdict(schema, value)[0] is want, schema
+    t = time.time()
+    assert chat._verdict({"pattern": "(a+)+$"}, "a" * 5000 + "!")[0] is False and time.time() - t < 1
+
+
+def test_long_chains(spark):
+    """A chain of 1,000 calls takes a round or two, with identifiers that don't follow it."""
+    import time
+
+    names = [f"c{(i * 7919) % 1009:04d}" for i in range(1000)]
+    call = lambda i: '<tool_call>{"id": "%s", "name": "f", "arguments": {"x": "%s"}}</tool_call>' % (names[i], f"${names[i - 1]}" if i else "start")  # noqa: E731, UP031
+    rows = [(1, i, "assistant", call(i)) for i in range(1000)] + [(2, 0, "assistant", call(5)), (3, 0, "assistant", '<tool_call>{"id": "a", "name": "f", "arguments": "$b"}</tool_call><tool_call>{"id": "b", "name": "f", "arguments": ["$a"]}</tool_call><tool_call>{"id": "d", "name": "f", "arguments": {"y": "$b"}}</tool_call>')]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    t = time.time()
+    got = {(r.conv_id, r.call_id): r.level for r in chat.format_conversations(d).collect()}
+    assert time.time() - t < 60
+    assert got == {(1, n): i for i, n in enumerate(names)} | {(2, names[5]): 0, (3, "a"): None, (3, "b"): None, (3, "d"): None}

@@ -3,8 +3,9 @@
 Assistant turns may hold ``<tool_call>{"id", "name", "arguments"}</tool_call>`` blocks, tool turns
 ``<tool_response>{"id" or "tool_call_id", "content"}</tool_response>`` blocks, and system turns ``<tools>[...]</tools>``
 with JSON schemas. Calls and results are joined by (conversation, identifier) in hash joins, calls and schemas by
-(conversation, name). An argument string "$id" that names another call makes the caller depend on it; levels of that
-order are found by relaxing all edges at once until nothing changes. Every message becomes one row of canonical JSON:
+(conversation, name). An argument string "$id" that names another call makes the caller depend on it. Calls are range-partitioned
+by conversation and identifier; each task orders what it can, however deep, and what hangs on calls of other tasks waits
+for the next round, so a conversation that fits in a task takes one. Every message becomes one row of canonical JSON:
 sorted keys, no spaces, calls with their level, result and verdict. Conversations are not collected into one value, so
 none can outgrow a task; (level, turn, part) orders a conversation's rows topologically.
 
@@ -12,7 +13,8 @@ Null texts are empty, null roles are "user". Blocks that don't parse stay ordina
 first by (turn, part) is linked, the others are "repeated"; results without a call are "orphan", calls without a result
 "open". Calls in a cycle, or that hang on one, are "cyclic" with a null level. Repeated rows give a row each, the
 later one by content counting as a repetition. Calls without an identifier or a conversation are "unnamed". A call without a known schema, or with one
-whose keywords aren't all implemented, is neither valid nor invalid.
+whose keywords aren't all implemented and well-formed, is neither valid nor invalid. Patterns run in linear time, by automata; one that
+automata can't run, with look-around or back references, says nothing either. Blocks nested deeper than ``DEEPEST`` stay text.
 """
 
 from __future__ import annotations
@@ -20,9 +22,12 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,12 +57,33 @@ def writable(s: str) -> str:
     return LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", s)
 
 
-def _is(kind: str, v) -> bool:
-    number = isinstance(v, (int, float)) and not isinstance(v, bool)
-    return {
-        "object": isinstance(v, dict), "array": isinstance(v, list), "string": isinstance(v, str), "boolean": isinstance(v, bool),
-        "null": v is None, "number": number, "integer": number and (isinstance(v, int) or v.is_integer()),
-    }.get(kind, True)
+def _number(v) -> bool:
+    return isinstance(v, (int, float)) and not isinstance(v, bool)
+
+
+#: The types of JSON schemas.
+TYPES = {
+    "object": lambda v: isinstance(v, dict), "array": lambda v: isinstance(v, list), "string": lambda v: isinstance(v, str), "boolean": lambda v: isinstance(v, bool),
+    "null": lambda v: v is None, "number": _number, "integer": lambda v: _number(v) and (isinstance(v, int) or v.is_integer()),
+}
+
+
+def _count(v) -> bool:
+    return TYPES["integer"](v) and v >= 0
+
+
+def _schema(v) -> bool:
+    return isinstance(v, (dict, bool))
+
+
+#: What a keyword's own value must be.
+WELL_FORMED = {
+    "type": lambda v: v in TYPES if isinstance(v, str) else isinstance(v, list) and bool(v) and all(isinstance(k, str) and k in TYPES for k in v),
+    "enum": lambda v: isinstance(v, list), "properties": lambda v: isinstance(v, dict) and all(map(_schema, v.values())), "required": lambda v: isinstance(v, list) and all(isinstance(k, str) for k in v),
+    "additionalProperties": _schema, "items": _schema, "not": _schema, "pattern": lambda v: isinstance(v, str), "uniqueItems": lambda v: isinstance(v, bool),
+    "minimum": _number, "maximum": _number, "exclusiveMinimum": lambda v: _number(v) or isinstance(v, bool), "exclusiveMaximum": lambda v: _number(v) or isinstance(v, bool), "multipleOf": lambda v: _number(v) and v > 0,
+    **dict.fromkeys(("minLength", "maxLength", "minItems", "maxItems"), _count), **dict.fromkeys(("allOf", "anyOf", "oneOf"), lambda v: isinstance(v, list) and bool(v) and all(map(_schema, v))),
+}
 
 
 #: Keywords that constrain values and aren't implemented.
@@ -71,10 +97,10 @@ class UnsupportedSchema(ValueError):
     """A schema of which nothing can be said."""
 
 
-def _matches(pattern, value: str) -> bool:
+def _matches(pattern: str, value: str) -> bool:
     try:
-        return re.search(pattern, value) is not None
-    except (re.error, TypeError):
+        return pc.match_substring_regex(pa.array([value], pa.string()), pattern)[0].as_py()
+    except (pa.ArrowInvalid, UnicodeEncodeError):
         raise UnsupportedSchema(f"pattern {pattern}") from None
 
 
@@ -86,43 +112,41 @@ def problems(schema, value, path: str = "$") -> list[str]:
     """
     if schema is False:
         return [f"{path}: not allowed"]
-    if not isinstance(schema, dict):
+    if schema is True:
         return []
-    if found := UNSUPPORTED & schema.keys():
-        raise UnsupportedSchema(", ".join(sorted(found)))
-    kinds = schema.get("type")
-    kinds = [kinds] if isinstance(kinds, str) else kinds if isinstance(kinds, list) else []
-    if kinds and not any(_is(k, value) for k in kinds):
-        return [f"{path}: not {'/'.join(map(str, kinds))}"]
+    if not isinstance(schema, dict):
+        raise UnsupportedSchema(path)
+    if found := [k for k, well in WELL_FORMED.items() if k in schema and not well(schema[k])] + sorted(UNSUPPORTED & schema.keys()):
+        raise UnsupportedSchema(", ".join(found))
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(TYPES[k](value) for k in kinds):
+        return [f"{path}: not {'/'.join(kinds)}"]
     out = []
-    if isinstance(schema.get("enum"), list) and canonical(value) not in map(canonical, schema["enum"]):
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         out.append(f"{path}: not in enum")
     if "const" in schema and canonical(value) != canonical(schema["const"]):
         out.append(f"{path}: not the constant")
-    if _is("number", value):
+    if _number(value):
         low, high = schema.get("exclusiveMinimum"), schema.get("exclusiveMaximum")
         low, high = schema.get("minimum") if low is True else low, schema.get("maximum") if high is True else high
-        if _is("number", schema.get("minimum")) and value < schema["minimum"] or _is("number", low) and value <= low:
+        if _number(schema.get("minimum")) and value < schema["minimum"] or _number(low) and value <= low:
             out.append(f"{path}: below minimum")
-        if _is("number", schema.get("maximum")) and value > schema["maximum"] or _is("number", high) and value >= high:
+        if _number(schema.get("maximum")) and value > schema["maximum"] or _number(high) and value >= high:
             out.append(f"{path}: above maximum")
         step = schema.get("multipleOf")
-        if _is("number", step) and step > 0 and Fraction(str(value)) % Fraction(str(step)):
+        if _number(step) and step > 0 and Fraction(str(value)) % Fraction(str(step)):
             out.append(f"{path}: not a multiple")
     if isinstance(value, str):
-        if isinstance(schema.get("maxLength"), int) and len(value) > schema["maxLength"]:
+        if "maxLength" in schema and len(value) > schema["maxLength"]:
             out.append(f"{path}: too long")
-        if isinstance(schema.get("minLength"), int) and len(value) < schema["minLength"]:
+        if "minLength" in schema and len(value) < schema["minLength"]:
             out.append(f"{path}: too short")
         if "pattern" in schema and not _matches(schema["pattern"], value):
             out.append(f"{path}: doesn't match pattern")
     if isinstance(value, dict):
-        known = schema.get("properties") if isinstance(schema.get("properties"), dict) else {}
-        required = schema.get("required", [])
-        if not isinstance(required, list) or not all(isinstance(k, str) for k in required):
-            raise UnsupportedSchema("required")
-        out += [f"{path}.{k}: missing" for k in required if k not in value]
-        further = schema.get("additionalProperties")
+        known, further = schema.get("properties", {}), schema.get("additionalProperties", True)
+        out += [f"{path}.{k}: missing" for k in schema.get("required", []) if k not in value]
         for k in value:
             if k not in known:
                 out += [f"{path}.{k}: unknown"] if further is False else problems(further, value[k], f"{path}.{k}")
@@ -130,17 +154,15 @@ def problems(schema, value, path: str = "$") -> list[str]:
             if k in value:
                 out += problems(s, value[k], f"{path}.{k}")
     if isinstance(value, list):
-        if isinstance(schema.get("items"), list):
-            raise UnsupportedSchema("items by position")
-        if isinstance(schema.get("minItems"), int) and len(value) < schema["minItems"]:
+        if "minItems" in schema and len(value) < schema["minItems"]:
             out.append(f"{path}: too few items")
-        if isinstance(schema.get("maxItems"), int) and len(value) > schema["maxItems"]:
+        if "maxItems" in schema and len(value) > schema["maxItems"]:
             out.append(f"{path}: too many items")
         if schema.get("uniqueItems") is True and len(set(map(canonical, value))) < len(value):
             out.append(f"{path}: repeated items")
         for i, x in enumerate(value):
-            out += problems(schema.get("items"), x, f"{path}[{i}]")
-    branches = {k: [problems(s, value, path) for s in schema[k]] for k in ("allOf", "anyOf", "oneOf") if isinstance(schema.get(k), list)}
+            out += problems(schema.get("items", True), x, f"{path}[{i}]")
+    branches = {k: [problems(s, value, path) for s in schema[k]] for k in ("allOf", "anyOf", "oneOf") if k in schema}
     out += [p for found in branches.get("allOf", ()) for p in found]
     if "anyOf" in branches and all(branches["anyOf"]):
         out.append(f"{path}: none of anyOf")
@@ -265,27 +287,78 @@ def _first(d: DataFrame, keys: list[str], *cols: str) -> DataFrame:
     return d.groupBy(*keys).agg(first).select(*keys, *[F.col(f"f.{c}").alias(c) for c in ("turn", "part", *cols)])
 
 
+WAIT_DDL = "conv_id long, id string, need string, low long"
+LEVEL = pa.schema([("conv_id", pa.int64()), ("id", pa.string()), ("level", pa.int64())])
+LEVEL_DDL = "conv_id long, id string, level long"
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Levels of the calls of a range of (conversation, identifier) that hang on nothing but each other. A conversation's
+    part is ordered when the next begins."""
+    now, waits, low = None, {}, {}
+
+    def solve() -> list[tuple]:
+        users: dict[str, list[str]] = {}
+        for i, needs in waits.items():
+            for n in needs:
+                users.setdefault(n, []).append(i)
+        ready, out = [i for i, needs in waits.items() if not needs], []
+        while ready:
+            i = ready.pop()
+            out.append((now, i, low[i]))
+            for u in users.get(i, ()):
+                low[u] = max(low[u], low[i] + 1)
+                waits[u].discard(i)
+                if not waits[u]:
+                    ready.append(u)
+        waits.clear()
+        low.clear()
+        return out
+
+    for b in chain(batches, [None]):
+        out = []
+        for conv, i, need, least in zip(*(c.to_pylist() for c in b.columns), strict=True) if b is not None else [(None, None, None, 0)]:
+            if conv != now:
+                out += solve()
+                now = conv
+            if i is not None:
+                own = waits.setdefault(i, set())
+                low[i] = max(low.get(i, 0), least)
+                if need is not None:
+                    own.add(need)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), LEVEL.types, strict=True)], schema=LEVEL)
+
+
 def _levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, id, level): 0 for calls that need none, else one more than the highest they need; null on cycles."""
-    edges = calls.where(F.size("needs") > 0).select("conv_id", "id", F.explode("needs").alias("need")).distinct()
-    edges = cut(edges.join(calls.select("conv_id", F.col("id").alias("need")), ["conv_id", "need"]), "edges")
-    nodes = calls.select("conv_id", "id")
-    left = cut(edges, "left")
-    done = cut(nodes.join(edges.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0).cast("long")), "level")
-    parts, level = [done], 0
-    while left.head(1):
-        level += 1
-        ready = done.select("conv_id", F.col("id").alias("need"))
-        rest = cut(left.join(ready, ["conv_id", "need"], "left_anti"), "left")
-        touched = left.select("conv_id", "id").distinct()
-        done = cut(touched.join(rest.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti").withColumn("level", F.lit(level).cast("long")), "level")
-        drop_cut(left)
-        left = rest
-        if not done.head(1):
+    """(conv_id, id, level): 0 for calls that need none, else one more than the highest they need; null on cycles.
+
+    A row waits for each need that has no level yet, ``low`` is what the others ask for. Rounds end when one has ordered nothing.
+    """
+    calls = calls.where("conv_id IS NOT NULL")  # calls without a conversation are linked with nothing
+    known = calls.select("conv_id", F.col("id").alias("need"))
+    edges = calls.where(F.size("needs") > 0).select("conv_id", "id", F.explode("needs").alias("need")).distinct().join(known, ["conv_id", "need"], "left_semi")
+    alone = calls.select("conv_id", "id", F.lit(None).cast("string").alias("need"))
+    left = cut(edges.select("conv_id", "id", "need").union(alone).withColumn("low", F.lit(0).cast("long")), "waiting")
+    parts = []
+    while True:
+        done = cut(left.repartitionByRange("conv_id", "id").sortWithinPartitions("conv_id", "id").mapInArrow(_ordered, LEVEL_DDL), "level")
+        if done.isEmpty():
+            drop_cut(left)
+            drop_cut(done)
             break
         parts.append(done)
-    out = parts[0]
-    for p in parts[1:]:
+        still = left.join(done.select("conv_id", "id"), ["conv_id", "id"], "left_anti")
+        met = still.join(done.select("conv_id", F.col("id").alias("need"), "level"), ["conv_id", "need"], "left")
+        rest = met.select("conv_id", "id", F.when(F.col("level").isNull(), F.col("need")).alias("need"), F.greatest("low", F.coalesce(F.col("level") + 1, F.lit(0))).alias("low"))
+        new = cut(rest, "waiting")
+        drop_cut(left)
+        left = new
+        if left.isEmpty():
+            drop_cut(left)
+            break
+    out = calls.sparkSession.createDataFrame([], LEVEL_DDL)
+    for p in parts:
         out = out.union(p)
     return out
 
