@@ -464,13 +464,13 @@ def dedupe_ids(spark, sf_dir):
 
 @query("""WITH d AS (SELECT user_id AS id, CASE event_type WHEN (SELECT min(event_type) FROM events) THEN 'train' ELSE 'test' END AS split, event_id AS ord, 30 + event_id % 90 AS duration_seconds, event_type AS speaker_id FROM events),
 one AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY CASE split WHEN 'test' THEN 1 ELSE 2 END, ord) = 1)
-SELECT id, split, ord, duration_seconds FROM one WHERE duration_seconds BETWEEN 30 AND 90 ORDER BY CASE split WHEN 'test' THEN 1 ELSE 2 END, ord LIMIT 80""")
+SELECT id, split, ord, duration_seconds FROM one WHERE duration_seconds BETWEEN 30 AND 90 AND len(string_split(concat(repeat('word ', ord % 160), 'word'), ' ')) BETWEEN 20 AND 140 ORDER BY CASE split WHEN 'test' THEN 1 ELSE 2 END, ord LIMIT 80""")
 def corpus_candidates(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     least = e.agg(F.min("event_type").alias("least"))
     d = e.join(least).select(
         F.col("user_id").alias("id"), F.when(F.col("event_type") == F.col("least"), "train").otherwise("test").alias("split"), F.col("event_id").alias("ord"),
-        (30 + F.col("event_id") % 90).alias("duration_seconds"), F.col("event_type").alias("speaker_id"), F.lit("word " * 29 + "word").alias("ground_truth"),
+        (30 + F.col("event_id") % 90).alias("duration_seconds"), F.col("event_type").alias("speaker_id"), F.concat(F.expr("repeat('word ', CAST(event_id % 160 AS INT))"), F.lit("word")).alias("ground_truth"),
     )
     return curate.candidates(d, ("test", "train")).select("id", "split", "ord", "duration_seconds")
 
