@@ -54,6 +54,65 @@ def test_keys_in_assignments_and_in_base64():
     assert secrets.spans_of(f"k={base64.b64encode(b'plain text of no further interest at all').decode()}") == []
 
 
+def keys_of(rng):
+    """(kind, bytes) of made private keys and what holds them."""
+    def number(n):
+        return der(2, bytes([1 + rng.randrange(100), *rng.randbytes(n)]))
+
+    rsa = der(0x30, der(2, b"\0") + b"".join(number(rng.randrange(20, 60)) for _ in range(8)))
+    ec = der(0x30, der(0x30, der(6, b"\x2b\x65\x70")) + der(4, rng.randbytes(34)))
+    part = rng.randbytes(rng.randrange(60, 150))
+    ssh = b"openssh-key-v1\0" + b"\0\0\0\4none" * 2 + b"\0\0\0\0" + b"\0\0\0\1" + b"\0\0\0\x20" + rng.randbytes(32) + len(part).to_bytes(4, "big") + part
+    pem = b"-----BEGIN PRIVATE KEY-----\n" + base64.encodebytes(rsa) + b"-----END PRIVATE KEY-----"
+    head = base64.urlsafe_b64encode(rng.choice((b'{ "alg":"HS256"}', b'{\n"alg":"none"}', b'{"alg":"ES256"}'))).rstrip(b"=")
+    signed = head + b"." + base64.urlsafe_b64encode(b'{"sub":1}').rstrip(b"=") + b"." + base64.urlsafe_b64encode(rng.randbytes(32)).rstrip(b"=")
+    return [("der", rsa), ("der", ec), ("openssh", ssh), ("pem", pem), ("signed", signed)]
+
+
+def test_planted_keys_in_all_encodings():
+    """Keys of every kind in every encoding, whole or in lines or pairs, amid prose: the span is the encoding's own."""
+    import random
+
+    def wrap(x, n):
+        return [x[k : k + n] for k in range(0, len(x), n)]
+
+    rng = random.Random(5)
+    prose = "Be it as it may, the face of a cab had added a bad decade to dad's ad. ".split()
+    cases = 0
+    for _ in range(20):
+        for kind, data in keys_of(rng):
+            std, safe = base64.b64encode(data).decode(), base64.urlsafe_b64encode(data).decode()
+            pairs = [f"{b:02x}" for b in data]
+            forms = [std, safe, *("\n".join(wrap(x, 64)) for x in (std, safe)), "\\n".join(wrap(std, 76)), "\r\n    ".join(wrap(std, 64))]
+            forms += [data.hex(), data.hex().upper(), ":".join(pairs), " ".join(pairs), ":\n    ".join(":".join(pairs[k : k + 15]) for k in range(0, len(pairs), 15)), "\n".join(wrap(data.hex(), 64))]
+            for form in forms:
+                before = " ".join(rng.choices(prose, k=rng.randrange(5))) + rng.choice((" = ", "\n", "\n--\n"))
+                text = before + form + rng.choice((".", "\n\n", " (", "\n")) + " ".join(rng.choices(prose, k=rng.randrange(9)))
+                got = [s for s in secrets.spans_of(text) if s[2] not in secrets.BASE_KINDS]
+                assert got == [(len(before), len(before) + len(form), kind)], (kind, form[:80], text[-60:], got)
+                cases += 1
+            flipped = data.replace(b"alg", b"alh").replace(b"PRIVATE", b"PUBLIC!") if kind in ("pem", "signed") else data[:1] + bytes([data[1] ^ 1]) + data[2:]
+            if kind != "signed":
+                assert not [s for s in secrets.spans_of(":".join(f"{b:02x}" for b in flipped)) if s[2] not in secrets.BASE_KINDS]
+    assert cases == 20 * 5 * 12
+
+
+def test_two_keys_and_long_texts_of_pieces():
+    lines = "\n".join(base64.b64encode(KEY).decode()[k : k + 64] for k in range(0, 4 * -(-len(KEY) // 3), 64))
+    two = lines + "\n" + lines
+    assert [s[:2] for s in secrets.spans_of(two) if s[2] == "der"] == [(0, len(lines)), (len(lines) + 1, len(two))]
+    import time
+
+    t = time.perf_counter()
+    for piece in ("ab ", "ab:", "ab\n", "A" * 64 + "\n", "eyA" + "a" * 60 + ".", "ab" + " " * 50, "-----BEGIN PRIVATE KEY-----\n"):
+        assert not [s for s in secrets.spans_of(piece * (400_000 // len(piece))) if s[2] not in secrets.BASE_KINDS]
+    assert time.perf_counter() - t < 20
+
+
+def test_no_rows_no_findings(spark):
+    assert secrets.scan_secrets(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
 def test_secret_rows_and_redaction(spark):
     rows = [(1, "token=abcdefghijklmnop end", 1), (2, None, 1), (3, "", 1), (3, "", 1)]
     d = spark.createDataFrame(rows, "doc_id long, text string, spans int")

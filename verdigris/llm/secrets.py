@@ -1,10 +1,12 @@
 """Secret scan by structural confirmation.
 
-Regular expressions only propose. A base64 (either alphabet), hex or token candidate becomes a structural finding when
-its decoded bytes hold up: DER key encodings whose nested lengths add up, OpenSSH key containers, PEM blocks around
-either, and signed tokens whose header is JSON that names an algorithm. Decoded base64 may hold any of these.
+Regular expressions only propose. Any base64 (either alphabet), hex or token candidate is decoded and becomes a structural
+finding when its bytes hold up: DER key encodings whose nested lengths add up, OpenSSH key containers, PEM blocks around
+either, and signed tokens whose header is JSON that names an algorithm. Decoded base64 and hex may hold any of these.
+Candidates may be broken into lines, hex also by colons or spaces; what is decoded says itself where such a one ends.
 
-Nulls and empty texts give no finding; repeated rows are scanned each; other columns are ignored.
+Nulls and empty texts give no finding; repeated rows are scanned each; an empty table gives no rows; other columns are
+ignored. Very long texts are scanned whole, in time linear in their length.
 """
 
 from __future__ import annotations
@@ -25,10 +27,17 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]*?)-----END \1-----")
-SIGNED = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])e[wy][A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
 URLSAFE = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{40,}={0,2}")
-HEXKEY = re.compile(r"(?<![0-9A-Fa-f])(?:30|6F70656E7373682D|6f70656e7373682d)[0-9A-Fa-f]{60,}(?![0-9A-Fa-f])")
+HEXKEY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{62,}")
+#: The same in pieces: base64 broken into lines, as such or escaped, and pairs or lines of hex between colons and white space.
+LINE_END = r"[ \t]*+(?:\\r)?+(?:\\n|\r?\n)[ \t]*+"
+BASE64_LINES = re.compile(rf"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{{40,}}+(?:{LINE_END}[A-Za-z0-9+/]++)+={{0,2}}")
+URLSAFE_LINES = re.compile(rf"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{{40,}}+(?:{LINE_END}[A-Za-z0-9_-]++)+={{0,2}}")
+HEX_PIECES = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2})++(?:(?::\s*+|\s++)(?:[0-9A-Fa-f]{2})++(?![0-9A-Fa-f]))++")
+PIECE = re.compile(r"[A-Za-z0-9+/_-]")
+ESCAPED = re.compile(r"\\[rn]")
 
 #: Kinds in the order in which spans that start together are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "pem", "signed", "der", "openssh")
@@ -109,6 +118,22 @@ def _from_base64(s: str) -> bytes | None:
         return None
 
 
+def _openssh_end(data: bytes) -> int | None:
+    """Where an OpenSSH container ends by its own lengths: after its public keys and the private part."""
+    if not is_openssh_key(data):
+        return None
+    at = len(OPENSSH_MAGIC)
+    for _ in range(3):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    keys = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    for _ in range(keys + 1):
+        if at + 4 > len(data):
+            return None
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at if at <= len(data) else None
+
+
 def is_signed_token(s: str) -> bool:
     head, body, _ = s.split(".")
     try:
@@ -128,15 +153,100 @@ def _is_pem_key(body: str) -> bool:
     return _key_kind(_from_base64(re.sub(r"\\n|\s", "", body))) is not None
 
 
+def _text_kind(data: bytes) -> tuple[str, int, int] | None:
+    """The first PEM block around a key, else signed token, that decoded bytes hold as text, and its span."""
+    text = data.decode("latin-1")
+    for m in PEM.finditer(text) if b"-----BEGIN" in data else ():
+        if _is_pem_key(m[2]):
+            return "pem", *m.span()
+    for m in SIGNED.finditer(text):
+        if is_signed_token(m[0]):
+            return "signed", *m.span()
+    return None
+
+
 def _decoded_kind(data: bytes | None) -> str | None:
     """What decoded bytes are: a key encoding, or text with a PEM block around one or a signed token."""
     if data is None:
         return None
-    if b"-----BEGIN" in data and any(_is_pem_key(m[2]) for m in PEM.finditer(data.decode("latin-1"))):
-        return "pem"
-    if b"eyJ" in data and any(is_signed_token(m[0]) for m in SIGNED.finditer(data.decode("latin-1"))):
-        return "signed"
-    return _key_kind(data)
+    found = _text_kind(data)
+    return found[0] if found else _key_kind(data)
+
+
+def _may_begin_key(data: bytes, at: int, end: int) -> bool:
+    """Whether the bytes at ``at`` begin like a key encoding that ends by ``end``; looks at a few of them only."""
+    if data.startswith(OPENSSH_MAGIC, at):
+        return True
+    top = _der_item(data, at, end)
+    return top is not None and top[0] == 0x30 and (data[top[1] : top[1] + 1] == b"0" or data[top[1] : top[1] + 2] == b"\2\1")
+
+
+def _key_at(data: bytes, at: int) -> tuple[str, int, int] | None:
+    """A key encoding that begins at ``at``, other bytes may follow, and its span."""
+    if not _may_begin_key(data, at, len(data)):
+        return None
+    top = _der_item(data, at, len(data))
+    if top and is_der_key(data[at : top[2]]):
+        return "der", at, top[2]
+    end = _openssh_end(data[at:])
+    return ("openssh", at, at + end) if end else None
+
+
+def _place(run: str, n: int) -> int:
+    """Where the ``n``-th character of an encoding ends in ``run``."""
+    for p in PIECE.finditer(run):
+        n -= 1
+        if not n:
+            return p.end()
+    return len(run)
+
+
+def _base64_in_lines(run: str) -> tuple[int, int, str] | None:
+    """The first finding of a run of lines; it begins a line."""
+    lines = [(p.start(), p[0]) for p in re.finditer(r"\S+", run)]
+    for k, (start, line) in enumerate(lines):
+        head = (_from_base64(line[: min(len(line), 44) & ~3]) or b"").ljust(33, b"\0")
+        pem = head.startswith(b"-----BEGIN") or k == 0
+        if not pem and not _may_begin_key(head, 0, len(run) + 33):
+            continue
+        s = "".join(x for _, x in lines[k:]).rstrip("=")
+        data = _from_base64(s[: len(s) - (len(s) % 4 == 1)]) or b""
+        if found := _key_at(data, 0) or (_text_kind(data) if pem else None):
+            return start, start + _place(run[start:], (found[2] * 4 + 2) // 3), found[0]
+        if pem and k:
+            return None  # the rest has been looked through
+    return None
+
+
+def _hex_in_pieces(run: str) -> tuple[int, int, str] | None:
+    """The first finding of a run of hex; a key begins a piece of it."""
+    pieces = run.replace(":", " ").split()
+    data = bytes.fromhex("".join(pieces))
+    at = 0
+    for p in pieces:
+        if found := _key_at(data, at):
+            break
+        at += len(p) // 2
+    else:
+        found = _text_kind(data)
+    return found and (_place(run, 2 * found[1] + 1) - 1, _place(run, 2 * found[2]), found[0])
+
+
+def _spans_in_pieces(text: str) -> list[tuple[int, int, str]]:
+    out = []
+    for pattern in (BASE64_LINES, URLSAFE_LINES, HEX_PIECES):
+        at = 0
+        while m := pattern.search(text, at):
+            at = m.end()
+            if at - m.start() < 62:
+                continue
+            found = _hex_in_pieces(m[0]) if pattern is HEX_PIECES else _base64_in_lines(ESCAPED.sub("  ", m[0]))
+            if found:
+                start, at = m.start() + found[0], m.start() + found[1]
+                while at < m.end() and text[at] == "=":
+                    at += 1
+                out.append((start, at, found[2]))
+    return list(dict.fromkeys(out))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -152,16 +262,29 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
         for m in PEM.finditer(text):
             if _is_pem_key(m[2]):
                 out.append((m.start(), m.end(), "pem"))
-    if "eyJ" in text:
-        out += [(m.start(), m.end(), "signed") for m in SIGNED.finditer(text) if is_signed_token(m[0])]
+    pem = list(out)
+    out += [(m.start(), m.end(), "signed") for m in SIGNED.finditer(text) if is_signed_token(m[0])]
     for span in dict.fromkeys(m.span() for pattern in (BASE64, URLSAFE) for m in pattern.finditer(text)):
         if kind := _decoded_kind(_from_base64(text[slice(*span)])):
             out.append((*span, kind))
     for m in HEXKEY.finditer(text):
         s = m[0]
-        if kind := _key_kind(bytes.fromhex(s[: len(s) & ~1])):
+        if kind := _decoded_kind(bytes.fromhex(s[: len(s) & ~1])):
             out.append((m.start(), m.end(), kind))
-    return out
+    # what a PEM block holds is found with it; of findings of one kind inside each other the longest counts
+    blocks, ends, longest = iter(pem), dict.fromkeys(KINDS, -1), []
+    inside = -1
+    block = next(blocks, None)
+    for a, b, kind in sorted(set(_spans_in_pieces(text)).difference(out), key=lambda s: s[0]):
+        while block and block[0] <= a:
+            inside, block = block[1], next(blocks, None)
+        if b > inside:
+            out.append((a, b, kind))
+    for a, b, kind in sorted(set(out), key=lambda s: (s[0], -s[1])):
+        if b > ends[kind]:
+            longest.append((a, b, kind))
+            ends[kind] = b
+    return longest
 
 
 def spans_of(text: str) -> list[tuple[int, int, str]]:
