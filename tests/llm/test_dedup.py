@@ -183,6 +183,30 @@ def test_recall_on_documents(spark):
     assert len(hit) > 40 and sum(hit) >= 0.9 * len(hit)
 
 
+def test_recall_on_planted_copies(spark):
+    """3,000 texts with a copy each, one word in fifty or fewer replaced: of those with similarity 0.8 to 0.95, 0.9 are connected."""
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("aeionrstlhdm") for _ in range(r.randrange(2, 9))) for _ in range(6000)]
+    weights = [1 / (k + 3) for k in range(6000)]
+    rows, want = [], []
+    for i in range(3000):
+        text = r.choices(vocabulary, weights, k=r.randrange(60, 400))
+        copy = list(text)
+        for k in r.sample(range(len(text)), max(1, round(len(text) / r.uniform(48, 150)))):
+            copy[k] = r.choice(vocabulary)
+        texts = [" ".join(text), " ".join(copy)]
+        a, b = (set(simhash.shingle_hashes(t, 5).tolist()) for t in texts)
+        rows += [(2 * i, texts[0]), (2 * i + 1, texts[1])]
+        if 0.8 <= len(a & b) / len(a | b) <= 0.95:
+            want.append((2 * i, 2 * i + 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    nodes = simhash.signatures(docs).withColumn("node", F.col("doc_id"))
+    got = [tuple(x) for x in simhash.similar_links(nodes, docs, 5, 0.8).collect()]
+    hit = connected(got, want)
+    assert len(hit) > 2000 and sum(hit) >= 0.9 * len(hit), (sum(hit), len(hit))
+    assert all(a // 2 == b // 2 for a, b in got)
+
+
 def brute_repeats(texts, n):
     count = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
     out = []
@@ -299,3 +323,6 @@ def test_drop_repeats(spark):
     assert out[1, 3].endswith("tail one") and p[:150] not in out[1, 3] and len(out[2, 3]) < 50
     assert sorted(str(r.text) for r in suffix.drop_repeats(d).where("doc_id = 3").collect()) == ["", "None"]
     assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    odd = d.select("doc_id", "text", F.lit(1).alias("a.b"), F.lit("x").alias("None"), F.struct(F.lit(1).alias("u.v")).alias("__null"))
+    left = suffix.drop_repeats(odd)
+    assert left.columns == odd.columns and {(r[0], r[2], r[3], r[4][0]) for r in left.collect()} == {(i, 1, "x", 1) for i in (1, 2, 3)}

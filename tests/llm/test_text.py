@@ -7,6 +7,7 @@ from html import unescape
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from verdigris.llm import html, quality, queries, secrets, topk
 
@@ -122,6 +123,9 @@ def test_secret_rows_and_redaction(spark):
     assert out[2].spans == "" and out[2].base_sha256 == hashlib.sha256(b"").hexdigest()
     left = {(r.doc_id, r.text) for r in secrets.redact_secrets(d).collect()}
     assert left == {(1, "<secret> end"), (2, None), (3, "")}
+    odd = d.select("doc_id", F.lit(7).alias("a.b"), "text", F.lit(None).cast("date").alias("row"))
+    assert secrets.redact_secrets(odd).columns == odd.columns
+    assert {tuple(r) for r in secrets.redact_secrets(odd).collect()} == {(1, 7, "<secret> end", None), (2, 7, None, None), (3, 7, "", None)}
 
 
 def brute_quality(t):

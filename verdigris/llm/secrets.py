@@ -335,11 +335,15 @@ def redact_text(text: str, mark: str) -> str:
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "<secret>") -> DataFrame:
     """``docs`` with findings in ``text_col`` replaced by ``mark``; null texts stay null, other columns are untouched."""
     at = docs.columns.index(text_col)
+    cells = [F.col(f"`{c}`").cast("string") if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    # one column for all: Arrow functions take no names with dots
+    rows = docs.select(F.struct(*[x.alias(c) for x, c in zip(cells, docs.columns, strict=True)]).alias("row"))
 
     def run(batch: pa.RecordBatch):
-        col = batch.column(at)
-        new = pa.array([None if t is None else redact_text(t, mark) for t in col.to_pylist()], col.type)
-        yield pa.RecordBatch.from_arrays([new if i == at else batch.column(i) for i in range(batch.num_columns)], schema=batch.schema)
+        row = batch.column(0)
+        new = row.flatten()
+        new[at] = pa.array([None if t is None else redact_text(t, mark) for t in new[at].to_pylist()], new[at].type)
+        yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(new, fields=list(row.type))], schema=batch.schema)
 
-    typed = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    return typed.mapInArrow(per_batch(run), typed.schema)
+    done = rows.mapInArrow(per_batch(run), rows.schema)
+    return done.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

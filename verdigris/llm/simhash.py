@@ -160,7 +160,8 @@ LANES = 3
 #: their shingles in no more than so many bits (pairs of similarity 0.8 differ in 10, give or take 3), and their sizes allow the similarity.
 LOOSE = 0.35
 SHINGLE_BITS = 22
-#: Runs of equal keys up to this length are searched for near rows; of longer ones all rows go on to the exact search.
+#: Runs of equal keys up to this length are searched for near rows here; of longer ones all rows go on to the exact search, and
+#: its pairs pass or fail by the same rule.
 SEARCHED_RUN = 64
 WORD_COLUMNS = [f"w{i}" for i in range(LANES)]
 FEATURES = [*WORD_COLUMNS, "shape", "size"]
@@ -223,6 +224,14 @@ def _near(a, b, similarity: float):
     return sizes & (bits[-1] <= SHINGLE_BITS) & (reduce(lambda x, y: x + y, bits[:-1]) <= int(64 * LANES * LOOSE))
 
 
+def near_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) of ``pairs`` that are near. ``nodes``: node, features."""
+    of = F.struct(*FEATURES)
+    left, right = nodes.select(F.col("node").alias("a"), of.alias("x")), nodes.select(F.col("node").alias("b"), of.alias("y"))
+    near = _near(lambda w: F.col(f"x.{w}"), lambda w: F.col(f"y.{w}"), similarity)
+    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
+
+
 def _either(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -287,7 +296,9 @@ def similar_links(nodes: DataFrame, docs: DataFrame, words: int, similarity: flo
     1. Each key has a leader, the row whose fingerprints most nodes have: in a group of edited copies that is the text
        they were made from. Rows near their leaders are proposed with them, verified, and joined into components.
     2. Rows that share a key with a near row of another component, so may have a link that the leaders didn't show, are
-       all held against each other by ``candidate_pairs``, which misses none, and verified.
+       all held against each other by ``candidate_pairs``, which misses none; near ones are verified.
+
+    So a pair that shares a key, is near and similar is connected, however many rows its keys have, and no pair is that isn't near.
 
     Nothing is gathered by key but runs of bounded length; leaders are maxima, aggregated before they are shuffled.
     """
@@ -322,7 +333,8 @@ def similar_links(nodes: DataFrame, docs: DataFrame, words: int, similarity: flo
     named = nodes.join(more, "node", "left_semi")
     sets = shingle_sets(docs, named, words).join(labels, "node", "left").select("node", "shingles", label)
     sets = cut(sets, "shingles")
-    again = cut(candidate_pairs(sets, similarity).join(proposed, ["a", "b"], "left_anti"), "proposed")
+    found = candidate_pairs(sets, similarity).join(proposed, ["a", "b"], "left_anti")
+    again = cut(near_pairs(found, named, similarity), "proposed")
     rest = cut(verified(again, sets, similarity), "similar")
     for old in (now, more, sets, proposed, again):
         drop_cut(old)

@@ -35,6 +35,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .common import cut, key_and_text, per_batch
 
@@ -229,15 +230,13 @@ def _neighbours(batches: Iterator[pa.RecordBatch], window: int, flag: int) -> It
 
 def _packed(docs: DataFrame) -> DataFrame:
     """(row_key, data, carried): numbered documents as compressed bytes, written. ``docs``: text, carried."""
-    carried = docs.schema["carried"].dataType.simpleString()
-
     def run(batch: pa.RecordBatch):
         press = zstandard.ZstdCompressor(level=1).compress
         data = pa.array([press(b) if (b := t.as_buffer().to_pybytes()) else b"" for t in batch.column(1)], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), data, batch.column(2)], names=["row_key", "data", "carried"])
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row_key"), "text", "carried")
-    return cut(numbered.mapInArrow(per_batch(run), f"row_key long, data binary, carried {carried}"), "packed")
+    return cut(numbered.mapInArrow(per_batch(run), StructType([StructField("row_key", LongType()), StructField("data", BinaryType()), docs.schema["carried"]])), "packed")
 
 
 def _unpacked(data: bytes) -> bytes:
@@ -449,7 +448,10 @@ def drop_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     """``docs`` with the bytes that ``remove_repeats`` counts cut out of the texts. No row goes; null texts stay null."""
     text = F.col(f"`{text_col}`")
     others = [c for c in docs.columns if c != text_col]
-    carried = F.struct(*[F.col(f"`{c}`") for c in others], text.isNull().alias("__null"))
+    none = "none"
+    while none.lower() in {c.lower() for c in others}:
+        none += "_"
+    carried = F.struct(*[F.col(f"`{c}`").alias(c) for c in others], text.isNull().alias(none))
     d = docs.select(F.coalesce(text.cast("string"), F.lit("")).alias("text"), carried.alias("carried"))
     joined = _joined(*repeated_spans(d, length)).select("carried", "data", "spans")
 
@@ -460,6 +462,6 @@ def drop_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
             out.append(text_left(raw, covered(len(raw), spans, length)) if spans else raw.decode())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["carried", "text"])
 
-    left = joined.mapInArrow(per_batch(run), f"carried {d.schema['carried'].dataType.simpleString()}, text string")
-    new = F.when(~F.col("carried.__null"), F.col("text"))
+    left = joined.mapInArrow(per_batch(run), StructType([d.schema["carried"], StructField("text", StringType())]))
+    new = F.when(~F.col("carried").getField(none), F.col("text"))
     return left.select(*[new.alias(c) if c == text_col else F.col("carried").getField(c).alias(c) for c in docs.columns])
