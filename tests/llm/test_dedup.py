@@ -164,6 +164,26 @@ def test_candidate_pairs_miss_nothing(spark):
     assert want and want <= got
 
 
+def test_unrelated_texts_share_no_key(spark, monkeypatch):
+    """Rows that share a key follow from similar texts: texts of one vocabulary that have no shingle in common add none."""
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(5000)]
+    texts = [" ".join(r.choices(vocabulary, k=80)) for _ in range(6000)]
+    edited = texts[0].split()
+    edited[40] = "edited"
+    nodes, docs = nodes_of(spark, [*texts, " ".join(edited)])
+    sizes, cut = {}, simhash.cut
+
+    def counted(df, label):
+        out = cut(df, label)
+        sizes.setdefault(label, out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    assert [tuple(x) for x in simhash.similar_links(nodes, docs, 5, 0.8).collect()] == [(0, 6000)]
+    assert 2 <= sizes["runs"] <= 2 * simhash.BANDS
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/documents.parquet"), reason="the tables aren't there")
 def test_recall_on_documents(spark):
     """Of all pairs of different texts that are similar, found by exact prefixes in plain Python, 0.9 or more are connected."""

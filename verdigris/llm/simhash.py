@@ -160,6 +160,9 @@ LANES = 3
 #: their shingles in no more than so many bits (pairs of similarity 0.8 differ in 10, give or take 3), and their sizes allow the similarity.
 LOOSE = 0.35
 SHINGLE_BITS = 22
+#: Keys of a text, and the least shingle hashes in each: a pair of similarity s shares a key with chance 1 - (1 - s^4)^20, at
+#: 0.8 all but 3 in 100,000. Texts without a common shingle share none, so keys don't fill up as the table grows.
+BANDS, BAND = 20, 4
 #: Runs of equal keys up to this length are searched for near rows here; of longer ones all rows go on to the exact search, and
 #: its pairs pass or fail by the same rule.
 SEARCHED_RUN = 64
@@ -167,16 +170,31 @@ WORD_COLUMNS = [f"w{i}" for i in range(LANES)]
 FEATURES = [*WORD_COLUMNS, "shape", "size"]
 
 
+def mixed(h: np.ndarray, step: int | np.ndarray) -> np.ndarray:
+    """Another hash function of what ``h`` are hashes of."""
+    h = h ^ step
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+STEPS = np.arange(1, max(LANES, BANDS * BAND) + 1, dtype=np.uint64) * np.uint64(STEP)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """``BANDS`` signed keys, each a hash of the least values of ``BAND`` hash functions over all shingles; none without shingles."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    steps = STEPS[: BANDS * BAND, None]
+    least = np.min([mixed(shingles[None, at : at + 512], steps).min(1) for at in range(0, len(shingles), 512)], axis=0).reshape(BANDS, BAND)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least)], np.uint64).view(np.int64)
+
+
 def majority(hashes: np.ndarray, lanes: int) -> list[int]:
     """``lanes`` signed fingerprints from as many hash functions of the same features; zeros without features."""
     out = []
     for lane in range(lanes):
-        h = hashes
-        if lane:
-            h = h ^ np.uint64((STEP * lane) & ((1 << 64) - 1))
-            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            h = h ^ (h >> np.uint64(31))
+        h = mixed(hashes, STEPS[lane - 1]) if lane else hashes
         counts = np.zeros(64, np.int64)
         for at in range(0, len(h), 1 << 16):
             counts += np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
@@ -184,39 +202,30 @@ def majority(hashes: np.ndarray, lanes: int) -> list[int]:
     return out
 
 
-SIGNATURE_DDL = "doc_id long, h long, digest binary, " + ", ".join(f"{w} long" for w in FEATURES)
-SIGNATURE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("digest", pa.binary()), *[(w, pa.int64()) for w in FEATURES]])
+SIGNATURE_DDL = "doc_id long, h long, digest binary, keys array<long>, " + ", ".join(f"{w} long" for w in FEATURES)
+SIGNATURE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), *[(w, pa.int64()) for w in FEATURES]])
 
 
 def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
-    """A 128-bit digest of each text's words, null without words; fingerprints of its different words; fingerprint and number of
-    its different shingles. ``docs``: doc_id, h, text."""
+    """A 128-bit digest of each text's words, null without words; keys by its different shingles; fingerprints of its different
+    words; fingerprint and number of its different shingles. ``docs``: doc_id, h, text."""
 
     def run(batch: pa.RecordBatch):
-        digest, fps = [], []
+        digest, keys, fps = [], [], []
         for t in batch.column(2):
             text = t.as_py()
             parts = text.encode("utf-8", "surrogatepass").lower().split()
             digest.append(xxhash.xxh3_128_digest(b" ".join(parts)) if parts else None)
             different = {xxhash.xxh64_intdigest(w, SEED) for w in dict.fromkeys(parts)}
             shingles = np.unique(shingle_hashes(text, words))
+            keys.append(band_keys(shingles))
             fps.append([*majority(np.fromiter(different, np.uint64, len(different)), LANES), *majority(shingles, 1), len(shingles)])
         lanes = dict(zip(FEATURES, zip(*fps, strict=True), strict=True))
-        yield rows_of(SIGNATURE, {"doc_id": batch.column(0), "h": batch.column(1), "digest": digest, **lanes})
+        yield rows_of(SIGNATURE, {"doc_id": batch.column(0), "h": batch.column(1), "digest": digest, "keys": keys, **lanes})
 
     return docs.select("doc_id", "h", "text").mapInArrow(per_batch(run), SIGNATURE_DDL)
 
 
-def _lane_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """(key, node) of every lane, looked up both ways. ``batch``: node and its word fingerprints."""
-    for at in range(0, batch.num_rows, 1 << 13):
-        node, *lanes = (c.to_numpy(zero_copy_only=False) for c in batch.slice(at, 1 << 13).columns)
-        for lane, fp in enumerate(lanes):
-            keys, rows = zip(*(lane_keys(fp, looking) for looking in (0, 1)), strict=True)
-            both = np.unique(np.stack([np.concatenate(keys) | (lane << 26), np.concatenate(rows)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(node[both[1]])], names=["key", "node"])
-
-
 def _near(a, b, similarity: float):
     """Whether two rows are near; ``a`` and ``b`` give a column by its name."""
     bits = [F.bit_count(a(w).bitwiseXOR(b(w))) for w in [*WORD_COLUMNS, "shape"]]
@@ -290,8 +299,9 @@ def candidate_pairs(sets: DataFrame, similarity: float) -> DataFrame:
 def similar_links(nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """(a, b) that connect similar nodes. ``nodes``: node, doc_id, h, features. ``docs``: doc_id, h, text.
 
-    Fingerprints of the texts' different words give the Golay keys: an edit touches few words and many shingles. A link
-    is a pair with the wanted Jaccard similarity of shingle sets.
+    The least hashes of the texts' shingles give the keys, so that only texts with common shingles meet, however many there
+    are; fingerprints of the texts' different words and of their shingles tell which of them are near. A link is a pair with
+    the wanted Jaccard similarity of shingle sets.
 
     1. Each key has a leader, the row whose fingerprints most nodes have: in a group of edited copies that is the text
        they were made from. Rows near their leaders are proposed with them, verified, and joined into components.
@@ -302,7 +312,7 @@ def similar_links(nodes: DataFrame, docs: DataFrame, words: int, similarity: flo
 
     Nothing is gathered by key but runs of bounded length; leaders are maxima, aggregated before they are shuffled.
     """
-    keys = nodes.select("node", *WORD_COLUMNS).mapInArrow(per_batch(_lane_rows), "key long, node long")
+    keys = nodes.select(F.explode("keys").alias("key"), "node")
     lanes = nodes.select("node", F.posexplode(F.array(*WORD_COLUMNS)).alias("lane", "fp"))
     popular = lanes.join(lanes.groupBy("lane", "fp").agg(F.count("*").alias("n")), ["lane", "fp"]).groupBy("node").agg(F.sum("n").alias("score"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -355,19 +365,20 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: s
     sig = cut(signatures(plain, words).where("digest IS NOT NULL"), "signatures")
     # null ids last, then the least id
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    least = sig.groupBy("digest").agg(F.min(place).alias("p"), *[F.first(w).alias(w) for w in FEATURES])
-    nodes = cut(least.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("p.doc_id").alias("doc_id"), F.col("p.h").alias("h"), *FEATURES), "nodes")
+    least = sig.groupBy("digest").agg(F.min(place).alias("p"), *[F.first(w).alias(w) for w in ("keys", *FEATURES)])
+    nodes = cut(least.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("p.doc_id").alias("doc_id"), F.col("p.h").alias("h"), "keys", *FEATURES), "nodes")
     roots = cut(components(similar_links(nodes, plain, words, similarity)), "roots")
     grouped = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h").alias("p"))
     stays = grouped.groupBy("root").agg(F.min("p").alias("p")).select(F.col("p.doc_id").alias("k_id"), F.col("p.h").alias("k_h"))
     stays = cut(stays, "stays")
     ids = sig.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
     same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h"))
-    gone = cut(ids.join(stays, same, "left_anti").select(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h")), "gone")
-    twice = cut(ids.where("n > 1").join(stays, same, "left_semi").select(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h")), "twice")
+    # one look-up of the rows that go or are there more than once: the texts move once at most
+    marked = ids.join(stays.withColumn("stays", F.lit(True)), same, "left").select(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h"), F.col("stays").isNull().alias("gone"), (F.col("n") > 1).alias("twice"))
+    marked = cut(marked.where("gone OR twice"), "marked")
     found = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("h") == F.col("g_h"))
-    kept = row.join(gone, found, "left_anti")
+    kept = row.join(marked, found, "left").where("gone IS NULL OR NOT gone")
     one = Window.partitionBy("doc_id", "h").orderBy(F.xxhash64("row"))
-    first = kept.join(twice, found, "left_semi").withColumn("n", F.row_number().over(one)).where("n = 1")
-    out = kept.join(twice, found, "left_anti").select("row").union(first.select("row"))
+    first = kept.where("twice").withColumn("n", F.row_number().over(one)).where("n = 1")
+    out = kept.where("twice IS NULL").select("row").union(first.select("row"))
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
