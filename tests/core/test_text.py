@@ -167,3 +167,41 @@ def test_code_rates(spark):
 def test_leading_integers(spark):
     d = spark.createDataFrame([("12 px", 12), (" -7", -7), ("+3.9", 3), ("x1", None), ("", None), (None, None), ("99999999999999999999", None)], "t string, n long")
     assert all(r.n == r.m for r in d.withColumn("m", metrics.parse_int(F.col("t"))).collect())
+
+
+def test_batched_distances():
+    """Sequences around multiples of 64 and alphabets small and large, all in one batch."""
+    from verdigris.functions import edit
+
+    r = random.Random(4)
+    for alphabet in ("ab", "abcdefgé", "".join(map(chr, range(0x4E00, 0x4E00 + 3000)))):
+        a, b = ["".join(r.choices(alphabet, k=r.choice([0, 1, 63, 64, 65, 130]))) for _ in range(60)], ["".join(r.choices(alphabet, k=r.choice([0, 1, 63, 64, 65, 130]))) for _ in range(60)]
+        b[:20] = [x[:3] + x[4:] for x in a[:20]]
+        (x, n_x), (y, n_y) = edit._characters(pa.array(a)), edit._characters(pa.array(b))
+        assert edit.distances(x, y, n_x, n_y).tolist() == [metrics.distance(p, q) for p, q in zip(a, b, strict=True)]
+
+
+def test_short_and_long_pairs_have_the_same_rates(spark, monkeypatch):
+    rows = [("a b c", "a x c", ["a x", None]), (None, "x", ["x"]), ("x", None, ["x"]), ("", "", [""]), ("  a  b", "a\tb", ["a b"]), ("a " * 50, "a " * 40, ["b " * 60, "a " * 45])]
+    d = spark.createDataFrame(rows, "r string, h string, a array<string>")
+    r, h = F.col("r"), F.col("h")
+
+    def rates():
+        return [tuple(x) for x in d.select(metrics.wer(r, h), metrics.cer(r, h), metrics.best_alternative(r, F.col("a"), h)).collect()]
+
+    batched = rates()
+    monkeypatch.setattr(metrics, "SHORT", -1)
+    assert batched == rates()
+    plan = d.select(metrics.wer(r, h), metrics.cer(r, h))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan
+
+
+def test_texts_are_split_after_they_are_dealt_out(spark, tmp_path):
+    from verdigris.plans.facts import utterances
+
+    rows = [(1, "en", " ".join(map(str, range(31)))), (2, "de", "  \n "), (3, "de", None), (4, None, "one")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    u = utterances(spark, str(tmp_path))
+    assert sorted((x.utt, len(x.rw), x.hyp) for x in u.collect()) == [(1_000_000, 30, " ".join(str(i) for i in range(30) if i % 7 != 3)), (1_000_001, 1, "30"), (4_000_000, 1, "one")]
+    plan = u._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan and "split(" not in plan[plan.index("Repartition") :]
