@@ -1,10 +1,12 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from verdigris.functions import metrics, sql, text
 from verdigris.operators import dims, predicates, rankings, worklist
+from verdigris.plans import queries
 
 from .test_tables import SCHEMA, row
 from .test_text import CASES
@@ -33,6 +35,31 @@ def test_functions_equal_the_columns(session):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_distances_equal_brute_force(session):
+    r = random.Random(7)
+    pairs = [("", ""), ("", "a"), ("a b c", "a c"), ("a c", "a b c"), ("a  b", "a b"), (" a", "a "), ("a b", "b a"), (None, "a"), ("a", None)]
+    for _ in range(400):
+        letters = r.choice(["ab ", "abcdé ", "aß語😀  ", "abcdefghij   "])
+        a = "".join(r.choices(letters, k=r.choice([1, 5, 30, 90])))
+        fewer = " ".join(w for w in a.split(" ") if r.random() > 0.3)  # words left out: no table is filled
+        near = "".join(c if r.random() > 0.05 else r.choice(letters) for c in fewer)  # in a band or beyond
+        pairs += [(a, fewer), (fewer, a), (a, near), (a, "".join(r.choices(letters, k=30)))]
+    session.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").createOrReplaceTempView("pairs_of_texts")
+    got = session.sql("SELECT i, text_distance(a, b) AS c, word_distance(words_of(a), words_of(b)) AS w, some_of(split(a, ' '), split(b, ' ')) AS easy FROM pairs_of_texts").collect()
+    assert len(got) == len(pairs) and {True, False, None} == {g.easy for g in got}
+    for g in got:
+        a, b = pairs[g.i]
+        none = a is None or b is None
+        assert (g.c, g.w) == ((None, None) if none else (metrics.distance(list(a), list(b)), metrics.distance(a.split(), b.split()))), (a, b)
+
+
+def test_query_normalizes_each_side_once_and_sorts_no_rows(spark):
+    plan = queries.sql_functions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    rows = plan[plan.rindex("HashAggregate(") :]
+    assert "Sort [" not in rows and "SortAggregate" not in rows
+    assert len(re.findall(r"lower\(\w+#\d+\) AS", rows)) == 2
+
+
 def test_numbers_and_row_functions(session):
     d = session.createDataFrame([(n,) for n in (-1, 0, 1, 21, 100, 999, 1000, 1001, 21_000, 999_999, 1_000_000, None)], "n long")
     d.createOrReplaceTempView("numbers")
