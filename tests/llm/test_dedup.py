@@ -164,6 +164,37 @@ def test_candidate_pairs_miss_nothing(spark):
     assert want and want <= got
 
 
+def test_similar_texts_far_apart_by_fingerprints(spark):
+    """Texts of five different words, and the same with a few new ones behind: shingles are similar, fingerprints of words aren't."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(6000)]
+    texts = []
+    for _ in range(60):
+        t = rng.choices(rng.sample(vocabulary, 5), k=220)
+        texts += [" ".join(t), " ".join([*t, *rng.sample(vocabulary, 40)])]
+    nodes, docs = nodes_of(spark, texts)
+    want = {(min(p), max(p)) for p in brute_links(texts)}
+    assert {tuple(r) for r in simhash.similar_links(nodes, docs, 5, 0.8).collect()} == want and len(want) > 50
+
+
+def test_open_nodes_lose_no_similar_pair(spark):
+    """Of nodes without keys all similar pairs are found, by leading shingles alone, whatever their sizes."""
+    rng = random.Random(22)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(4000)]
+    texts = []
+    for _ in range(120):
+        t = rng.sample(vocabulary, rng.randrange(5, 200))
+        texts += [" ".join(t), " ".join([*t, *rng.sample(vocabulary, rng.randrange(0, 1 + len(t) // 4))]), " ".join(rng.sample(vocabulary, 40) + t[:30])]
+    texts = list(dict.fromkeys(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    nodes = spark.createDataFrame(
+        [(i, i, h, [], simhash.leading(s := np.unique(simhash.shingle_hashes(t, 5)), 0.8).tolist(), *simhash.majority(s, simhash.LANES), 0, len(s)) for i, t, h in ((r.doc_id, r.text, r.h) for r in docs.collect())],
+        "node long, doc_id long, h long, keys array<long>, first array<long>, " + ", ".join(f"{w} long" for w in simhash.FEATURES),
+    )
+    want = {(min(p), max(p)) for p in brute_links(texts)}
+    assert {tuple(r) for r in simhash.similar_links(nodes, docs, 5, 0.8).collect()} == want and len(want) > 50
+
+
 def test_unrelated_texts_share_no_key(spark, monkeypatch):
     """Rows that share a key follow from similar texts: texts of one vocabulary that have no shingle in common add none."""
     r = random.Random(8)

@@ -12,13 +12,14 @@ Equal fingerprints are one node, however many documents share it; documents are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop_cut, key_and_text, per_batch, rows_of
@@ -163,9 +164,8 @@ SHINGLE_BITS = 22
 #: Keys of a text, and the least shingle hashes in each: a pair of similarity s shares a key with chance 1 - (1 - s^4)^20, at
 #: 0.8 all but 3 in 100,000. Texts without a common shingle share none, so keys don't fill up as the table grows.
 BANDS, BAND = 20, 4
-#: Runs of equal keys up to this length are searched for near rows here; of longer ones all rows go on to the exact search, and
-#: its pairs pass or fail by the same rule.
-SEARCHED_RUN = 64
+#: What a text's leading shingles have beyond the fewest that similar texts need to share one, as a share of all.
+BEYOND = 0.1
 WORD_COLUMNS = [f"w{i}" for i in range(LANES)]
 FEATURES = [*WORD_COLUMNS, "shape", "size"]
 
@@ -202,16 +202,34 @@ def majority(hashes: np.ndarray, lanes: int) -> list[int]:
     return out
 
 
-SIGNATURE_DDL = "doc_id long, h long, digest binary, keys array<long>, " + ", ".join(f"{w} long" for w in FEATURES)
-SIGNATURE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), *[(w, pa.int64()) for w in FEATURES]])
+def leading(shingles: np.ndarray, similarity: float) -> np.ndarray:
+    """The least of a text's different shingle hashes, which are sorted. ``fewest_shared`` tells what similar texts share of them."""
+    n = len(shingles)
+    need = math.ceil(n * similarity - 1e-9)
+    return shingles[: n - need + min(1 + int(n * BEYOND), need)].view(np.int64)
 
 
-def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
-    """A 128-bit digest of each text's words, null without words; keys by its different shingles; fingerprints of its different
-    words; fingerprint and number of its different shingles. ``docs``: doc_id, h, text."""
+def fewest_shared(size: Column, similarity: float) -> Column:
+    """Leading shingles that a text of ``size`` has in common with any similar one, at least.
+
+    Similar texts of n and m shingles, n <= m, share s * m or more. Of n the first n - s * n + b(n) are taken, so that b(n) of
+    the shared ones are among them, by the common order, and among the m's as well, as b doesn't fall. A text's least similar
+    partner has s * n shingles, hence b(s * n).
+    """
+    least = F.ceil(size * similarity - 1e-9)
+    return F.least(1 + F.floor(least * BEYOND), F.ceil(least * similarity - 1e-9))
+
+
+SIGNATURE_DDL = "doc_id long, h long, digest binary, keys array<long>, first array<long>, " + ", ".join(f"{w} long" for w in FEATURES)
+SIGNATURE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())), *[(w, pa.int64()) for w in FEATURES]])
+
+
+def signatures(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """A 128-bit digest of each text's words, null without words; keys by its different shingles, and the leading ones; fingerprints
+    of its different words; fingerprint and number of its different shingles. ``docs``: doc_id, h, text."""
 
     def run(batch: pa.RecordBatch):
-        digest, keys, fps = [], [], []
+        digest, keys, first, fps = [], [], [], []
         for t in batch.column(2):
             text = t.as_py()
             parts = text.encode("utf-8", "surrogatepass").lower().split()
@@ -219,9 +237,10 @@ def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
             different = {xxhash.xxh64_intdigest(w, SEED) for w in dict.fromkeys(parts)}
             shingles = np.unique(shingle_hashes(text, words))
             keys.append(band_keys(shingles))
+            first.append(leading(shingles, similarity))
             fps.append([*majority(np.fromiter(different, np.uint64, len(different)), LANES), *majority(shingles, 1), len(shingles)])
         lanes = dict(zip(FEATURES, zip(*fps, strict=True), strict=True))
-        yield rows_of(SIGNATURE, {"doc_id": batch.column(0), "h": batch.column(1), "digest": digest, "keys": keys, **lanes})
+        yield rows_of(SIGNATURE, {"doc_id": batch.column(0), "h": batch.column(1), "digest": digest, "keys": keys, "first": first, **lanes})
 
     return docs.select("doc_id", "h", "text").mapInArrow(per_batch(run), SIGNATURE_DDL)
 
@@ -233,14 +252,6 @@ def _near(a, b, similarity: float):
     return sizes & (bits[-1] <= SHINGLE_BITS) & (reduce(lambda x, y: x + y, bits[:-1]) <= int(64 * LANES * LOOSE))
 
 
-def near_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The (a, b) of ``pairs`` that are near. ``nodes``: node, features."""
-    of = F.struct(*FEATURES)
-    left, right = nodes.select(F.col("node").alias("a"), of.alias("x")), nodes.select(F.col("node").alias("b"), of.alias("y"))
-    near = _near(lambda w: F.col(f"x.{w}"), lambda w: F.col(f"y.{w}"), similarity)
-    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
-
-
 def _either(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -296,57 +307,53 @@ def candidate_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.select(*_either("x", "y")).distinct()
 
 
+def open_nodes(nodes: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """The nodes that may be similar to one of another label, all of them: ``fewest_shared`` leading shingles or more occur under
+    several labels. ``nodes``: node, size, first. ``labels``: node, root; a node without is its own label."""
+    labelled = nodes.select("node", "first").join(labels, "node", "left").select(F.coalesce("root", "node").alias("label"), F.explode("first").alias("token"))
+    spread = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
+    shared = nodes.select("node", F.explode("first").alias("token")).join(spread, "token", "left_semi").groupBy("node").agg(F.count("*").alias("n"))
+    return shared.join(nodes.select("node", "size"), "node").where(F.col("n") >= fewest_shared(F.col("size"), similarity)).select("node")
+
+
 def similar_links(nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """(a, b) that connect similar nodes. ``nodes``: node, doc_id, h, features. ``docs``: doc_id, h, text.
 
-    The least hashes of the texts' shingles give the keys, so that only texts with common shingles meet, however many there
-    are; fingerprints of the texts' different words and of their shingles tell which of them are near. A link is a pair with
-    the wanted Jaccard similarity of shingle sets.
+    1. The least hashes of the texts' shingles give keys, so that only texts with common shingles meet, however many there are.
+       Each key has a leader, the row whose fingerprints most nodes have: in a group of edited copies that is the text
+       they were made from. Rows near their leaders by fingerprints are proposed with them, verified, and joined into components.
+    2. What the leaders didn't show is searched for among all nodes: those whose leading shingles rule out no similar node of
+       another component (``open_nodes``) are held against each other by ``candidate_pairs``, and all pairs are verified.
 
-    1. Each key has a leader, the row whose fingerprints most nodes have: in a group of edited copies that is the text
-       they were made from. Rows near their leaders are proposed with them, verified, and joined into components.
-    2. Rows that share a key with a near row of another component, so may have a link that the leaders didn't show, are
-       all held against each other by ``candidate_pairs``, which misses none; near ones are verified.
+    The first step is there for speed: large groups become one component. The second misses no pair, so all pairs with the
+    wanted Jaccard similarity of shingle sets are connected, and only those.
 
-    So a pair that shares a key, is near and similar is connected, however many rows its keys have, and no pair is that isn't near.
-
-    Nothing is gathered by key but runs of bounded length; leaders are maxima, aggregated before they are shuffled.
+    Nothing is gathered by key; leaders are maxima, aggregated before they are shuffled.
     """
     keys = nodes.select(F.explode("keys").alias("key"), "node")
     lanes = nodes.select("node", F.posexplode(F.array(*WORD_COLUMNS)).alias("lane", "fp"))
     popular = lanes.join(lanes.groupBy("lane", "fp").agg(F.count("*").alias("n")), ["lane", "fp"]).groupBy("node").agg(F.sum("n").alias("score"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     rows = cut(keys.join(shared, "key").join(nodes.select("node", *FEATURES).join(popular, "node"), "node"), "runs")
 
     leaders = rows.groupBy("key").agg(F.max(F.struct("score", "node", *FEATURES)).alias("l"))
     close = _near(F.col, lambda w: F.col(f"l.{w}"), similarity)
     led = rows.join(leaders, "key").where((F.col("node") != F.col("l.node")) & close).select("node", F.col("l.node").alias("leader"))
     proposed = cut(led.select(*_either("node", "leader")).distinct(), "proposed")
+    drop_cut(rows)
     wanted = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = cut(shingle_sets(docs, nodes.join(wanted, "node", "left_semi"), words), "shingles")
     links = cut(verified(proposed, sets, similarity), "similar")
     drop_cut(sets)
 
-    labels = components(links)
-    label = F.coalesce("root", "node").alias("label")
-    now = cut(rows.where("n > 2").join(labels, "node", "left").select("key", "n", "node", label, *FEATURES), "labelled")
-    drop_cut(rows)
-    mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    open_rows = now.join(mixed, "key", "left_semi")
-    run = open_rows.where(F.col("n") <= SEARCHED_RUN).groupBy("key").agg(F.collect_list(F.struct("node", "label", *FEATURES)).alias("run"))
-
-    def apart(x, y):
-        return (x["label"] != y["label"]) & _near(lambda w: x[w], lambda w: y[w], similarity)
-
-    found = run.select(F.explode(F.transform(F.filter("run", lambda x: F.exists("run", lambda y: apart(x, y))), lambda x: x["node"])).alias("node"))
-    more = cut(found.union(open_rows.where(F.col("n") > SEARCHED_RUN).select("node")).distinct(), "open")
+    labels = cut(components(links), "labels")
+    more = cut(open_nodes(nodes, labels, similarity), "open")
     named = nodes.join(more, "node", "left_semi")
-    sets = shingle_sets(docs, named, words).join(labels, "node", "left").select("node", "shingles", label)
+    sets = shingle_sets(docs, named, words).join(labels, "node", "left").select("node", "shingles", F.coalesce("root", "node").alias("label"))
     sets = cut(sets, "shingles")
-    found = candidate_pairs(sets, similarity).join(proposed, ["a", "b"], "left_anti")
-    again = cut(near_pairs(found, named, similarity), "proposed")
+    again = cut(candidate_pairs(sets, similarity).join(proposed, ["a", "b"], "left_anti"), "candidates")
     rest = cut(verified(again, sets, similarity), "similar")
-    for old in (now, more, sets, proposed, again):
+    for old in (labels, more, sets, proposed, again):
         drop_cut(old)
     return links.union(rest)
 
@@ -362,16 +369,17 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: s
     text = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))
     row = row.select("row", F.col("row").getField(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     plain = row.select("doc_id", "h", "text")
-    sig = cut(signatures(plain, words).where("digest IS NOT NULL"), "signatures")
+    sig = cut(signatures(plain, words, similarity).where("digest IS NOT NULL"), "signatures")
     # null ids last, then the least id
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    least = sig.groupBy("digest").agg(F.min(place).alias("p"), *[F.first(w).alias(w) for w in ("keys", *FEATURES)])
-    nodes = cut(least.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("p.doc_id").alias("doc_id"), F.col("p.h").alias("h"), "keys", *FEATURES), "nodes")
+    least = sig.groupBy("digest").agg(F.min(place).alias("p"), *[F.first(w).alias(w) for w in ("keys", "first", *FEATURES)])
+    nodes = cut(least.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("p.doc_id").alias("doc_id"), F.col("p.h").alias("h"), "keys", "first", *FEATURES), "nodes")
+    ids = cut(sig.groupBy("doc_id", "h").agg(F.count("*").alias("n")), "ids")
+    drop_cut(sig)
     roots = cut(components(similar_links(nodes, plain, words, similarity)), "roots")
     grouped = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h").alias("p"))
     stays = grouped.groupBy("root").agg(F.min("p").alias("p")).select(F.col("p.doc_id").alias("k_id"), F.col("p.h").alias("k_h"))
     stays = cut(stays, "stays")
-    ids = sig.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
     same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h"))
     # one look-up of the rows that go or are there more than once: the texts move once at most
     marked = ids.join(stays.withColumn("stays", F.lit(True)), same, "left").select(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h"), F.col("stays").isNull().alias("gone"), (F.col("n") > 1).alias("twice"))
