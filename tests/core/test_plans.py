@@ -22,6 +22,17 @@ def test_documents_get_more_and_not_longer(spark, tmp_path, monkeypatch):
     assert rows == spark.read.parquet(f"{SF}/lineitem.parquet").count() and longest <= 40
 
 
+def test_files_are_written_in_waves(spark, tmp_path, monkeypatch):
+    """Of all rows only the last wave's lie on disk as documents in the end, and results are the same."""
+    whole = sorted(map(tuple, queries.files_rank(spark, SF).collect()))
+    monkeypatch.setattr(queries, "WAVES", 4)
+    monkeypatch.setattr(queries, "WAVE_ROWS", 100)
+    monkeypatch.setattr(folders, "fresh", lambda spark, label: str(tmp_path / label))
+    assert sorted(map(tuple, queries.files_rank(spark, SF).collect())) == whole
+    rows = sum(len(r) for path in tmp_path.rglob("file=prov*/*.txt") for r in json.loads(path.read_text())["resultsBySuite"].values())
+    assert 0 < rows <= spark.read.parquet(f"{SF}/lineitem.parquet").count() // 3
+
+
 def test_work_is_listed_by_all_cores(spark):
     for query in (queries.work_list, queries.cache_hits, queries.cache_misses, queries.cache_table_misses):
         plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
