@@ -4,7 +4,7 @@ import os
 import pytest
 
 from verdigris.plans import queries
-from verdigris.sources import folders
+from verdigris.sources import cache, folders
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="the tables aren't there")
@@ -38,3 +38,14 @@ def test_work_is_listed_by_all_cores(spark):
         plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate explode" in plan and "Repartition" in plan[plan.index("Generate explode") :]
     assert queries.work_list(spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_cache_tables_get_more_buckets_and_not_larger_ones(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cache, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(folders, "fresh", lambda spark, label: str(tmp_path / label))
+    missed = queries.cache_table_misses(spark, SF).count()
+    assert missed == queries.cache_misses(spark, SF).count()
+    table, = (tmp_path / "cache-table").iterdir()
+    files = list(table.glob("*.parquet"))
+    assert max(spark.read.parquet(str(f)).count() for f in files[:4]) < 150 and len(files) > 16
+    assert all(".zstd." in f.name for f in files)

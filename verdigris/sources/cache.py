@@ -7,9 +7,16 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .folders import Store
+from .folders import Store, let_go
 
 KEY = "cache_key"
+#: Rows of a bucket for which a new table is laid out: looking up sorts a bucket's rows and its work in a task's memory.
+BUCKET_ROWS = 500_000
+
+
+def buckets_for(rows: int, at_least: int) -> int:
+    """Buckets of a new table of so many rows."""
+    return max(at_least, -(-rows // BUCKET_ROWS))
 
 
 class CacheTable:
@@ -25,7 +32,7 @@ class CacheTable:
         self.path = f"{root}/buckets-{self.buckets}"
         self.name = "verdigris_cache_" + hashlib.sha1(self.path.encode()).hexdigest()[:16]
         where = self.path.replace("'", "\\'")
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({schema}) USING parquet CLUSTERED BY ({KEY}) SORTED BY ({KEY}) INTO {self.buckets} BUCKETS LOCATION '{where}'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({schema}) USING parquet OPTIONS (compression 'zstd') CLUSTERED BY ({KEY}) SORTED BY ({KEY}) INTO {self.buckets} BUCKETS LOCATION '{where}'")
 
     def write(self, results: DataFrame) -> None:
         """Appends good and skipped rows; failed ones are left out, so that they are tried again. A bucket gets one file."""
@@ -33,6 +40,7 @@ class CacheTable:
         good = results.where(~F.col("status").eqNullSafe("error")).select(*columns)
         good.repartition(self.buckets, KEY).write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
+        let_go(self.spark)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
